@@ -1 +1,9 @@
 """Explainable tabular classification as Spark table operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Helpers used inside tasks travel with the task, so executors need no copy of
+# this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

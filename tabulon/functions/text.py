@@ -47,6 +47,8 @@ def split_pair(pair) -> tuple[Column, Column]:
 
 def format_p(p) -> Column:
     p = _c(p)
+    # Sixteenths are the only exact ties at three digits; they go to even.
+    p = F.when(p * 16 == F.floor(p * 16), F.bround(p, 3)).otherwise(p)
     return F.when(p < 0.001, "p < 0.001").when(p.isNotNull(), F.format_string("p = %.3f", p))
 
 

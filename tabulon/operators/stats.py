@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from tabulon.operators.ordering import null_safe_join, prefix_sums
 
@@ -109,17 +110,17 @@ def correlation_p(r: float, n: int) -> float:
     return incomplete_beta(df / 2, 0.5, df / (df + t2))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _signed_rank_p(n: pd.Series, plus: pd.Series, ties: pd.Series, zeros: pd.Series) -> pd.Series:
     return pd.Series([signed_rank_p(int(a), float(b), float(c), int(d)) for a, b, c, d in zip(n, plus, ties, zeros)])
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _rank_sum_p(n1: pd.Series, n2: pd.Series, u: pd.Series, ties: pd.Series) -> pd.Series:
     return pd.Series([rank_sum_p(int(a), int(b), float(c), float(d)) for a, b, c, d in zip(n1, n2, u, ties)])
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([correlation_p(a, int(b)) for a, b in zip(r, n)])
 
