@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -152,37 +153,42 @@ class Resampler:
 
 
 def training_rows(train: DataFrame, key: str, features: Sequence[str], resample: Resampler | None) -> DataFrame:
-    """Training vectors, over-sampled when asked; written once for all models."""
+    """Training vectors, over-sampled when asked."""
     rows = train.select(key, "label", *features)
     if resample is not None:
         num = [c for c in features if c in resample.numeric]
         cat = [c for c in features if c in resample.categorical]
         rows = smotenc(rows, key, "label", num, cat, resample.k, resample.seed)
-    return materialize(assemble(rows, features).select("label", "features"), "train")
+    return assemble(rows, features).select("label", "features")
+
+
+def fold_columns(folds: DataFrame, key: str) -> tuple[DataFrame, int, int]:
+    """One row per key with an array of its fold in each repeat."""
+    long = folds if "repeat" in folds.columns else folds.withColumn("repeat", F.lit(0))
+    ends = long.agg(F.max("repeat").alias("r"), F.max("fold").alias("k")).first()
+    pairs = F.array_sort(F.collect_list(F.struct("repeat", "fold")))
+    wide = long.groupBy(key).agg(F.transform(pairs, lambda p: p["fold"]).alias("__folds"))
+    return wide, ends["r"] + 1, ends["k"] + 1
 
 
 def fit_folds(df: DataFrame, key: str, features: Sequence[str], folds: DataFrame, models: Mapping[str, Fit],
               resample: Resampler | None = None):
     """Yield ``(fold, name, fitted model, validation rows)`` per fold and model.
 
-    ``df`` needs a numeric ``label``; ``folds`` needs ``key`` and ``fold`` and
-    holds one row per key and repeat.
+    ``df`` needs a numeric ``label``; ``folds`` holds one row per key and
+    repeat.  The table is written once, whatever the number of repeats; a
+    fold's training vectors are kept while its models are fitted.
     """
-    number = F.col("fold")
-    if "repeat" in folds.columns:
-        k = folds.agg(F.max("fold")).first()[0] + 1
-        number = F.col("repeat") * k + F.col("fold")
-    numbered = folds.select(key, number.alias("Fold"), *(["repeat"] if "repeat" in folds.columns else []))
-    joined = materialize(df.select(key, "label", *features).join(numbered, key), "folded")
-    rounds = joined.select("Fold", *(["repeat"] if "repeat" in joined.columns else [])).distinct().orderBy("Fold")
-    for r in rounds.collect():
-        same = joined
-        if "repeat" in joined.columns:
-            same = joined.filter(F.col("repeat") == r["repeat"])
-        train = training_rows(same.filter(F.col("Fold") != r["Fold"]), key, features, resample)
-        held = same.filter(F.col("Fold") == r["Fold"])
-        for name, fit in models.items():
-            yield r["Fold"], name, fit(train), held
+    wide, repeats, k = fold_columns(folds, key)
+    joined = materialize(df.select(key, "label", *features).join(wide, key), "folded")
+    for repeat in range(repeats):
+        for fold in range(k):
+            mine = F.col("__folds")[repeat] == fold
+            held = joined.filter(mine).drop("__folds")
+            train = training_rows(joined.filter(~mine), key, features, resample).persist(StorageLevel.MEMORY_AND_DISK)
+            for name, fit in models.items():
+                yield repeat * k + fold, name, fit(train), held
+            train.unpersist()
 
 
 def predict(model, df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:

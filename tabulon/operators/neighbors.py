@@ -30,6 +30,7 @@ MAX_CELLS = 65_536
 BLOCK_ROWS = 8_192
 CELL_ROWS = 4_096
 MAX_GRID_LEVELS = 16
+SAMPLE_ROWS = 1_024
 
 
 @dataclass(frozen=True)
@@ -69,62 +70,51 @@ class Grid:
         return total
 
 
-def class_penalties(df: DataFrame, label: str, num: Sequence[str]) -> dict[str, float]:
-    """Squared median of the columns' standard deviations, per class."""
-    if not num:
-        return {r["c"]: 1.0 for r in df.select(F.col(label).cast("string").alias("c")).distinct().collect()}
+def class_profile(df: DataFrame, label: str, num: Sequence[str]) -> dict[str, tuple[int, float]]:
+    """Rows and squared category penalty per class, in one pass.
+
+    The penalty is the median of the columns' standard deviations.
+    """
     rows = df.groupBy(F.col(label).cast("string").alias("c")).agg(
-        *[F.stddev_pop(F.col(c)).alias(f"s{i}") for i, c in enumerate(num)]).collect()
-    return {r["c"]: float(np.median([r[f"s{i}"] for i in range(len(num))])) ** 2 for r in rows}
+        F.count("*").alias("n"), *[F.stddev_pop(F.col(c)).alias(f"s{i}") for i, c in enumerate(num)]).collect()
+    return {r["c"]: (r["n"], float(np.median([r[f"s{i}"] for i in range(len(num))])) ** 2 if num else 1.0)
+            for r in rows}
+
 
+def _grid(queries: DataFrame, num: Sequence[str], cat: Sequence[str], cell_rows: int) -> Grid:
+    """Quantile cuts on the widest numbers, one bin per level of small categories.
 
-def _grid(queries: DataFrame, num: Sequence[str], cat: Sequence[str], cell_rows: int) -> tuple[Grid, dict[str, int]]:
+    The number of cells follows the number of rows up to ``MAX_CELLS``.
+    """
     cols = [*num, *cat]
-    stats = queries.groupBy("cls").agg(
+    stats = {r["cls"]: r for r in queries.groupBy("cls").agg(
         F.count("*").alias("n"), *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(num)],
-        *[F.approx_count_distinct(c).alias(f"d{j}") for j, c in enumerate(cat)]).collect()
-    sizes = {r["cls"]: r["n"] for r in stats}
-    spread = [max((r[f"s{i}"] or 0.0) for r in stats) for i in range(len(num))]
-    numeric_axes = [i for i in sorted(range(len(num)), key=lambda i: -spread[i]) if spread[i] > 0][:3]
-    few = [j for j in range(len(cat)) if max(r[f"d{j}"] for r in stats) <= MAX_GRID_LEVELS][:2]
-    axes = tuple(numeric_axes + [len(num) + j for j in few])
-    probs = {}
-    for r in stats:
-        want = min(MAX_CELLS, max(1, -(-r["n"] // cell_rows)))
-        use_cat = 1
-        if want > 1:
-            for j in few:
-                use_cat *= max(1, r[f"d{j}"])
-        per_axis = int(max(1, round((want / use_cat) ** (1 / max(1, len(numeric_axes))))))
-        probs[r["cls"]] = (want, per_axis)
-    cuts: dict[str, tuple[np.ndarray, ...]] = {}
-    wanted = [c for c, (w, _) in probs.items() if w > 1]
-    found = {}
-    if wanted:
-        most = max(probs[c][1] for c in wanted)
-        grid_probs = [i / most for i in range(1, most)]
-        exprs = []
-        for i in numeric_axes:
-            q = F.percentile_approx(cols[i], grid_probs, max(10_000, 10 * most)) if grid_probs else F.lit(None)
-            exprs.append((q if grid_probs else F.first(F.array().cast("array<double>"))).alias(f"a{i}"))
-        for j in few:
-            exprs.append(F.collect_set(cols[len(num) + j]).alias(f"a{len(num) + j}"))
-        found = {r["cls"]: r for r in queries.filter(F.col("cls").isin(wanted)).groupBy("cls").agg(
-            *(exprs or [F.count("*").alias("n")])).collect()}
-    for c, (want, per_axis) in probs.items():
+        *[F.approx_count_distinct(c).alias(f"d{j}") for j, c in enumerate(cat)]).collect()}
+    spread = [max((r[f"s{i}"] or 0.0) for r in stats.values()) for i in range(len(num))]
+    wide = [i for i in sorted(range(len(num)), key=lambda i: -spread[i]) if spread[i] > 0][:3]
+    few = [j for j in range(len(cat)) if max(r[f"d{j}"] for r in stats.values()) <= MAX_GRID_LEVELS][:2]
+    bins = {}
+    for c, r in stats.items():
+        want = min(MAX_CELLS, -(-r["n"] // cell_rows))
+        levels = int(np.prod([max(1, r[f"d{j}"]) for j in few]))
+        bins[c] = max(1, int((want / levels) ** (1 / max(1, len(wide))) + 1e-9))
+    most = max(bins.values())
+    probs = [i / most for i in range(1, most)]
+    asked = [F.percentile_approx(cols[i], probs, max(10_000, 10 * most)).alias(f"a{i}") for i in wide if probs]
+    asked += [F.collect_set(cols[len(num) + j]).alias(f"a{len(num) + j}") for j in few]
+    found = {r["cls"]: r.asDict() for r in queries.groupBy("cls").agg(F.count("*").alias("n"), *asked).collect()}
+    cuts = {}
+    for c, r in found.items():
         mine = []
-        for axis in axes:
-            if want == 1:
-                mine.append(np.empty(0))
-            elif axis < len(num):
-                every = np.unique(np.asarray(found[c][f"a{axis}"] or [], dtype=float))
-                step = max(1, round(len(every) / max(1, per_axis - 1))) if per_axis > 1 else 0
-                mine.append(every[::step] if step else np.empty(0))
-            else:
-                # A cut at every level but the first: one bin per category.
-                mine.append(np.unique(np.asarray(found[c][f"a{axis}"], dtype=float))[1:])
+        for i in wide:
+            every = np.unique(np.asarray(r.get(f"a{i}") or [], dtype=float))
+            keep = max(0, bins[c] - 1)
+            mine.append(every[np.linspace(0, len(every) - 1, min(keep, len(every))).astype(int)] if keep else every[:0])
+        for j in few:
+            # A cut at every level but the first: one bin per category.
+            mine.append(np.unique(np.asarray(r[f"a{len(num) + j}"], dtype=float))[1:])
         cuts[c] = tuple(mine)
-    return Grid(axes, len(num), cuts), sizes
+    return Grid(tuple(wide + [len(num) + j for j in few]), len(num), cuts)
 
 
 def _nearest(q: np.ndarray, x: np.ndarray, n_num: int, penalty2: float, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +150,8 @@ def nearest_lists(df: DataFrame, key: str, label: str, num: Sequence[str], cat:
     """
     num, cat = list(num), list(cat)
     cols, n_num, want = [*num, *cat], len(num), k + 1
-    penalty2 = class_penalties(df, label, num)
+    known = class_profile(df, label, num)
+    penalty2 = {c: p for c, (_, p) in known.items()}
     rows = df.select(F.col(label).cast("string").alias("cls"), F.col(key).alias("key"),
                      *[(F.col(c).cast("double") + 0.0).alias(c) for c in cols])
     # A rank filter this low is applied before the shuffle, so a vector that a
@@ -169,7 +160,8 @@ def nearest_lists(df: DataFrame, key: str, label: str, num: Sequence[str], cat:
     points = materialize(
         rows.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= want), "points")
     queries = points.filter("copy = 1")
-    grid, sizes = _grid(queries, num, cat, cell_rows)
+    single = all(n <= min(cell_rows, block_rows) for n, _ in known.values())
+    grid = Grid((), n_num, {c: () for c in known}) if single else _grid(queries, num, cat, cell_rows)
     key_type = points.schema["key"].dataType
 
     def with_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,7 +177,6 @@ def nearest_lists(df: DataFrame, key: str, label: str, num: Sequence[str], cat:
         T.StructField("cls", T.StringType()), T.StructField("cell", T.LongType()),
         T.StructField("key", key_type), T.StructField("copy", T.IntegerType()),
         T.StructField("v", T.ArrayType(T.DoubleType()))])
-    single = all(n <= cell_rows for n in sizes.values())
     placed = points.mapInPandas(with_cell, placed_schema)
     if not single:
         placed = materialize(placed, "cells")
@@ -219,6 +210,9 @@ def nearest_lists(df: DataFrame, key: str, label: str, num: Sequence[str], cat:
 
     def search(visits: DataFrame) -> DataFrame:
         """Compare the visitors of each cell with the cell's blocks."""
+        if single:
+            zero = {"block": F.lit(0), "qblock": F.lit(0)}
+            return pair_up(visits.withColumns(zero), placed.withColumns(zero))
         guests = visits.groupBy("cls", "cell").agg(F.count("*").alias("guests")).withColumn(
             "qblocks", F.ceil(F.col("guests") / block_rows).cast("int"))
         plan = cells.join(guests, ["cls", "cell"]).select("cls", "cell", "blocks", "qblocks")
@@ -228,6 +222,9 @@ def nearest_lists(df: DataFrame, key: str, label: str, num: Sequence[str], cat:
         right = placed.join(plan, ["cls", "cell"]).withColumn(
             "block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn(
             "qblock", F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1)))
+        return pair_up(left, right)
+
+    def pair_up(left: DataFrame, right: DataFrame) -> DataFrame:
         there = [f"at_{c}" for c in by]
         right = right.select(*[F.col(c).alias(f"at_{c}") for c in by], "key", "v")
         return left.select(*[F.col(c).alias(c) for c in by], "qid", "qv").groupBy(*by).cogroup(
@@ -248,6 +245,15 @@ def nearest_lists(df: DataFrame, key: str, label: str, num: Sequence[str], cat:
             listed.setdefault(r["cls"], []).append(r["cell"])
         listed = {c: np.array(sorted(v), dtype=np.int64) for c, v in listed.items()}
 
+        # A few real rows per class, the same for any partitioning, bound the
+        # search of rows whose own cell holds too few others.
+        drawn = Window.partitionBy("cls").orderBy(F.xxhash64("key"), "key")
+        sample = placed.withColumn("r", F.row_number().over(drawn)).filter(F.col("r") <= max(SAMPLE_ROWS, want))
+        scouts: dict[str, list] = {}
+        for r in sample.select("cls", "v").collect():
+            scouts.setdefault(r["cls"], []).append(r["v"])
+        scouts = {c: np.array(v, dtype=float) for c, v in scouts.items()}
+
         def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for cls, part in pdf.groupby("cls"):
@@ -255,8 +261,13 @@ def nearest_lists(df: DataFrame, key: str, label: str, num: Sequence[str], cat:
                     step = max(1, 4_000_000 // len(ids))
                     for at in range(0, len(part), step):
                         some = part.iloc[at:at + step]
-                        gap = grid.gap2(cls, np.stack(some["qv"].to_numpy()), ids, penalty2[cls])
-                        reach = some["r2"].to_numpy()[:, None] * (1 + 1e-9) + 1e-12
+                        qs = np.stack(some["qv"].to_numpy())
+                        gap = grid.gap2(cls, qs, ids, penalty2[cls])
+                        reach = some["r2"].to_numpy().copy()
+                        if len(scouts[cls]) >= want:
+                            far = _nearest(qs, scouts[cls], n_num, penalty2[cls], want)[1][:, -1]
+                            reach = np.minimum(reach, far)
+                        reach = reach[:, None] * (1 + 1e-9) + 1e-12
                         ok = (gap <= reach) & (ids[None] != some["cell"].to_numpy()[:, None])
                         q, c = np.nonzero(ok)
                         yield pd.DataFrame({"cls": cls, "cell": ids[c], "qid": some["qid"].to_numpy()[q],
