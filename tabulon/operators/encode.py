@@ -162,31 +162,39 @@ def impute_iterative(df: DataFrame, cols: Sequence[str], rounds: int = 10, codes
     Nulls start at the column mean.  Every round takes one pass for the moment
     matrices of all incomplete columns, solves them on the driver (columns by
     columns in size, whatever the number of rows), and fills all nulls in one
-    projection from the previous round's values.  The table is written once
-    per round, which keeps the plan flat.  ``codes`` are rounded half to even
-    at the end.
+    write, which keeps the plan flat.  Inside a row the columns are filled one
+    after the other, fewest nulls first, each from the newest values of the
+    others.  Rounds end early when no equation moves any more.  ``codes`` are
+    rounded half to even at the end.
     """
     cols = list(cols)
     first = df.agg(*[F.avg(c).alias(c) for c in cols], *[F.count_if(F.col(c).isNull()).alias(f"n__{c}") for c in cols]
                    ).first()
-    todo = [c for c in cols if first[f"n__{c}"] > 0]
     if any(first[c] is None for c in cols):
         raise ValueError("a column without any value cannot be imputed")
+    todo = sorted((c for c in cols if first[f"n__{c}"] > 0), key=lambda c: (first[f"n__{c}"], cols.index(c)))
     if not todo:
         return df
+    centre = [float(first[c]) for c in cols]
     work = df.withColumns({f"__m_{c}": F.col(c).isNull() for c in todo})
-    work = work.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(first[c]))) for c in cols})
+    work = work.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in zip(cols, centre)})
     work = materialize(work, "impute")
+    before = None
     for _ in range(rounds):
-        grams = masked_grams(work, cols, {c: f"__m_{c}" for c in todo})
-        filled = {}
-        for c in todo:
+        grams = masked_grams(work, cols, {c: f"__m_{c}" for c in todo}, centre)
+        equations = np.zeros((len(todo), len(cols) + 1))
+        for at, c in enumerate(todo):
             j = cols.index(c)
             others = [i for i in range(len(cols)) if i != j]
-            w, b = _evidence_ridge(grams[c], j, others)
-            guess = sum((F.lit(float(w[i])) * F.col(cols[o]) for i, o in enumerate(others)), F.lit(float(b)))
-            filled[c] = F.when(F.col(f"__m_{c}"), guess).otherwise(F.col(c))
-        work = materialize(work.withColumns(filled), "impute")
+            weights, shift = _evidence_ridge(grams[c], j, others)
+            equations[at, others], equations[at, -1] = weights, shift
+            guess = sum((F.lit(float(w)) * (F.col(cols[i]) - F.lit(centre[i])) for w, i in zip(weights, others)),
+                        F.lit(float(centre[j] + shift)))
+            work = work.withColumn(c, F.when(F.col(f"__m_{c}"), guess).otherwise(F.col(c)))
+        work = materialize(work, "impute")
+        if before is not None and np.allclose(equations, before, rtol=1e-6, atol=1e-12):
+            break
+        before = equations
     work = work.drop(*[f"__m_{c}" for c in todo])
     if codes:
         work = work.withColumns({c: F.bround(F.col(c), 0) for c in codes})

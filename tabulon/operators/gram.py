@@ -44,9 +44,14 @@ def gram(df: DataFrame, cols: Sequence[str], weight: str | None = None) -> np.nd
     return _sum_vectors(parts, None)[0]["v"].toArray().reshape(size, size)
 
 
-def masked_grams(df: DataFrame, cols: Sequence[str], masks: Mapping[str, str]) -> dict[str, np.ndarray]:
-    """For each masked column, the moments over the rows outside its mask."""
+def masked_grams(df: DataFrame, cols: Sequence[str], masks: Mapping[str, str],
+                 centre: Sequence[float]) -> dict[str, np.ndarray]:
+    """For each masked column, the moments over the rows outside its mask.
+
+    Columns are taken relative to ``centre``, which keeps the sums accurate.
+    """
     cols, targets = list(cols), list(masks)
+    centre = np.asarray(centre, dtype=float)
     size = len(cols) + 1
     picked = df.select(*[F.col(c).cast("double").alias(c) for c in cols], *masks.values(),
                        F.spark_partition_id().alias("__p"))
@@ -57,7 +62,7 @@ def masked_grams(df: DataFrame, cols: Sequence[str], masks: Mapping[str, str]) -
             if not len(pdf):
                 continue
             part = int(pdf["__p"].iloc[0])
-            x = np.column_stack([np.ones(len(pdf)), pdf[cols].to_numpy(float)])
+            x = np.column_stack([np.ones(len(pdf)), pdf[cols].to_numpy(float) - centre])
             every = x.T @ x
             for i, t in enumerate(targets):
                 hidden = x[pdf[masks[t]].to_numpy(bool)]
