@@ -25,6 +25,10 @@ DAMAGE_ORDER = (UNDAMAGED, LOW, SIGNIFICANT)
 STATUS_LOW = ("minor",)
 STATUS_SIGNIFICANT = ("moderate", "severe", "destroyed")
 
+# The characters Unicode calls white space.
+WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
+    "\u2028\u2029\u202f\u205f\u3000")
+
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
@@ -33,8 +37,8 @@ def _col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Remove every kind of white space at both ends (``trim`` takes blanks only)."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    """Remove every kind of white space at both ends (plain ``trim`` takes blanks only)."""
+    return F.btrim(_col(c), F.lit(WHITESPACE))
 
 
 def null_if_unknown(c: Column | str, tokens: Iterable[str] = UNKNOWN_TOKENS) -> Column:
@@ -68,7 +72,7 @@ def to_numeric(c: Column | str, strip_grouping: bool = True) -> Column:
 
 def finite(c: Column | str) -> Column:
     c = _col(c)
-    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
+    return F.when(F.abs(c) < float("inf"), c)  # NaN sorts above infinity
 
 
 def damage_label(c: Column | str) -> Column:

@@ -26,30 +26,38 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-                sums: Mapping[str, str]) -> DataFrame:
+                sums: Mapping[str, str], totals: Mapping[str, str] | None = None) -> DataFrame:
     """Add, per row, the sum of columns over the rows that sort before it.
 
-    ``sums`` maps new column to summed column; ``order`` must tell rows apart.
+    ``sums`` maps new column to summed column; ``totals`` likewise adds the sum
+    over the whole group.  ``order`` must tell rows apart.
     """
-    keys = list(keys)
+    keys, totals = list(keys), dict(totals or {})
     spread = df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id())
     spread = materialize(spread, "ordered")
     inside = Window.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = spread.withColumns({o: F.coalesce(F.sum(c).over(inside), F.lit(0)) for o, c in sums.items()})
     # One row per (key, partition) that meet: as many as keys plus partitions.
-    totals = spread.groupBy(*keys, "__part").agg(*[F.sum(c).alias(f"__{o}") for o, c in sums.items()])
+    parts = spread.groupBy(*keys, "__part").agg(*[F.sum(c).alias(f"__{o}") for o, c in {**sums, **totals}.items()])
     earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumns({f"__{o}": F.coalesce(F.sum(f"__{o}").over(earlier), F.lit(0)) for o in sums})
+    whole = Window.partitionBy(*keys)
+    offsets = parts.select(*keys, "__part", *[F.coalesce(F.sum(f"__{o}").over(earlier), F.lit(0)).alias(f"__{o}") for o in sums],
+                           *[F.sum(f"__{o}").over(whole).alias(o) for o in totals])
     out = null_safe_join(local, offsets, [*keys, "__part"], "inner")
     out = out.withColumns({o: F.col(o) + F.col(f"__{o}") for o in sums})
     return out.drop("__part", *[f"__{o}" for o in sums])
 
 
 def value_counts_before(df: DataFrame, keys: Sequence[str], value: str, descending: bool = False) -> DataFrame:
-    """Distinct values with their count ``n`` and the count ``before`` them."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    """Distinct values with their count ``n``, the count ``before`` them and
+    the ``total`` of their group.
+
+    Nulls are dropped after the grouping: a null test on the rows would be
+    pushed to the scan and evaluate a computed value a second time.
+    """
+    counts = df.groupBy(*keys, value).agg(F.count(value).alias("n")).filter("n > 0")
     order = F.col(value).desc() if descending else F.col(value).asc()
-    return prefix_sums(counts, keys, [order], {"before": "n"})
+    return prefix_sums(counts, keys, [order], {"before": "n"}, {"total": "n"})
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str, descending: bool = True) -> DataFrame:
@@ -91,8 +99,6 @@ def hash_position(df: DataFrame, digest: str, out: str = "position", keys: Seque
 
 def quantiles_of(counts: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """Exact interpolated quantiles from a ``value_counts_before`` table."""
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    with_total = null_safe_join(counts, totals, keys, "inner")
     picked, result = [], []
     for name, p in probs.items():
         at = (F.col("total") - 1) * F.lit(float(p))
@@ -102,7 +108,7 @@ def quantiles_of(counts: DataFrame, keys: Sequence[str], value: str, probs: Mapp
         part = at - F.floor(at)
         lo, hi = F.col(f"__{name}_lo"), F.col(f"__{name}_hi")
         result.append((lo + (hi - lo) * part).alias(name))
-    return with_total.groupBy(*keys).agg(*picked, F.first("total").alias("total")).select(
+    return counts.groupBy(*keys).agg(*picked, F.first("total").alias("total")).select(
         *keys, F.col("total").alias("n"), *result)
 
 

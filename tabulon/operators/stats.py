@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from tabulon.operators.ordering import null_safe_join, prefix_sums
+from tabulon.operators.ordering import prefix_sums
+from tabulon.session import materialize
 
 EXACT_SIGNED_RANK = 50
 EXACT_RANK_SUM = 8
@@ -135,18 +136,16 @@ def signed_rank(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame
     """
     keys = list(keys)
     d = df.withColumn("__d", F.col(a) - F.col(b)).filter(F.col("__d").isNotNull())
-    groups = d.groupBy(*keys).agg(
-        F.count_if(F.col("__d") == 0).alias("zeros"), F.count_if(F.col("__d") != 0).alias("n"))
-    sizes = d.filter("__d <> 0").groupBy(*keys, F.abs("__d").alias("__abs")).agg(
-        F.count("*").alias("__n"), F.count_if(F.col("__d") > 0).alias("__plus"))
+    sizes = d.groupBy(*keys, F.abs("__d").alias("__abs")).agg(
+        F.count("*").alias("__all"), F.count_if(F.col("__d") > 0).alias("__plus")).withColumn(
+        "__n", F.when(F.col("__abs") == 0, F.lit(0)).otherwise(F.col("__all")))
     placed = prefix_sums(sizes, keys, [F.col("__abs")], {"__before": "__n"})
-    rank = F.col("__before") + (F.col("__n") + 1) / 2.0
+    rank, n = F.col("__before") + (F.col("__n") + 1) / 2.0, F.col("__n").cast("double")
     sums = placed.groupBy(*keys).agg(
+        F.sum("__n").alias("n"), (F.sum("__all") - F.sum("__n")).alias("zeros"),
         F.sum(rank * F.col("__plus")).alias("w_plus"),
-        F.sum(rank * (F.col("__n") - F.col("__plus"))).alias("w_minus"),
-        F.sum((F.col("__n") * F.col("__n") * F.col("__n") - F.col("__n")).cast("double")).alias("ties"))
-    out = null_safe_join(groups, sums, keys, "left").na.fill(0.0, ["w_plus", "w_minus", "ties"])
-    return out.withColumn("w", F.least("w_plus", "w_minus"))
+        F.sum(rank * (F.col("__n") - F.col("__plus"))).alias("w_minus"), F.sum(n * n * n - n).alias("ties"))
+    return sums.withColumn("w", F.least("w_plus", "w_minus"))
 
 
 def wilcoxon(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
@@ -192,8 +191,9 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     Equal pairs are counted first; ranks are taken over distinct values and
     centred before they are multiplied, which keeps the sums exact enough.
     """
-    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(
-        F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("n"))
+    pairs = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).groupBy("x", "y").agg(
+        F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("n")).filter("n > 0")
+    pairs = materialize(pairs, "pairs")
     total = pairs.agg(F.sum("n").alias("rows"))
 
     def ranks(c: str) -> DataFrame:
@@ -212,9 +212,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def rank_sum(df: DataFrame, group: str, value: str, first: str, second: str) -> DataFrame:
     """U statistic of two named groups from counted values."""
-    rows = df.filter(F.col(group).isin(first, second) & F.col(value).isNotNull())
-    sizes = rows.groupBy(value).agg(
-        F.count("*").alias("__n"), F.count_if(F.col(group) == first).alias("__a"))
+    sizes = df.filter(F.col(group).isin(first, second)).groupBy(value).agg(
+        F.count(value).alias("__n"), F.count_if(F.col(group) == first).alias("__a")).filter("__n > 0")
     placed = prefix_sums(sizes, [], [F.col(value)], {"__before": "__n"})
     rank = F.col("__before") + (F.col("__n") + 1) / 2.0
     n = F.col("__n").cast("double")

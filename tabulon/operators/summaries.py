@@ -138,8 +138,8 @@ def histogram_bins(df: DataFrame, col: str, bins: int, by: Sequence[str] = ()) -
     Rows are counted by value first, so the range is read from the counts.
     """
     counts = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("n"))
-    edges = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
-    lo, hi = edges.select("lo").scalar(), edges.select("hi").scalar()
+    edges = df.agg(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi")).alias("e")).scalar()
+    lo, hi = edges["lo"], edges["hi"]
     index = F.when(hi > lo, F.least(F.floor((F.col(col) - lo) * bins / (hi - lo)), F.lit(bins - 1))).otherwise(0)
     binned = counts.withColumn("bin", index.cast("int"))
     return binned.groupBy(*by, "bin").agg(F.sum("n").alias("count"))

@@ -122,6 +122,21 @@ def test_iterative_imputation_finds_a_linear_rule(spark):
     assert out[1].y == 3.0
 
 
+def test_iterative_imputation_stays_bounded_on_collinear_gaps(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(150):
+        a, b = rng.uniform(1, 5), rng.uniform(1, 5)
+        full = [a, b, a + b, a - b, 2 * a + b]
+        gap = rng.random() < 0.4
+        rows.append(tuple([i, *[None if gap and j > 0 else v for j, v in enumerate(full)]]))
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, d double, e double")
+    out = encode.impute_iterative(df, list("abcde"), 8).agg(*[f for c in "abcde" for f in (F.min(c), F.max(c))]).first()
+    assert all(v is not None and -20 < v < 40 for v in out)
+
+
 def test_class_weights(spark):
     df = spark.createDataFrame([("a",)] * 6 + [("b",)] * 2, "y string")
     assert {r.y: r.weight for r in encode.class_weights(df, "y").collect()} == {"a": 8 / 12, "b": 2.0}
