@@ -17,6 +17,7 @@ from tabulon.session import materialize
 
 NULL_LEVEL = "nan"
 MAX_LEVELS = 10_000
+MAX_ONE_HOT = 1_000
 
 
 def check_levels(df: DataFrame, cols: Sequence[str], limit: int = MAX_LEVELS) -> None:
@@ -44,33 +45,49 @@ def fit_levels(df: DataFrame, cols: Sequence[str], keep_null: bool = False) -> d
     return {c: list(labels) for c, labels in zip(cols, model.labelsArray)}
 
 
-def code_of(c: Column, levels: Sequence[str], unseen: float | None = -1.0) -> Column:
-    """Level to code through a literal map; unseen levels get ``unseen``."""
-    if not levels:
-        return F.lit(unseen).cast("double")
-    codes = F.create_map(*[F.lit(x) for i, v in enumerate(levels) for x in (v, float(i))])
-    found = F.try_element_at(codes, c)
-    return found if unseen is None else F.coalesce(found, F.lit(float(unseen)))
+def with_codes(df: DataFrame, texts: Mapping[str, Column], levels: Mapping[str, Sequence[str]],
+               unseen: float | None = -1.0) -> DataFrame:
+    """Add code columns for text columns; a level the fit did not see, or null,
+    gets ``unseen``.
+
+    The indexer looks a level up in a hash table.  Its output carries nominal
+    metadata, which would make trees split on category sets, so the codes are
+    copied to plain doubles.
+    """
+    known = {c: list(levels[c]) for c in texts if len(levels[c])}
+    out = df.withColumns({f"__t_{c}": t for c, t in texts.items()})
+    if known:
+        model = StringIndexerModel.from_arrays_of_labels(
+            list(known.values()), inputCols=[f"__t_{c}" for c in known], outputCols=[f"__k_{c}" for c in known],
+            handleInvalid="keep")
+        out = model.transform(out)
+    missing = F.lit(unseen).cast("double")
+    codes = {c: F.when(F.col(f"__k_{c}") < len(known[c]), F.col(f"__k_{c}") + 0.0).otherwise(missing)
+             if c in known else missing for c in texts}
+    return out.withColumns(codes).drop(*[f"__t_{c}" for c in texts], *[f"__k_{c}" for c in known])
 
 
 def encode_label(df: DataFrame, label: str, out: str = "label",
                  levels: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
     levels = list(levels) if levels is not None else fit_levels(df, [label], keep_null=True)[label]
-    return df.withColumn(out, code_of(F.col(label), levels, None)), levels
+    return with_codes(df, {out: F.col(label)}, {out: levels}, None), levels
 
 
 def ordinal_encode(df: DataFrame, cols: Sequence[str], levels: Mapping[str, Sequence[str]] | None = None,
                    keep_null: bool = False) -> tuple[DataFrame, dict[str, list[str]]]:
-    """Alphabetical codes as plain doubles, without nominal metadata."""
+    """Alphabetical codes as plain doubles; null is a level unless kept."""
     levels = dict(levels) if levels is not None else fit_levels(df, cols, keep_null)
-    codes = {}
-    for c in cols:
-        text = F.col(c).cast("string")
-        if keep_null:
-            codes[c] = F.when(text.isNotNull(), code_of(text, levels[c]))
-        else:
-            codes[c] = code_of(F.coalesce(text, F.lit(NULL_LEVEL)), levels[c])
-    return df.withColumns(codes) if codes else df, levels
+    if not cols:
+        return df, levels
+    empty = {c: F.col(c).isNull() for c in cols}
+    texts = {c: F.coalesce(F.col(c).cast("string"), F.lit(NULL_LEVEL)) for c in cols}
+    if keep_null:
+        df = df.withColumns({f"__null_{c}": e for c, e in empty.items()})
+    out = with_codes(df, texts, levels)
+    if keep_null:
+        out = out.withColumns({c: F.when(~F.col(f"__null_{c}"), F.col(c)) for c in cols}).drop(
+            *[f"__null_{c}" for c in cols])
+    return out, levels
 
 
 @dataclass(frozen=True)
@@ -91,7 +108,10 @@ class OneHot:
 def one_hot(df: DataFrame, cols: Sequence[str], levels: Mapping[str, Sequence[str]] | None = None
             ) -> tuple[DataFrame, OneHot]:
     """0/1 column ``<feature>_<level>`` per level but the first."""
-    levels = dict(levels) if levels is not None else fit_levels(df, cols)
+    if levels is None:
+        check_levels(df, cols, MAX_ONE_HOT)
+        levels = fit_levels(df, cols)
+    levels = dict(levels)
     hot = OneHot({c: list(levels[c]) for c in cols})
     made = {}
     for c in cols:
@@ -101,19 +121,23 @@ def one_hot(df: DataFrame, cols: Sequence[str], levels: Mapping[str, Sequence[st
     return (df.withColumns(made) if made else df).drop(*cols), hot
 
 
-def medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Exact medians of many columns as one (column, value) problem."""
-    pairs = df.select(F.explode(F.array(*[
+def medians(df: DataFrame, cols: Sequence[str], stored: bool = False) -> DataFrame:
+    """Exact medians of many columns as one (column, value) problem.
+
+    The columns are written once, side by side; the long form is only streamed.
+    """
+    wide = df if stored else materialize(df.select(*cols), "columns")
+    pairs = wide.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])).alias("p")
     ).select("p.*")
-    return exact_quantiles(pairs, ["column"], "value", {"median": 0.5}).select("column", "median")
+    return exact_quantiles(pairs, ["column"], "value", {"median": 0.5}, stored=True).select("column", "median")
 
 
-def impute_median(df: DataFrame, cols: Sequence[str], fitted: Mapping[str, float] | None = None
-                  ) -> tuple[DataFrame, dict[str, float]]:
+def impute_median(df: DataFrame, cols: Sequence[str], fitted: Mapping[str, float] | None = None,
+                  stored: bool = False) -> tuple[DataFrame, dict[str, float]]:
     """Fill nulls by the column's median, one number per column."""
     if fitted is None:
-        fitted = {r["column"]: r["median"] for r in medians(df, cols).collect()}
+        fitted = {r["column"]: r["median"] for r in medians(df, cols, stored).collect()}
     empty = [c for c in cols if c not in fitted]
     if empty:
         raise ValueError(f"columns without any value: {empty}; drop them first")

@@ -8,12 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.hashing import key_hash, uniform_of
-from tabulon.operators.ordering import (
-    null_safe_join,
-    quantiles_of,
-    top_k,
-    value_counts_before,
-)
+from tabulon.operators.ordering import exact_quantiles, null_safe_join, top_k
+from tabulon.session import materialize
 
 
 def group_mean(df: DataFrame, keys: Sequence[str], value: str, out: str = "mean") -> DataFrame:
@@ -151,29 +147,32 @@ def count_by(df: DataFrame, col: str, by: str, order: Sequence[str]) -> DataFram
     return df.groupBy(col, by).agg(F.count("*").alias("count")).withColumn("place", place[F.col(col)])
 
 
+def _fences(df: DataFrame, value: str, by: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """Stored values joined with their group's quartiles."""
+    rows = materialize(df.select(*by, F.col(value).cast("double").alias(value)), "box")
+    q = exact_quantiles(rows, by, value, probs, stored=True)
+    return null_safe_join(rows.filter(F.col(value).isNotNull()), q, by, "inner")
+
+
 def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers and number of outliers per group, exact."""
-    counts = value_counts_before(df, by, value)
-    q = quantiles_of(counts, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    fenced = _fences(df, value, by, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = (F.col("q3") - F.col("q1")) * 1.5
-    fenced = null_safe_join(counts.select(*by, value, F.col("n").alias("__n")), q, by, "inner")
-    inside = (F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach)
+    inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     return fenced.groupBy(*by).agg(
         F.first("n").alias("n"), F.first("q1").alias("q1"), F.first("median").alias("median"),
         F.first("q3").alias("q3"),
         F.min(F.when(inside, F.col(value))).alias("whisker_lo"),
         F.max(F.when(inside, F.col(value))).alias("whisker_hi"),
-        F.sum(F.when(inside, 0).otherwise(F.col("__n"))).alias("outliers"))
+        F.count_if(~inside).alias("outliers"))
 
 
 def box_outliers(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Outlying values per group with their counts."""
-    counts = value_counts_before(df, by, value)
-    q = quantiles_of(counts, by, value, {"q1": 0.25, "q3": 0.75}).drop("n")
+    fenced = _fences(df, value, by, {"q1": 0.25, "q3": 0.75})
     reach = (F.col("q3") - F.col("q1")) * 1.5
-    fenced = null_safe_join(counts.select(*by, value, "n"), q, by, "inner")
-    return fenced.filter((F.col(value) < F.col("q1") - reach) | (F.col(value) > F.col("q3") + reach)).select(
-        *by, value, "n")
+    return fenced.filter(~F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)).groupBy(*by, value).agg(
+        F.count("*").alias("n"))
 
 
 # Distribution function of Poisson(1) at 0, 1, 2, ...

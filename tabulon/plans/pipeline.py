@@ -94,11 +94,11 @@ def prepare(df: DataFrame, key: str, features: FeatureSet, strategy: str = "medi
     missing flags for ``flags``).
     """
     fs = features.on(df)
-    rows = df.na.drop(subset=[fs.label])
+    rows = materialize(df.na.drop(subset=[fs.label]).select(key, fs.label, *fs.all), "labelled")
     empty = set(all_null_columns(rows, list(fs.numbers))) if fs.numbers else set()
     numbers = [c for c in fs.numbers if c not in empty]
     cats = list(fs.categorical)
-    rows = rows.select(key, fs.label, *numbers, *cats)
+    rows = rows.drop(*empty)
     if strategy == "indicator":
         rows = add_missing_flag(rows, list(flags))
     rows, classes = encode_label(rows, fs.label)
@@ -106,7 +106,7 @@ def prepare(df: DataFrame, key: str, features: FeatureSet, strategy: str = "medi
         rows, _ = ordinal_encode(rows, cats, keep_null=True)
         rows = impute_iterative(rows, numbers + cats, codes=cats)
     else:
-        rows, _ = impute_median(rows, numbers)
+        rows, _ = impute_median(rows, numbers, stored=True)
         rows, _ = ordinal_encode(rows, cats)
     if strategy == "indicator":
         made = [f"{c}_is_missing" for c in flags]

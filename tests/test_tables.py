@@ -52,8 +52,8 @@ def test_existing_columns(spark):
         columns.existing(["a", "b"], df, strict=True)
 
 
-@pytest.mark.parametrize("partitions", [1, 5])
-def test_ranks_and_quantiles_with_a_hot_value(spark, partitions):
+@pytest.mark.parametrize("partitions, accuracy", [(1, 10_000), (5, 10_000), (5, 40)])
+def test_ranks_and_quantiles_with_a_hot_value(spark, partitions, accuracy):
     data = [("g", 7.0)] * 400 + [("g", float(i % 13)) for i in range(200)] + [("h", float(i)) for i in range(4)] + [("h", None)]
     df = spark.createDataFrame(data, "k string, v double").repartition(partitions)
     import pandas as pd
@@ -64,11 +64,23 @@ def test_ranks_and_quantiles_with_a_hot_value(spark, partitions):
     assert ranked.count() == len(data)
     got = {(r.k, r.v): r.r for r in ranked.collect()}
     assert got.pop(("h", None)) is None and got == want
-    q = {r.k: (r.n, r.a, r.b) for r in ordering.exact_quantiles(df, ["k"], "v", {"a": 0.3, "b": 0.5}).collect()}
+    q = {r.k: (r.n, r.a, r.b) for r in ordering.exact_quantiles(df, ["k"], "v", {"a": 0.3, "b": 0.5}, accuracy).collect()}
     for k, part in pdf.dropna().groupby("k"):
         assert q[k] == pytest.approx((len(part), part["v"].quantile(0.3), part["v"].median()))
 
 
+def test_bracketed_quantiles_of_many_values(spark):
+    import numpy as np
+
+    values = np.random.default_rng(5).gamma(0.3, size=5000)
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(7)
+    probs = {"p0": 0.0, "p01": 0.001, "p25": 0.25, "p50": 0.5, "p99": 0.999, "p100": 1.0}
+    r = ordering.exact_quantiles(df, [], "v", probs, accuracy=200).first()
+    assert r.n == 5000
+    for name, p in probs.items():
+        assert r[name] == pytest.approx(np.quantile(values, p), rel=1e-12)
+
+
 def test_prefix_sums_over_many_partitions(spark):
     df = spark.range(1000).withColumn("k", F.col("id") % 3).withColumn("w", F.col("id") % 7)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
