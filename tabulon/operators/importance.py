@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import partial, reduce
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 from tabulon.operators.encode import assemble
 from tabulon.operators.evaluate import fold_scores
 from tabulon.operators.folds import stratified_folds, with_partner
-from tabulon.operators.models import Fit, Resampler, fit_folds
-from tabulon.operators.ordering import average_rank, top_k
-from tabulon.session import materialize
+from tabulon.operators.models import Fit, Resampler, map_folds
+from tabulon.operators.ordering import list_rank, top_k
+from tabulon.session import materialize, side_by_side
 
 
 def permutation_scores(model, held: DataFrame, key: str, features: Sequence[str], metric: str = "accuracy",
@@ -47,13 +48,12 @@ def permutation_scores(model, held: DataFrame, key: str, features: Sequence[str]
 def permutation_importance(df: DataFrame, key: str, features: Sequence[str], folds: DataFrame,
                            models: Mapping[str, Fit], resample: Resampler | None = None, setting: str = "default",
                            metric: str = "accuracy", seed: int = 42) -> DataFrame:
-    out = None
-    for fold, name, model, held in fit_folds(df, key, features, folds, models, resample):
-        part = permutation_scores(model, held, key, features, metric, seed + int(fold)).select(
-            F.lit(setting).alias("Setting"), F.lit(name).alias("Model"), "Feature", F.lit(int(fold)).alias("Fold"),
+    def work(fold: int, name: str, model, held: DataFrame) -> DataFrame:
+        return permutation_scores(model, held, key, features, metric, seed + fold).select(
+            F.lit(setting).alias("Setting"), F.lit(name).alias("Model"), "Feature", F.lit(fold).alias("Fold"),
             F.col("Decrease").alias("Decrease_in_Accuracy"))
-        out = part if out is None else out.unionByName(part)
-    return out
+
+    return map_folds(df, key, features, folds, models, work, resample)
 
 
 def mean_importance(importance: DataFrame, value: str = "Decrease_in_Accuracy",
@@ -99,14 +99,15 @@ def rfecv(df: DataFrame, key: str, features: Sequence[str], fit: Fit, cv: int =
     """
     folds = stratified_folds(df, key, "label", cv, seed)
     joined = materialize(df.select(key, "label", *features).join(folds, key), "rfe")
-    pred = None
-    for f in range(cv):
+
+    def one(f: int) -> list[DataFrame]:
         train, held = joined.filter(F.col("fold") != f), joined.filter(F.col("fold") == f)
-        for kept, model in _eliminate(train, features, fit, step):
-            part = model.transform(assemble(held, kept)).select(
-                F.lit(len(kept)).alias("size"), F.lit(f).alias("fold"), F.col("label").alias("y"),
-                F.col("prediction").alias("yhat"))
-            pred = part if pred is None else pred.unionByName(part)
+        return [model.transform(assemble(held, kept)).select(
+            F.lit(len(kept)).alias("size"), F.lit(f).alias("fold"), F.col("label").alias("y"),
+            F.col("prediction").alias("yhat")) for kept, model in _eliminate(train, features, fit, step)]
+
+    parts = side_by_side([partial(one, f) for f in range(cv)])
+    pred = reduce(DataFrame.unionByName, [p for some in parts for p in some])
     sizes = fold_scores(pred, ["size", "fold"]).groupBy("size").agg(F.avg("MacroF1").alias("score")).collect()
     best = min(sizes, key=lambda r: (-round(r["score"], 12), r["size"]))
     ranking = {}
@@ -131,10 +132,13 @@ def align(series: Mapping[str, DataFrame], key: str, value: str) -> DataFrame:
 
 
 def compare_ranks(series: Mapping[str, DataFrame], key: str = "Feature", value: str = "Mean") -> DataFrame:
-    """Scores of several runs side by side, with average descending ranks."""
+    """Scores of several runs side by side, with average descending ranks.
+
+    One row per feature: as many as a table has columns.
+    """
     out = align({f"{n}_score": d for n, d in series.items()}, key, value)
     for n in series:
-        out = average_rank(out, f"{n}_score", f"{n}_rank")
+        out = out.withColumn(f"{n}_rank", list_rank(f"{n}_score"))
     return out
 
 

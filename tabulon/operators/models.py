@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import partial, reduce
 
 import numpy as np
 from pyspark import StorageLevel
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from tabulon.operators.encode import add_class_weight, assemble
 from tabulon.operators.gram import gram
 from tabulon.operators.resample import smotenc
-from tabulon.session import materialize
+from tabulon.session import materialize, side_by_side
 
 SEED = 42
 MAX_DEPTH = 16  # deeper trees add little and the node table doubles per level
@@ -171,24 +172,29 @@ def fold_columns(folds: DataFrame, key: str) -> tuple[DataFrame, int, int]:
     return wide, ends["r"] + 1, ends["k"] + 1
 
 
-def fit_folds(df: DataFrame, key: str, features: Sequence[str], folds: DataFrame, models: Mapping[str, Fit],
-              resample: Resampler | None = None):
-    """Yield ``(fold, name, fitted model, validation rows)`` per fold and model.
+def map_folds(df: DataFrame, key: str, features: Sequence[str], folds: DataFrame, models: Mapping[str, Fit],
+              work: Callable[[int, str, object, DataFrame], DataFrame], resample: Resampler | None = None,
+              workers: int = 4) -> DataFrame:
+    """Fit every model outside each fold and unite ``work(fold, name, model, held)``.
 
     ``df`` needs a numeric ``label``; ``folds`` holds one row per key and
     repeat.  The table is written once, whatever the number of repeats; a
-    fold's training vectors are kept while its models are fitted.
+    fold's training vectors are kept while its models are fitted, and up to
+    ``workers`` folds are in work at a time.
     """
     wide, repeats, k = fold_columns(folds, key)
     joined = materialize(df.select(key, "label", *features).join(wide, key), "folded")
-    for repeat in range(repeats):
-        for fold in range(k):
-            mine = F.col("__folds")[repeat] == fold
-            held = joined.filter(mine).drop("__folds")
-            train = training_rows(joined.filter(~mine), key, features, resample).persist(StorageLevel.MEMORY_AND_DISK)
-            for name, fit in models.items():
-                yield repeat * k + fold, name, fit(train), held
-            train.unpersist()
+
+    def one(number: int) -> list[DataFrame]:
+        mine = F.col("__folds")[number // k] == number % k
+        held = joined.filter(mine).drop("__folds")
+        train = training_rows(joined.filter(~mine), key, features, resample).persist(StorageLevel.MEMORY_AND_DISK)
+        parts = [work(number, name, fit(train), held) for name, fit in models.items()]
+        train.unpersist()
+        return parts
+
+    done = side_by_side([partial(one, n) for n in range(repeats * k)], workers)
+    return reduce(DataFrame.unionByName, [part for parts in done for part in parts])
 
 
 def predict(model, df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -199,9 +205,8 @@ def predict(model, df: DataFrame, features: Sequence[str], keep: Sequence[str])
 def fit_predict(df: DataFrame, key: str, features: Sequence[str], folds: DataFrame, models: Mapping[str, Fit],
                 resample: Resampler | None = None, setting: str = "default") -> DataFrame:
     """Predictions of every model on the fold it did not see."""
-    out = None
-    for fold, name, model, held in fit_folds(df, key, features, folds, models, resample):
-        part = predict(model, held, features, [key]).select(
-            F.lit(setting).alias("Setting"), F.lit(name).alias("Model"), F.lit(int(fold)).alias("Fold"), key, "y", "yhat")
-        out = part if out is None else out.unionByName(part)
-    return out
+    def work(fold: int, name: str, model, held: DataFrame) -> DataFrame:
+        return predict(model, held, features, [key]).select(
+            F.lit(setting).alias("Setting"), F.lit(name).alias("Model"), F.lit(fold).alias("Fold"), key, "y", "yhat")
+
+    return map_folds(df, key, features, folds, models, work, resample)

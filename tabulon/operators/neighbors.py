@@ -31,6 +31,7 @@ BLOCK_ROWS = 8_192
 CELL_ROWS = 4_096
 MAX_GRID_LEVELS = 16
 SAMPLE_ROWS = 1_024
+MAX_CLASSES = 1_000
 
 
 @dataclass(frozen=True)
@@ -76,7 +77,10 @@ def class_profile(df: DataFrame, label: str, num: Sequence[str]) -> dict[str, tu
     The penalty is the median of the columns' standard deviations.
     """
     rows = df.groupBy(F.col(label).cast("string").alias("c")).agg(
-        F.count("*").alias("n"), *[F.stddev_pop(F.col(c)).alias(f"s{i}") for i, c in enumerate(num)]).collect()
+        F.count("*").alias("n"), *[F.stddev_pop(F.col(c)).alias(f"s{i}") for i, c in enumerate(num)]).limit(
+        MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError("too many classes")
     return {r["c"]: (r["n"], float(np.median([r[f"s{i}"] for i in range(len(num))])) ** 2 if num else 1.0)
             for r in rows}
 
@@ -142,7 +146,8 @@ def _nearest(q: np.ndarray, x: np.ndarray, n_num: int, penalty2: float, k: int)
 
 
 def nearest_lists(df: DataFrame, key: str, label: str, num: Sequence[str], cat: Sequence[str] = (), k: int = 5,
-                  cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                  cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS,
+                  known: Mapping[str, tuple[int, float]] | None = None) -> DataFrame:
     """For each distinct vector of a class the ``k + 1`` nearest rows.
 
     Output: ``cls``, ``v`` (the vector) and ``near``, an array of
@@ -150,7 +155,7 @@ def nearest_lists(df: DataFrame, key: str, label: str, num: Sequence[str], cat:
     """
     num, cat = list(num), list(cat)
     cols, n_num, want = [*num, *cat], len(num), k + 1
-    known = class_profile(df, label, num)
+    known = known or class_profile(df, label, num)
     penalty2 = {c: p for c, (_, p) in known.items()}
     rows = df.select(F.col(label).cast("string").alias("cls"), F.col(key).alias("key"),
                      *[(F.col(c).cast("double") + 0.0).alias(c) for c in cols])

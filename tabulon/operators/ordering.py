@@ -73,6 +73,14 @@ def average_rank(df: DataFrame, value: str, out: str = "rank", keys: Sequence[st
     return null_safe_join(df, ranks, [*keys, value])
 
 
+def list_rank(value: str, keys: Sequence[str] = (), descending: bool = True) -> Column:
+    """Average rank inside short lists (one row per feature, model or fold)."""
+    c = F.col(value)
+    order = Window.partitionBy(*keys).orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last())
+    peers = F.count(c).over(Window.partitionBy(*keys, value))
+    return F.when(c.isNotNull(), (F.rank().over(order) + (peers - 1) / 2.0).cast("double"))
+
+
 def position(df: DataFrame, order: Sequence[Column], out: str = "position", keys: Sequence[str] = ()) -> DataFrame:
     """1-based place in sorted order; ``order`` must tell rows apart."""
     counted = df.withColumn("__one", F.lit(1).cast("long"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.hashing import key_hash, uniform_of
-from tabulon.operators.neighbors import neighbors
+from tabulon.operators.neighbors import class_profile, neighbors
 from tabulon.operators.ordering import hash_position
 
 log = logging.getLogger(__name__)
@@ -36,9 +36,8 @@ def smotenc(df: DataFrame, key: str, label: str, num: Sequence[str], cat: Sequen
     spread evenly.  Categories must be numeric codes.
     """
     num, cat = list(num), list(cat)
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    if len(counts) > 1000:
-        raise ValueError("over-sampling is for a few classes")
+    known = class_profile(df, label, num)
+    counts = {c: n for c, (n, _) in known.items()}
     most = max(counts.values())
     need = {c: most - n for c, n in counts.items() if n < most}
     small = {c: counts[c] for c in need if counts[c] <= k}
@@ -48,13 +47,15 @@ def smotenc(df: DataFrame, key: str, label: str, num: Sequence[str], cat: Sequen
         return real
     if not need:
         return real
-    minority = df.filter(F.col(label).isin(list(need))).select(key, label, *num, *cat)
-    near = neighbors(minority, key, label, num, cat, k, **sizes)
+    name = F.col(label).cast("string")
+    minority = df.filter(name.isin(list(need))).select(key, label, *num, *cat)
+    known = {c: known[c] for c in need}
+    near = neighbors(minority, key, label, num, cat, k, known=known, **sizes)
     near = hash_position(near.withColumn("__h", key_hash(key, F.lit(seed))), "__h", "__pos", [label], [key])
     turns = F.lit(0).cast("long")
     for c, n in need.items():
         each, rest = divmod(n, counts[c])
-        turns = F.when(F.col(label) == F.lit(c), F.lit(each) + (F.col("__pos") < rest).cast("int")).otherwise(turns)
+        turns = F.when(name == c, F.lit(each) + (F.col("__pos") < rest).cast("int")).otherwise(turns)
     many = near.withColumn("__t", turns).filter("__t > 0").withColumn(
         "__s", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__t"))))
     many = many.withColumn("__d", key_hash(key, "__s", F.lit(seed))).withColumn(

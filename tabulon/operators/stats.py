@@ -128,18 +128,24 @@ def _correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
 
 # ---- statistics ----
 
-def signed_rank(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
+def signed_rank(df: DataFrame, keys: Sequence[str], a: str, b: str, short: bool = False) -> DataFrame:
     """Signed-rank statistic of paired columns per group.
 
     Equal absolute differences are counted together before they are ranked,
     so the ranking works on distinct values.  Zero differences are dropped.
+    ``short`` says that a group is a short list, such as one score per fold;
+    other groups may have any size.
     """
     keys = list(keys)
     d = df.withColumn("__d", F.col(a) - F.col(b)).filter(F.col("__d").isNotNull())
     sizes = d.groupBy(*keys, F.abs("__d").alias("__abs")).agg(
         F.count("*").alias("__all"), F.count_if(F.col("__d") > 0).alias("__plus")).withColumn(
         "__n", F.when(F.col("__abs") == 0, F.lit(0)).otherwise(F.col("__all")))
-    placed = prefix_sums(sizes, keys, [F.col("__abs")], {"__before": "__n"})
+    if short:
+        smaller = Window.partitionBy(*keys).orderBy("__abs").rowsBetween(Window.unboundedPreceding, -1)
+        placed = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(smaller), F.lit(0)))
+    else:
+        placed = prefix_sums(sizes, keys, [F.col("__abs")], {"__before": "__n"})
     rank, n = F.col("__before") + (F.col("__n") + 1) / 2.0, F.col("__n").cast("double")
     sums = placed.groupBy(*keys).agg(
         F.sum("__n").alias("n"), (F.sum("__all") - F.sum("__n")).alias("zeros"),
@@ -148,8 +154,8 @@ def signed_rank(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame
     return sums.withColumn("w", F.least("w_plus", "w_minus"))
 
 
-def wilcoxon(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
-    stats = signed_rank(df, keys, a, b)
+def wilcoxon(df: DataFrame, keys: Sequence[str], a: str, b: str, short: bool = False) -> DataFrame:
+    stats = signed_rank(df, keys, a, b, short)
     return stats.withColumn("p_value", _signed_rank_p("n", "w_plus", "ties", "zeros")).select(
         *keys, "n", "w", "p_value")
 
@@ -175,7 +181,7 @@ def model_equivalence(results: DataFrame, score: str = "MacroF1") -> DataFrame:
         "Setting", "Fold", "Best_Model", F.col(score).alias("best_score"))
     others = results.select("Setting", "Model", "Fold", F.col(score).alias("score"))
     pairs = others.join(best_scores, ["Setting", "Fold"]).filter(F.col("Model") != F.col("Best_Model"))
-    tested = wilcoxon(pairs, ["Setting", "Model", "Best_Model"], "best_score", "score")
+    tested = wilcoxon(pairs, ["Setting", "Model", "Best_Model"], "best_score", "score", short=True)
     diff = means.join(best, "Setting").select("Setting", "Model", (F.col("best_mean") - F.col("mean")).alias("Diff_Mean"))
     joined = tested.join(diff, ["Setting", "Model"]).select("Setting", "Model", "Best_Model", "p_value", "Diff_Mean")
     return holm(joined, "p_value", ["Setting"])
@@ -241,7 +247,7 @@ def feature_tiers(importance: DataFrame, value: str = "Decrease_in_Accuracy", by
     listed = means.withColumn("Position", F.row_number().over(order)).filter(F.col("Position") <= max_pairs + 1)
     here = importance.join(listed, [*by, "Feature"]).select(*by, "Fold", "Position", F.col(value).alias("here"))
     above = here.select(*by, "Fold", (F.col("Position") + 1).alias("Position"), F.col("here").alias("above"))
-    tested = wilcoxon(here.join(above, [*by, "Fold", "Position"]), [*by, "Position"], "above", "here")
+    tested = wilcoxon(here.join(above, [*by, "Fold", "Position"]), [*by, "Position"], "above", "here", short=True)
     tiers = listed.join(tested.select(*by, "Position", "p_value"), [*by, "Position"], "left")
     running = Window.partitionBy(*by).orderBy("Position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = F.coalesce((F.col("p_value") < level).cast("int"), F.lit(0))

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 _local_dirs: dict[str, str] = {}
+_lock = threading.Lock()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -21,9 +28,10 @@ def scratch_dir(spark: SparkSession) -> str:
         return f"{shared.rstrip('/')}/tabulon-{app}"
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="tabulon-")
-    return _local_dirs[app]
+    with _lock:
+        if app not in _local_dirs:
+            _local_dirs[app] = tempfile.mkdtemp(prefix="tabulon-")
+        return _local_dirs[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -39,3 +47,15 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def side_by_side(tasks: Sequence[Callable[[], T]], workers: int = 4) -> list[T]:
+    """Run independent chains of Spark jobs at the same time, results in order.
+
+    One model fit leaves much of a cluster idle between its passes; the
+    scheduler fills the gaps with the jobs of the other chains.
+    """
+    if len(tasks) < 2 or workers < 2:
+        return [t() for t in tasks]
+    with ThreadPoolExecutor(min(workers, len(tasks))) as pool:
+        return [f.result() for f in [pool.submit(t) for t in tasks]]
