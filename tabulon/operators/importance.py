@@ -152,6 +152,12 @@ def common_features(a: DataFrame, b: DataFrame, key: str = "Feature", exclude: S
     return both.filter(~F.col(key).isin(*exclude)) if exclude else both
 
 
+def distinct_features(df: DataFrame, key: str = "Feature", without: DataFrame | None = None) -> DataFrame:
+    """Names that occur, minus those of another table."""
+    names = df.select(key).distinct()
+    return names if without is None else names.exceptAll(without.select(key).distinct())
+
+
 def compare_rankings(mean_perm: DataFrame, rfe: DataFrame, k: int = 10) -> DataFrame:
     """Features in the permutation top ``k`` that elimination kept."""
     best = top_k(mean_perm, [F.desc("Mean"), F.asc("Feature")], k).select("Feature")

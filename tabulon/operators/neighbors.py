@@ -121,28 +121,58 @@ def _grid(queries: DataFrame, num: Sequence[str], cat: Sequence[str], cell_rows:
     return Grid(tuple(wide + [len(num) + j for j in few]), len(num), cuts)
 
 
-def _nearest(q: np.ndarray, x: np.ndarray, n_num: int, penalty2: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and squared distances of the k nearest rows of x, ties by index."""
-    d2 = np.zeros((len(q), len(x)))
+def _rough_d2(q: np.ndarray, x: np.ndarray, n_num: int, penalty2: float) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by one matrix product, and a bound of their error.
+
+    A category is laid out as one column per level, scaled so that two levels
+    are one penalty apart; a category of many levels is compared directly.
+    """
+    centre = x[:, :n_num].mean(axis=0)
+    left, right, extra = [q[:, :n_num] - centre], [x[:, :n_num] - centre], 0.0
+    for i in range(n_num, q.shape[1]):
+        levels = np.unique(x[:, i])
+        if len(levels) > 64:
+            extra = extra + (q[:, i][:, None] != x[:, i][None]) * penalty2
+            continue
+        here, there = q[:, i][:, None] == levels[None], x[:, i][:, None] == levels[None]
+        half = np.sqrt(penalty2 / 2)
+        # A level the block lacks is a column of its own.
+        left += [here * half, (~here.any(axis=1))[:, None] * half]
+        right += [there * half, np.zeros((len(x), 1))]
+    a, b = np.hstack(left), np.hstack(right)
+    aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    return aa[:, None] + bb[None] - 2 * (a @ b.T) + extra, 1e-12 * (aa + bb.max() + penalty2 * q.shape[1])
+
+
+def _nearest(q: np.ndarray, x: np.ndarray, n_num: int, penalty2: float, k: int,
+             bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest rows of x for each row of q as ``(q index, x index, d2)``.
+
+    Rough distances pick the candidates, with their error to spare; the
+    candidates' distances are then taken exactly, ties by place in x.  Rows
+    farther than ``bound`` may be left out.
+    """
+    rough, error = _rough_d2(q, x, n_num, penalty2)
+    if bound is not None:
+        limit = bound
+    elif k < len(x):
+        limit = np.partition(rough, k - 1, axis=1)[:, k - 1]
+    else:
+        limit = np.full(len(q), np.inf)
+    at, to = np.nonzero(rough <= (limit + 2 * error)[:, None])
+    d2 = np.zeros(len(at))
     for i in range(n_num):
-        diff = q[:, i][:, None] - x[:, i][None]
+        diff = q[at, i] - x[to, i]
         d2 += diff * diff
-    differ = np.zeros((len(q), len(x)))
+    differ = np.zeros(len(at))
     for i in range(n_num, q.shape[1]):
-        differ += q[:, i][:, None] != x[:, i][None]
+        differ += q[at, i] != x[to, i]
     d2 += differ * penalty2
-    k = min(k, len(x))
-    if k == len(x):
-        idx = np.argsort(d2, axis=1, kind="stable")
-    else:
-        idx = np.sort(np.argpartition(d2, k - 1, axis=1)[:, :k], axis=1)
-        worst = np.take_along_axis(d2, idx, 1).max(axis=1)
-        tied = (d2 <= worst[:, None]).sum(axis=1) > k
-        if tied.any():
-            idx[tied] = np.argsort(d2[tied], axis=1, kind="stable")[:, :k]
-        order = np.argsort(np.take_along_axis(d2, idx, 1), axis=1, kind="stable")
-        idx = np.take_along_axis(idx, order, 1)
-    return idx, np.take_along_axis(d2, idx, 1)
+    order = np.lexsort((to, d2, at))
+    at, to, d2 = at[order], to[order], d2[order]
+    place = np.arange(len(at)) - np.searchsorted(at, at, side="left")
+    keep = place < k
+    return at[keep], to[keep], d2[keep]
 
 
 def nearest_lists(df: DataFrame, key: str, label: str, num: Sequence[str], cat: Sequence[str] = (), k: int = 5,
@@ -185,7 +215,8 @@ def nearest_lists(df: DataFrame, key: str, label: str, num: Sequence[str], cat:
     placed = points.mapInPandas(with_cell, placed_schema)
     if not single:
         placed = materialize(placed, "cells")
-    asking = placed.filter("copy = 1").select("cls", "cell", F.col("key").alias("qid"), F.col("v").alias("qv"))
+    asking = placed.filter("copy = 1").select("cls", "cell", F.col("key").alias("qid"), F.col("v").alias("qv"),
+                                              F.lit(float("inf")).alias("r2"))
     # At most MAX_CELLS grid cells per class: a table of bounded size.
     cells = placed.groupBy("cls", "cell").agg(F.count("*").alias("rows")).withColumn(
         "blocks", F.ceil(F.col("rows") / block_rows).cast("int"))
@@ -202,13 +233,14 @@ def nearest_lists(df: DataFrame, key: str, label: str, num: Sequence[str], cat:
         cls = who["cls"].iloc[0]
         x = np.stack(block["v"].to_numpy())
         qs = np.stack(who["qv"].to_numpy())
+        r2 = who["r2"].to_numpy()
         keys, vs, qids = block["key"].to_numpy(), block["v"].to_numpy(), who["qid"].to_numpy()
         outs = []
         for at in range(0, len(qs), 512):
-            idx, d2 = _nearest(qs[at:at + 512], x, n_num, penalty2[cls], want)
-            flat = idx.ravel()
-            outs.append(pd.DataFrame({"cls": cls, "qid": np.repeat(qids[at:at + 512], idx.shape[1]),
-                                      "d2": d2.ravel(), "key": keys[flat], "v": vs[flat]}))
+            bound = None if np.isinf(r2[at:at + 512]).all() else r2[at:at + 512]
+            of, to, d2 = _nearest(qs[at:at + 512], x, n_num, penalty2[cls], want, bound)
+            outs.append(pd.DataFrame({"cls": cls, "qid": qids[at:at + 512][of], "d2": d2, "key": keys[to],
+                                      "v": vs[to]}))
         return pd.concat(outs)
 
     by = ["cls", "cell", "block", "qblock"]
@@ -232,7 +264,7 @@ def nearest_lists(df: DataFrame, key: str, label: str, num: Sequence[str], cat:
     def pair_up(left: DataFrame, right: DataFrame) -> DataFrame:
         there = [f"at_{c}" for c in by]
         right = right.select(*[F.col(c).alias(f"at_{c}") for c in by], "key", "v")
-        return left.select(*[F.col(c).alias(c) for c in by], "qid", "qv").groupBy(*by).cogroup(
+        return left.select(*[F.col(c).alias(c) for c in by], "qid", "qv", "r2").groupBy(*by).cogroup(
             right.groupBy(*there)).applyInPandas(compare, out_schema)
 
     best = Window.partitionBy("cls", "qid").orderBy("d2", "key")
@@ -270,15 +302,17 @@ def nearest_lists(df: DataFrame, key: str, label: str, num: Sequence[str], cat:
                         gap = grid.gap2(cls, qs, ids, penalty2[cls])
                         reach = some["r2"].to_numpy().copy()
                         if len(scouts[cls]) >= want:
-                            far = _nearest(qs, scouts[cls], n_num, penalty2[cls], want)[1][:, -1]
+                            of, _, d2 = _nearest(qs, scouts[cls], n_num, penalty2[cls], want)
+                            far = np.zeros(len(qs))
+                            np.maximum.at(far, of, d2)
                             reach = np.minimum(reach, far)
-                        reach = reach[:, None] * (1 + 1e-9) + 1e-12
-                        ok = (gap <= reach) & (ids[None] != some["cell"].to_numpy()[:, None])
+                        reach = reach * (1 + 1e-9) + 1e-12
+                        ok = (gap <= reach[:, None]) & (ids[None] != some["cell"].to_numpy()[:, None])
                         q, c = np.nonzero(ok)
                         yield pd.DataFrame({"cls": cls, "cell": ids[c], "qid": some["qid"].to_numpy()[q],
-                                            "qv": some["qv"].to_numpy()[q]})
+                                            "qv": some["qv"].to_numpy()[q], "r2": reach[q]})
 
-        visits = materialize(asking.join(bound, ["cls", "qid"]).mapInPandas(route, asking.schema), "visits")
+        visits = materialize(asking.drop("r2").join(bound, ["cls", "qid"]).mapInPandas(route, asking.schema), "visits")
         near = keep(near.unionByName(search(visits)))
     lists = near.groupBy("cls", "qid").agg(F.array_sort(F.collect_list(F.struct("d2", "key", "v"))).alias("near"))
     return asking.join(lists, ["cls", "qid"]).select("cls", F.col("qv").alias("v"), "near")

@@ -17,9 +17,13 @@ from tabulon.session import materialize
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join on keys where null equals null; keeps the left key columns."""
+    """Join on keys where null equals null; keeps the left key columns.
+
+    Without keys the right side is a single row of totals, added as a scalar.
+    """
     if not keys:
-        return left.crossJoin(right)  # right has one row: totals without a key
+        one = right.select(F.struct(*right.columns).alias("row")).scalar()
+        return left.withColumn("__row", one).select(*left.columns, "__row.*")
     renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
     on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     return left.join(renamed, on, how).drop(*[f"__{k}" for k in keys])

@@ -384,6 +384,18 @@ def impute_iterative(spark, d):
                    "n_lines")
 
 
+@query("impute_iterative_known", f"""{CASES}
+    SELECT doc_id, n_chars, n_blanks, n_lines, n_lines IS NULL AS was_gap, true AS complete FROM cases""")
+def impute_iterative_known(spark, d):
+    """Known values come through unchanged and every gap is filled."""
+    df = view(spark, d, "cases").select("doc_id", "n_chars", "n_blanks", "n_lines")
+    df = df.withColumn("was_gap", F.col("n_lines").isNull())
+    out = encode.impute_iterative(df, ["n_chars", "n_blanks", "n_lines"], rounds=2)
+    known = F.when(~F.col("was_gap"), F.col("n_lines"))
+    return out.select("doc_id", "n_chars", "n_blanks", known.alias("n_lines"), "was_gap",
+                      F.col("n_lines").isNotNull().alias("complete"))
+
+
 @query("class_weights", """
     SELECT o_orderpriority, count(*) AS n, """ + r(
     "(SELECT count(*) FROM orders) / (CAST((SELECT count(DISTINCT o_orderpriority) FROM orders) AS DOUBLE) * count(*))",

@@ -7,13 +7,15 @@ Fits have no SQL counterpart.  Where a fitted model must obey an identity
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tabulon.functions.clean import clean_unknowns
 from tabulon.functions.hashing import add_noise
 from tabulon.functions.text import parent_of
 from tabulon.operators import encode, evaluate, folds, importance, models, summaries, treeshap
-from tabulon.operators.columns import FeatureSet
-from tabulon.plans import pipeline
+from tabulon.operators.columns import FeatureSet, feature_set
+from tabulon.plans import study
 from tabulon.plans.registry import query, rounded
 from tabulon.plans.views import view, with_views
 
@@ -25,7 +27,7 @@ TREES, DEPTH, FOLDS = 20, 5, 3
 
 
 def _prepared(spark, d, strategy="median", flags=()):
-    return pipeline.prepare(add_noise(view(spark, d, "cases"), KEY), KEY, FEATURES, strategy, flags)
+    return study.prepare(add_noise(view(spark, d, "cases"), KEY), KEY, FEATURES, strategy, flags)
 
 
 def _forest(n=TREES, depth=DEPTH, min_leaf=2):
@@ -47,7 +49,7 @@ _PER_FOLD = f"""{CASES}, f AS (SELECT target, (row_number() OVER (ORDER BY targe
 
 def _scores(spark, d, name, resample=True):
     prep = _prepared(spark, d)
-    scores, _ = pipeline.cross_validate(prep, KEY, {name: models.model_registry(small=True)[name]}, FOLDS, 1,
+    scores, _ = study.cross_validate(prep, KEY, {name: models.model_registry(small=True)[name]}, FOLDS, 1,
                                         resample=resample)
     return rounded(scores, "MacroF1", "Accuracy")
 
@@ -67,9 +69,22 @@ def fold_predictions(spark, d):
     return pred.groupBy("Fold", "y").agg(F.count("yhat").alias("n"))
 
 
+@query("survey_cross_validation")
+def survey_cross_validation(spark, d):
+    """The whole study on the survey: clean, featurise, prepare, over-sample, fit, score."""
+    features = feature_set("Engineered")
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "cents", "parapet_height_m",
+                                                     "buidling_height_m", "wall_length_side", "dataset_source")
+    rows = view(spark, d, "survey").withColumn("row_id", F.concat_ws("-", "l_orderkey", F.row_number().over(place)))
+    survey = study.engineer(clean_unknowns(rows), "row_id", features.numeric, features.categorical)
+    prep = study.prepare(survey, "row_id", features)
+    scores, _ = study.cross_validate(prep, "row_id", {"RandomForest": _forest(10, 6)}, 2, 1, "Engineered")
+    return rounded(scores, "MacroF1", "Accuracy")
+
+
 @query("smote_ablation")
 def smote_ablation(spark, d):
-    return rounded(pipeline.smote_ablation(_prepared(spark, d), KEY, "Low", _forest(), FOLDS, 1),
+    return rounded(study.smote_ablation(_prepared(spark, d), KEY, "Low", _forest(), FOLDS, 1),
                    "macro_f1", "class_f1")
 
 
@@ -101,7 +116,7 @@ def rfecv(spark, d):
 @query("missingness_sensitivity")
 def missingness_sensitivity(spark, d):
     df = add_noise(view(spark, d, "cases"), KEY)
-    out = pipeline.missingness_sensitivity(df, KEY, FEATURES, ["n_lines"], _forest(10, 4), 2)
+    out = study.missingness_sensitivity(df, KEY, FEATURES, ["n_lines"], _forest(10, 4), 2)
     return rounded(out, *[c for c in out.columns if c != "Feature"])
 
 

@@ -339,6 +339,12 @@ def common_features(spark, d):
     return importance.common_features(_run(spark, d, "A"), _run(spark, d, "R"), exclude=["Brand#13"])
 
 
+@query("distinct_features", f"""{SERIES}, {_RUNS}
+    SELECT Feature FROM A EXCEPT SELECT Feature FROM R WHERE Mean > 25.4""")
+def distinct_features(spark, d):
+    return importance.distinct_features(_run(spark, d, "A"), without=_run(spark, d, "R").filter("Mean > 25.4"))
+
+
 @query("topk_long", f"""{SERIES}, {_RUNS}, w AS (SELECT A.Feature, A.Mean AS a, N.Mean AS n FROM A LEFT JOIN N USING (Feature)
         ORDER BY A.Mean DESC, Feature LIMIT 10)
     SELECT Feature, 'a' AS strategy, {r('a', 'score')} FROM w UNION ALL SELECT Feature, 'n', {r('n', 'score')} FROM w""")

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tabulon.operators.columns import feature_set
 from tabulon.operators.models import random_forest
-from tabulon.plans import pipeline
+from tabulon.plans import study
 from tabulon.sources import read_survey
 
 COLUMNS = ["Degree of damage_u", "Status_U", "Tornado_EF", "Latitude", "Longitude", "tornado_start_lat",
@@ -30,9 +30,9 @@ def survey(spark, tmp_path_factory):
     write_source(folder / "a.csv", 0.0, "utf-8")
     write_source(folder / "b.csv", 0.2, "latin-1")
     raw = {"a": read_survey(spark, str(folder / "a.csv")), "b": read_survey(spark, str(folder / "b.csv"), "ISO-8859-1")}
-    df = pipeline.load_survey(raw).withColumn("row_id", F.concat("dataset_source", F.lit("-"), "unnamed:_0"))
+    df = study.load_survey(raw).withColumn("row_id", F.concat("dataset_source", F.lit("-"), "unnamed:_0"))
     fs = feature_set("Engineered")
-    return pipeline.engineer(df, "row_id", fs.numeric, fs.categorical)
+    return study.engineer(df, "row_id", fs.numeric, fs.categorical)
 
 
 def test_engineered_columns(survey):
@@ -51,7 +51,7 @@ def test_engineered_columns(survey):
 def test_prepared_tables_have_no_gaps(survey):
     fs = feature_set("Engineered")
     for strategy, flags in (("median", ()), ("iterative", ()), ("indicator", ("wall_thickness",))):
-        prep = pipeline.prepare(survey, "row_id", fs, strategy, flags)
+        prep = study.prepare(survey, "row_id", fs, strategy, flags)
         assert prep.classes == ["Low", "Significant", "Undamaged"]
         nulls = prep.table.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in prep.features]).first()
         assert prep.table.count() == 88 and not any(nulls)
@@ -59,8 +59,8 @@ def test_prepared_tables_have_no_gaps(survey):
 
 
 def test_cross_validation_end_to_end(survey):
-    prep = pipeline.prepare(survey, "row_id", feature_set("Distance"))
-    scores, pred = pipeline.cross_validate(prep, "row_id", {"RandomForest": random_forest(5, max_depth=4)}, 2, 1)
+    prep = study.prepare(survey, "row_id", feature_set("Distance"))
+    scores, pred = study.cross_validate(prep, "row_id", {"RandomForest": random_forest(5, max_depth=4)}, 2, 1)
     rows = scores.collect()
     assert len(rows) == 2 and all(0.8 < r.Accuracy <= 1 for r in rows)  # height gives the label away
     assert pred.count() == 88
