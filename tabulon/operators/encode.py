@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.operators.gram import masked_grams
-from tabulon.operators.ordering import exact_quantiles
+from tabulon.operators.ordering import prefix_sums
 from tabulon.session import materialize
 
 NULL_LEVEL = "nan"
@@ -121,16 +121,36 @@ def one_hot(df: DataFrame, cols: Sequence[str], levels: Mapping[str, Sequence[st
     return (df.withColumns(made) if made else df).drop(*cols), hot
 
 
-def medians(df: DataFrame, cols: Sequence[str], stored: bool = False) -> DataFrame:
-    """Exact medians of many columns as one (column, value) problem.
+def medians(df: DataFrame, cols: Sequence[str], stored: bool = False, accuracy: int = 10_000) -> DataFrame:
+    """Exact medians of many columns at once; columns without values are left out.
 
-    The columns are written once, side by side; the long form is only streamed.
+    As in ``exact_quantiles``, a sketch brackets each median, the rows below
+    are counted, and only values inside a bracket are unfolded and ordered.
+    Brackets are two numbers per column.
     """
-    wide = df if stored else materialize(df.select(*cols), "columns")
-    pairs = wide.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])).alias("p")
-    ).select("p.*")
-    return exact_quantiles(pairs, ["column"], "value", {"median": 0.5}, stored=True).select("column", "median")
+    cols = list(cols)
+    wide = (df if stored else materialize(df.select(*cols), "columns")).select(
+        *[F.col(c).cast("double").alias(c) for c in cols])
+    reach = 4.0 / accuracy
+    sketch = wide.agg(*[e for i, c in enumerate(cols) for e in (
+        F.count(c).alias(f"n{i}"), F.percentile_approx(c, [0.5 - reach, 0.5 + reach], accuracy).alias(f"q{i}"))]).first()
+    total = {c: sketch[f"n{i}"] for i, c in enumerate(cols) if sketch[f"n{i}"]}
+    bracket = {c: tuple(sketch[f"q{i}"]) if total[c] > accuracy else (float("-inf"), float("inf"))
+               for i, c in enumerate(cols) if c in total}
+    if not total:
+        return df.sparkSession.createDataFrame([], "column string, median double")
+    below = wide.agg(*[F.count_if(F.col(c) < lo).alias(f"b{i}") for i, (c, (lo, _)) in enumerate(bracket.items())]).first()
+    inside = F.array(*[F.struct(F.lit(c).alias("column"), F.when(F.col(c).between(lo, hi), F.col(c)).alias("value"))
+                       for c, (lo, hi) in bracket.items()])
+    values = wide.select(F.explode(F.filter(inside, lambda v: v["value"].isNotNull())).alias("v")).select("v.*")
+    cells = values.groupBy("column", "value").agg(F.count("*").alias("n"))
+    placed = prefix_sums(cells, ["column"], [F.col("value")], {"before": "n"})
+    known = F.create_map(*[F.lit(x) for i, c in enumerate(bracket) for x in (
+        c, F.struct(F.lit(total[c]).alias("rows"), F.lit(below[f"b{i}"]).alias("below")))])[F.col("column")]
+    start, last = F.col("before") + known["below"], known["rows"] - 1
+    picks = [F.max(F.when((start <= at) & (at < start + F.col("n")), F.col("value")))
+             for at in (F.floor(last / 2), F.ceil(last / 2))]
+    return placed.groupBy("column").agg(((picks[0] + picks[1]) / 2).alias("median"))
 
 
 def impute_median(df: DataFrame, cols: Sequence[str], fitted: Mapping[str, float] | None = None,

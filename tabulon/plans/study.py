@@ -13,8 +13,10 @@ from tabulon.functions.clean import (
     clean_reader_nulls,
     clean_unknowns,
     damage_label,
+    finite,
     parse_ef,
     status_label,
+    string_columns,
     to_numeric,
 )
 from tabulon.functions.geo import segment_distance_km
@@ -52,7 +54,9 @@ def engineer(df: DataFrame, key: str, numeric: Sequence[str], categorical: Seque
     """
     place = existing(("latitude", "longitude", *TRACK), df)
     numbers = existing([c for c in numeric if c not in ("distance_km", "random_noise")], df)
-    typed = {c: to_numeric(c) for c in {*numbers, *place, *existing(["degree_of_damage_u"], df)}}
+    text = set(string_columns(df))
+    typed = {c: to_numeric(c) if c in text else finite(F.col(c).cast("double"))
+             for c in dict.fromkeys([*numbers, *place, *existing(["degree_of_damage_u"], df)])}
     typed |= {c: canonical_category(c) for c in existing(categorical, df)}
     out = df.withColumns(typed)
     made = {}

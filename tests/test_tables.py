@@ -124,6 +124,16 @@ def test_median_of_even_count_and_empty_column(spark):
         encode.impute_median(df, ["a", "b"])
 
 
+def test_medians_from_narrow_brackets(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    data = {"a": rng.gamma(0.5, size=3001), "b": np.round(rng.normal(size=3001)), "c": np.full(3001, 7.0)}
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*data.values())], "a double, b double, c double")
+    got = {r["column"]: r["median"] for r in encode.medians(df.repartition(6), list(data), accuracy=100).collect()}
+    assert got == {c: pytest.approx(np.median(v)) for c, v in data.items()}
+
+
 def test_iterative_imputation_finds_a_linear_rule(spark):
     rows = [(i, float(i), 2.0 * i + 1 if i % 5 else None, float(i % 3), float(i % 3) if i % 7 else None) for i in range(200)]
     df = spark.createDataFrame(rows, "id int, x double, y double, z double, c double")
