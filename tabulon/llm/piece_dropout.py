@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.llm.bpe import NEVER, merge_agenda
-from tabulon.llm.registry import query, table
+from tabulon.llm.registry import query, ship, table
 
 SPACE_MARK = "▁"
 _MASK = (1 << 64) - 1
@@ -176,10 +176,10 @@ def encode_pieces(
     if not 0 <= dropout < 1 or replicas < 1:
         raise ValueError("dropout must be in [0, 1), replicas at least 1")
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(load_piece_model(path))
+    shared = ship(spark, load_piece_model(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = PieceModel(*shared.value)
         encoder = PieceEncoder(model, dropout, seed, replicas)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import fields
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,3 +28,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession, record: object) -> Broadcast:
+    """Broadcast the fields of a dataclass as a plain tuple, so executors need no copy of this package."""
+    return spark.sparkContext.broadcast(tuple(getattr(record, f.name) for f in fields(record)))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tabulon.llm.bpe import NEVER, merge_agenda
-from tabulon.llm.registry import query, table
+from tabulon.llm.registry import query, ship, table
 
 _KEPT_WORD, _KEPT_WORDS = 48, 400_000  # characters of a remembered piece; pieces a task remembers
 
@@ -130,10 +130,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, key: str = "doc_i
     Only the key and the text column are read.  A null text counts as empty;
     empty texts have 0 bytes and tokens.  Repeated rows stay repeated.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(load_merges(path))
+    shared = ship(docs.sparkSession, load_merges(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(shared.value)
+        counter = TokenCounter(Merges(*shared.value))
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             tokens = np.array([counter.count(t) for t in texts], np.int64)
