@@ -1,4 +1,4 @@
 """All queries of this folder, in the order of their numbers."""
 
-from tabulon.llm import kneser_ney, line_dedup, mixing, piece_dropout, token_counts, url_lists  # noqa: F401
+from tabulon.llm import cross_entropy, kneser_ney, line_dedup, mixing, piece_dropout, token_counts, url_lists  # noqa: F401
 from tabulon.llm.registry import ORACLES, QUERIES  # noqa: F401
