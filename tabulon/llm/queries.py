@@ -1,4 +1,15 @@
 """All queries of this folder, in the order of their numbers."""
 
-from tabulon.llm import cross_entropy, kneser_ney, line_dedup, mixing, piece_dropout, shingle_join, token_counts, url_lists  # noqa: F401
+from tabulon.llm import (  # noqa: F401
+    cover_tree,
+    cross_entropy,
+    hamming,
+    kneser_ney,
+    line_dedup,
+    mixing,
+    piece_dropout,
+    shingle_join,
+    token_counts,
+    url_lists,
+)
 from tabulon.llm.registry import ORACLES, QUERIES  # noqa: F401

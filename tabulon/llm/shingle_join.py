@@ -12,11 +12,13 @@ partial counts are summed per pair.
    hashes of a single class go.
 3. Lists of up to ``LIST`` classes count partial overlaps of all their pairs.
    Pairs that cannot reach 1 + e, even if all their hashes in longer lists were
-   shared, go.  Longer lists only matter to classes with more than e hashes in
-   them: such classes meet a few leaders of their lists first, and then only
-   classes of their lists that are not in their component by then.
-4. The other fragments are fetched for the classes of pairs that are left,
-   intersected one by one, and summed.  What reaches the threshold is a link.
+   shared, go.  Of the rest, all fragments are intersected one by one and the
+   partial counts summed; what reaches the threshold is a link.
+4. Longer lists only matter between classes with more than e hashes in them.
+   These stand in a second order, rarest hashes first, where long passages that
+   many documents share come last.  In its lists a class first meets the leader
+   that most of its lists have, in a few rounds, and at last the classes that
+   are not in its component by then.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulon.llm.graph import components
@@ -230,6 +232,19 @@ def _ordered(rows: DataFrame) -> DataFrame:
         F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("nb")).distinct()
 
 
+def rare_first_lists(fragments: DataFrame, percent: int) -> DataFrame:
+    """(t, s, n): for each class, the n - ceil(t n) + 1 hashes that fewest of these classes have.
+
+    Similar classes share at least one of them.  Hashes of a single class go.
+    """
+    tokens = fragments.select("s", "n", F.explode("part").alias("t"))
+    shared = tokens.groupBy("t").agg(F.count("*").alias("m"))
+    place = F.row_number().over(Window.partitionBy("s").orderBy("m", "t"))
+    ranked = tokens.join(shared, "t").withColumn("place", place)
+    head = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return ranked.where((F.col("place") <= head) & (F.col("m") > 1)).select("t", "s", "n")
+
+
 def _with_component(rows: DataFrame, parts: DataFrame | None) -> DataFrame:
     if parts is None:
         return rows.withColumn("c", F.col("s"))
@@ -254,8 +269,7 @@ def shingle_links(docs: DataFrame, sets: DataFrame, key: str, text: str, width:
     rows = rows.join(hot_count, "s")
     in_short = rows.where(~F.col("hot")).select("t", "s", "n", "h")
     least_n = F.ceil(F.col("n") * percent / 100)
-    unsafe = F.col("h") > F.floor(least_n / 20)
-    in_long = materialize(rows.where(F.col("hot") & unsafe).select("t", "s", "n", "h"), "long-lists")
+    unsafe = materialize(rows.where(F.col("h") > F.floor(least_n / 20)).select("s", "n").distinct(), "unsafe")
 
     x = in_short.select("t", F.col("s").alias("x"), F.col("n").alias("nx"), F.col("h").alias("hx"))
     y = in_short.select("t", F.col("s").alias("y"), F.col("n").alias("ny"), F.col("h").alias("hy"))
@@ -264,11 +278,12 @@ def shingle_links(docs: DataFrame, sets: DataFrame, key: str, text: str, width:
     reach = F.col("o") + F.least("hx", "hy") > F.least(F.floor(F.col("nx") / 20), F.floor(F.col("ny") / 20))
     short_pairs = materialize(_ordered(met.where(reach)), "short-pairs")
 
-    involved = (short_pairs.select(F.col("a").alias("s")).union(short_pairs.select("b")).union(in_long.select("s")).distinct()
+    involved = (short_pairs.select(F.col("a").alias("s")).union(short_pairs.select("b")).union(unsafe.select("s")).distinct()
                 .join(classes, "s").select("doc"))
     fragments = materialize(fragment_rows(docs, materialize(involved, "wanted"), key, text, width), "fragments")
     links = materialize(verified(short_pairs, fragments, percent), "short-links")
 
+    in_long = materialize(rare_first_lists(fragments.join(unsafe, "s"), percent), "long-lists")
     tested = None
     for turn in range(LEADER_ROUNDS + 1):
         if not in_long.take(1):
@@ -279,7 +294,7 @@ def shingle_links(docs: DataFrame, sets: DataFrame, key: str, text: str, width:
         if not mixed.take(1):
             break
         if turn < LEADER_ROUNDS:
-            order = F.struct(F.xxhash64("s", F.lit(turn)), "s", "n", "c") if turn else F.struct("h", "s", "n", "c")
+            order = F.struct(F.xxhash64("s", F.lit(turn)), "s", "n", "c")
             leader = now.groupBy("t").agg(F.max(order).alias("l")).select(
                 "t", F.col("l.s").alias("y"), F.col("l.n").alias("ny"), F.col("l.c").alias("cy"))
             led = now.join(mixed.select("t"), "t", "left_semi").join(leader, "t").where(F.col("c") != F.col("cy"))
