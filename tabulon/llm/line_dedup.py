@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.registry import query, table
+from tabulon.llm.registry import free_name, query, table
 from tabulon.session import materialize
 
 MIN_CHARS = 20  # shorter lines are compared exactly
@@ -42,6 +42,11 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
         "doc", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"))
 
 
+def _side(rows: DataFrame) -> DataFrame:
+    """A written table as a join side: broadcast if it has few rows, else left to a shuffle."""
+    return F.broadcast(rows) if rows.count() <= _SMALL else rows
+
+
 def near_lines(known: DataFrame, lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(h1, h2) of distinct lines that have an earlier line within one edit.
 
@@ -49,32 +54,37 @@ def near_lines(known: DataFrame, lines: DataFrame, min_chars: int = MIN_CHARS) -
     being its first place.  The earlier line need not itself be kept.
     """
     long = known.where(F.col("n") >= min_chars)
-    keys = long.select("h1", "h2", F.explode(F.array("k0", "k1", "k2", "k3")).alias("k"))
-    shared = (keys.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b"))
-              .where(F.col("a") != F.col("b")).select("k"))
-    paired = materialize(keys.join(shared, "k").select("h1", "h2").distinct(), "lines-paired")
-    few = paired.count() <= _SMALL
-    texts = (lines.join(F.broadcast(paired) if few else paired, ["h1", "h2"])
-             .groupBy("h1", "h2").agg(F.first("line").alias("line")))
-    left = materialize(texts.join(long.select("h1", "h2", "at", "n"), ["h1", "h2"]), "lines-left")
-
-    spot = left.select("h1", "h2", "at", "n", "line", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("p"))
+    keys = long.select("h1", "h2", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("i", "k"))
+    shared = materialize(keys.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b"))
+                         .where(F.col("a") != F.col("b")).select("k"), "lines-halves")
+    is_head = F.col("i") % 2 == 0
+    paired = materialize(keys.join(_side(shared), "k").groupBy("h1", "h2").agg(
+        F.max(is_head).alias("head"), F.max(~is_head).alias("tail")), "lines-paired")
+    texts = lines.join(_side(paired.select("h1", "h2")), ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    left = materialize(texts.join(long.select("h1", "h2", "at", "n"), ["h1", "h2"]).join(paired, ["h1", "h2"]), "lines-left")
+
+    low = F.when(F.col("tail"), 1).otherwise(F.floor((F.col("n") + 1) / 2).cast("int"))  # an equal head leaves the rest
+    high = F.when(F.col("head"), F.col("n")).otherwise(F.floor(F.col("n") / 2).cast("int") + 1)
+    spot = left.select("h1", "at", "n", "line", F.explode(F.sequence(low, high)).alias("p"))
     variant = F.xxhash64(F.concat(F.substring("line", F.lit(1), F.col("p") - 1),
                                   F.substring("line", F.col("p") + 1, F.col("n"))))
-    variants = spot.select("h1", "h2", "at", "n", "p", variant.alias("v"))
+    variants = spot.select("h1", "at", "n", "p", variant.alias("v"))
     group = ["v", "n", "p"]
-    stars = (variants.groupBy(*group).agg(F.min("at").alias("first"), F.max("at").alias("last"))
-             .where(F.col("first") < F.col("last")).drop("last"))
-    replaced = (variants.join(stars, group).where(F.col("first") < F.col("at"))
-                .select("first", F.col("at").alias("later")).distinct())
+    several = (variants.groupBy(*group).agg(F.min("h1").alias("a"), F.max("h1").alias("b"))
+               .where(F.col("a") != F.col("b")).select("v"))
     whole = left.select(F.col("h1").alias("v"), (F.col("n") + 1).alias("n"), F.col("at").alias("short_at"))
-    inserted = (variants.join(whole, ["v", "n"])
+    wanted = materialize(several.union(whole.select("v")).distinct(), "lines-wanted")
+    met = materialize(variants.join(_side(wanted), "v").drop("h1"), "lines-met")
+    stars = met.groupBy(*group).agg(F.min("at").alias("first"))
+    replaced = (met.join(stars, group).where(F.col("first") < F.col("at"))
+                .select("first", F.col("at").alias("later")).distinct())
+    inserted = (met.join(whole, ["v", "n"])
                 .select(F.least("at", "short_at").alias("first"), F.greatest("at", "short_at").alias("later")).distinct())
     places = left.select("at", "line", "h1", "h2")
     pairs = replaced.union(inserted).distinct()
     pairs = pairs.join(places.select(F.col("at").alias("first"), F.col("line").alias("a")), "first")
     pairs = pairs.join(places.withColumnsRenamed({"at": "later", "line": "b"}), "later")
-    return pairs.where(F.levenshtein("a", "b", 1) >= 0).select("h1", "h2").distinct()
+    return materialize(pairs.where(F.levenshtein("a", "b", 1) >= 0).select("h1", "h2").distinct(), "lines-near")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS,
@@ -86,10 +96,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     on, when a line within one edit is first seen earlier.  Blank lines stay.
     Documents are never removed: if all lines go, the text is empty; null and
     empty texts stay as they are.  Rows repeated with key and text count as one
-    place and keep the same lines; ``dropped`` must not be a column already.
+    place and keep the same lines.  If ``docs`` has a column named like
+    ``dropped``, the added one gets underscores at its end.
     """
-    if dropped in docs.columns:
-        raise ValueError(f"{dropped} is a column already; choose another name")
+    dropped, doc, lost_lines = (free_name(c, docs.columns) for c in (dropped, "__doc", "__gone"))
     lines = _lines(docs, key, text)
     n = F.length("line")
     half = _half_keys(F.col("line"), n)
@@ -104,14 +114,14 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     place = F.struct("doc", "pos")
     gone = (lines.select("doc", "pos", "h1", "h2").join(again, ["h1", "h2"])
             .where(F.col("at").isNull() | ~place.eqNullSafe(F.col("at")))
-            .groupBy("doc").agg(F.collect_set(F.struct("pos", "h1")).alias("__gone")))
-    gone = gone.withColumnRenamed("doc", "__doc")
-    joined = docs.join(gone, docs[key].eqNullSafe(gone["__doc"]), "left")
+            .groupBy("doc").agg(F.collect_set(F.struct("pos", "h1")).alias(lost_lines)))
+    gone = materialize(gone.withColumnRenamed("doc", doc), "lines-gone")
+    joined = docs.join(gone, docs[key].eqNullSafe(gone[doc]), "left")
     parts = F.split(docs[text], "\n")
     kept = F.filter(parts, lambda x, i: ~F.array_contains(
-        F.col("__gone"), F.struct(i.alias("pos"), F.xxhash64(x).alias("h1"))))
-    fresh = F.when(F.col("__gone").isNull(), docs[text]).otherwise(F.array_join(kept, "\n"))
-    lost = F.when(F.col("__gone").isNull() | docs[text].isNull(), 0).otherwise(F.size(parts) - F.size(kept))
+        F.col(lost_lines), F.struct(i.alias("pos"), F.xxhash64(x).alias("h1"))))
+    fresh = F.when(F.col(lost_lines).isNull(), docs[text]).otherwise(F.array_join(kept, "\n"))
+    lost = F.when(F.col(lost_lines).isNull() | docs[text].isNull(), 0).otherwise(F.size(parts) - F.size(kept))
     return joined.select(*[fresh.alias(c) if c == text else docs[c] for c in docs.columns], lost.alias(dropped))
 
 

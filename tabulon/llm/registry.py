@@ -33,3 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ship(spark: SparkSession, record: object) -> Broadcast:
     """Broadcast the fields of a dataclass as a plain tuple, so executors need no copy of this package."""
     return spark.sparkContext.broadcast(tuple(getattr(record, f.name) for f in fields(record)))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores added until no column is called so."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
