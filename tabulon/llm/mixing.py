@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.registry import query, table
+from tabulon.llm.registry import free_name, query, table
 
 _DRAW = 32.0  # largest mean of one draw; larger means are sums of independent draws
 
@@ -92,10 +92,10 @@ def mix_sources(
     ``weights`` names target shares of sources; ``other`` is the share of all
     sources not named, a null source among them.  Rows that repeat a key have
     the same count.  Null and empty texts weigh one character.  An empty table
-    gives an empty table; columns named like ``copy`` or ``order`` are an error.
+    gives an empty table.  If ``docs`` has columns named like ``copy`` or
+    ``order``, the added ones get underscores at their ends.
     """
-    if {copy, order} & set(docs.columns):
-        raise ValueError(f"{copy} or {order} is a column already; choose other names")
+    copy, order = free_name(copy, docs.columns), free_name(order, docs.columns)
     named, rest = source_rates(docs, weights, other, ratio, source, text)
     count = poisson_count(rest, seed, F.col(key))
     for s, rate in named.items():
