@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tabulon.operators.gram import masked_grams
 from tabulon.operators.ordering import prefix_sums
-from tabulon.session import materialize
+from tabulon.session import discard, materialize
 
 NULL_LEVEL = "nan"
 MAX_LEVELS = 10_000
@@ -200,17 +200,22 @@ def _evidence_ridge(gram: np.ndarray, target: int, others: list[int], rounds: in
     return weights, my - mx @ weights
 
 
-def impute_iterative(df: DataFrame, cols: Sequence[str], rounds: int = 10, codes: Sequence[str] = ()) -> DataFrame:
+def impute_iterative(df: DataFrame, cols: Sequence[str], rounds: int = 10, codes: Sequence[str] = (),
+                     refit: str = "column") -> DataFrame:
     """Chained-equation imputation of a numeric matrix.
 
-    Nulls start at the column mean.  Every round takes one pass for the moment
-    matrices of all incomplete columns, solves them on the driver (columns by
-    columns in size, whatever the number of rows), and fills all nulls in one
-    write, which keeps the plan flat.  Inside a row the columns are filled one
-    after the other, fewest nulls first, each from the newest values of the
-    others.  Rounds end early when no equation moves any more.  ``codes`` are
-    rounded half to even at the end.
+    Nulls start at the column mean.  In a round the columns are filled one after
+    the other, fewest nulls first, each from the newest values of the others.
+    With ``refit="column"`` every equation is fitted to those newest values: one
+    pass for its moment matrix and one write per column.  With ``"round"`` all
+    equations of a round are fitted in one pass, which is cheaper and settles at
+    the same equations.  The matrices are solved on the driver (columns by
+    columns in size, whatever the number of rows); a step's table is deleted
+    when the next one is written.  Rounds end early when no equation moves any
+    more.  ``codes`` are rounded half to even at the end.
     """
+    if refit not in ("column", "round"):
+        raise ValueError("refit is column or round")
     cols = list(cols)
     first = df.agg(*[F.avg(c).alias(c) for c in cols], *[F.count_if(F.col(c).isNull()).alias(f"n__{c}") for c in cols]
                    ).first()
@@ -225,17 +230,26 @@ def impute_iterative(df: DataFrame, cols: Sequence[str], rounds: int = 10, codes
     work = materialize(work, "impute")
     before = None
     for _ in range(rounds):
-        grams = masked_grams(work, cols, {c: f"__m_{c}" for c in todo}, centre)
+        grams = masked_grams(work, cols, {c: f"__m_{c}" for c in todo}, centre) if refit == "round" else {}
+        old = work
         equations = np.zeros((len(todo), len(cols) + 1))
         for at, c in enumerate(todo):
             j = cols.index(c)
             others = [i for i in range(len(cols)) if i != j]
+            if refit == "column":
+                grams = masked_grams(work, cols, {c: f"__m_{c}"}, centre)
             weights, shift = _evidence_ridge(grams[c], j, others)
             equations[at, others], equations[at, -1] = weights, shift
             guess = sum((F.lit(float(w)) * (F.col(cols[i]) - F.lit(centre[i])) for w, i in zip(weights, others)),
                         F.lit(float(centre[j] + shift)))
             work = work.withColumn(c, F.when(F.col(f"__m_{c}"), guess).otherwise(F.col(c)))
-        work = materialize(work, "impute")
+            if refit == "column":
+                work = materialize(work, "impute")
+                discard(old)
+                old = work
+        if refit == "round":
+            work = materialize(work, "impute")
+            discard(old)
         if before is not None and np.allclose(equations, before, rtol=1e-6, atol=1e-12):
             break
         before = equations

@@ -39,14 +39,16 @@ def first_split(folds: DataFrame) -> DataFrame:
 
 
 def with_partner(df: DataFrame, key: str, cols: Sequence[str], by: Sequence[str], seed: int = 42,
-                 suffix: str = "_perm") -> DataFrame:
+                 suffix: str = "_perm", own: bool = False) -> DataFrame:
     """Give each row the columns of another row of its group, by a permutation.
 
-    The place in plain hash order meets the place in seeded hash order.
+    The place in plain hash order meets the place in seeded hash order.  With
+    ``own`` the group is part of the seed, so groups that hold the same keys
+    are permuted independently.
     """
     by = list(by)
     here = hash_position(df.withColumn("__h", key_hash(key)), "__h", "__pos", by, [key]).drop("__h")
-    there = df.select(*by, key, *cols).withColumn("__h", key_hash(key, F.lit(seed)))
+    there = df.select(*by, key, *cols).withColumn("__h", key_hash(key, *(by if own else []), F.lit(seed)))
     there = hash_position(there, "__h", "__pos", by, [key]).select(
         *by, "__pos", *[F.col(c).alias(f"{c}{suffix}") for c in cols])
     return null_safe_join(here, there, [*by, "__pos"], "inner").drop("__pos")

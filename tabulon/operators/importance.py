@@ -14,6 +14,7 @@ from tabulon.operators.evaluate import fold_scores
 from tabulon.operators.folds import stratified_folds, with_partner
 from tabulon.operators.models import Fit, Resampler, map_folds
 from tabulon.operators.ordering import list_rank, top_k
+from tabulon.operators.resample import smotenc
 from tabulon.session import materialize, side_by_side
 
 
@@ -21,13 +22,16 @@ def permutation_scores(model, held: DataFrame, key: str, features: Sequence[str]
                        seed: int = 42) -> DataFrame:
     """Score lost per feature when its column is shuffled: ``(Feature, Decrease)``.
 
-    Every row gets a partner row by one permutation.  A scored copy of a row
-    takes a single feature from the partner, so all features (and the
+    Every feature has a permutation of its own.  A scored copy of a row takes
+    a single feature from that feature's partner row, so all features (and the
     untouched baseline) go through the model in one job.
     """
     names = list(features)
     rows = held.select(key, "label", F.array(*[F.col(f).cast("double") for f in names]).alias("x"))
-    mixed = with_partner(rows, key, ["x"], (), seed)
+    cells = rows.select(key, F.posexplode("x").alias("swap", "v"))
+    partners = with_partner(cells, key, ["v"], ["swap"], seed, own=True).groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("swap", "v_perm"))).alias("p"))
+    mixed = rows.join(partners, key).withColumn("x_perm", F.col("p.v_perm"))
     copies = mixed.withColumn("swap", F.explode(F.sequence(F.lit(-1), F.lit(len(names) - 1))))
     swapped = F.transform("x", lambda v, i: F.when(i == F.col("swap"), F.col("x_perm")[i]).otherwise(v))
     scored = model.transform(copies.withColumn("features", array_to_vector(swapped)))
@@ -92,11 +96,18 @@ def _eliminate(train: DataFrame, features: Sequence[str], fit: Fit, step: int, d
 
 
 def rfecv(df: DataFrame, key: str, features: Sequence[str], fit: Fit, cv: int = 3, step: int = 1,
-          seed: int = 42) -> DataFrame:
+          seed: int = 42, resample: Resampler | None = None) -> DataFrame:
     """Recursive elimination; the number of features is chosen by macro F1.
 
-    Returns ``(Feature, Ranking, Support, Best_Score)``; rank 1 is kept.
+    Returns ``(Feature, Ranking, Support, Best_Score)``; rank 1 is kept.  With
+    ``resample`` the rows are over-sampled first, as the original study does
+    with the training part of one split; synthetic rows get keys of their own.
     """
+    if resample is not None:
+        num, cat = ([c for c in features if c in part] for part in (resample.numeric, resample.categorical))
+        more = smotenc(df.select(key, "label", *features), key, "label", num, cat, resample.k, resample.seed,
+                       few=resample.few, digest="__digest")
+        df = more.withColumn(key, F.coalesce(F.col(key).cast("string"), F.concat(F.lit("synthetic-"), "__digest")))
     folds = stratified_folds(df, key, "label", cv, seed)
     joined = materialize(df.select(key, "label", *features).join(folds, key), "rfe")
 

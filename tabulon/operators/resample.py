@@ -27,14 +27,18 @@ def _coordinate(near: str, place: int) -> Column:
 
 
 def smotenc(df: DataFrame, key: str, label: str, num: Sequence[str], cat: Sequence[str] = (), k: int = 5,
-            seed: int = 42, **sizes) -> DataFrame:
+            seed: int = 42, few: str = "raise", digest: str | None = None, **sizes) -> DataFrame:
     """Raise every class to the size of the largest by synthetic rows.
 
     A synthetic row lies between a real row and one of its ``k`` nearest rows
     of the class; its categories are the most frequent ones among the ``k``.
     The real rows of a class take turns in hash order, so the new rows are
-    spread evenly.  Categories must be numeric codes.
+    spread evenly.  Categories must be numeric codes.  A class to be raised that
+    has at most ``k`` rows is an error, or with ``few="keep"`` leaves all rows
+    as they are.  ``digest`` names a column that tells synthetic rows apart.
     """
+    if few not in ("raise", "keep"):
+        raise ValueError("few is raise or keep")
     num, cat = list(num), list(cat)
     known = class_profile(df, label, num)
     counts = {c: n for c, (n, _) in known.items()}
@@ -42,6 +46,10 @@ def smotenc(df: DataFrame, key: str, label: str, num: Sequence[str], cat: Sequen
     need = {c: most - n for c, n in counts.items() if n < most}
     small = {c: counts[c] for c in need if counts[c] <= k}
     real = df.select(key, label, *num, *cat).withColumn("synthetic", F.lit(False))
+    if digest is not None:
+        real = real.withColumn(digest, F.lit(None).cast("string"))
+    if small and few == "raise":
+        raise ValueError(f"classes {sorted(small)} have at most {k} rows")
     if small:
         log.warning("classes %s have at most %d rows; rows are used as they are", small, k)
         return real
@@ -68,7 +76,8 @@ def smotenc(df: DataFrame, key: str, label: str, num: Sequence[str], cat: Sequen
     for j, c in enumerate(cat):
         made[c] = _mode(_coordinate("near", len(num) + j))
     new = many.select(F.lit(None).cast(df.schema[key].dataType).alias(key), label,
-                      *[made[c].alias(c) for c in [*num, *cat]], F.lit(True).alias("synthetic"))
+                      *[made[c].alias(c) for c in [*num, *cat]], F.lit(True).alias("synthetic"),
+                      *([F.col("__d").alias(digest)] if digest is not None else []))
     return real.unionByName(new)
 
 

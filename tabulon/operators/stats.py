@@ -47,13 +47,13 @@ def signed_rank_p(n: int, plus: float, ties: float, zeros: int) -> float:
 
 def _rank_sum_counts(n1: int, n2: int) -> np.ndarray:
     """Ways to reach each U value: choose n1 of n1 + n2 places."""
-    top = n1 * n2
-    ways = np.zeros((n1 + 1, top + n1 * (n1 + 1) // 2 + 1))
-    ways[0, 0] = 1
-    for r in range(1, n1 + n2 + 1):
-        for k in range(min(r, n1), 0, -1):
-            ways[k, r:] += ways[k - 1, :-r]
-    return ways[n1, n1 * (n1 + 1) // 2:]
+    ways = np.zeros(n1 * n2 + 1)
+    ways[0] = 1
+    for i in range(1, n1 + 1):  # times (1 - q^(n2 + i)), over (1 - q^i): a polynomial in q again
+        ways[n2 + i:] -= ways[:-(n2 + i)].copy()
+        for first in range(i):
+            np.cumsum(ways[first::i], out=ways[first::i])
+    return ways
 
 
 def rank_sum_p(n1: int, n2: int, u1: float, ties: float) -> float:
@@ -61,7 +61,7 @@ def rank_sum_p(n1: int, n2: int, u1: float, ties: float) -> float:
     if not n1 or not n2:
         return float("nan")
     u = max(u1, n1 * n2 - u1)
-    if min(n1, n2) <= EXACT_RANK_SUM and ties == 0 and n1 * n2 <= 100_000:
+    if min(n1, n2) <= EXACT_RANK_SUM and ties == 0:
         small, large = min(n1, n2), max(n1, n2)
         counts = _rank_sum_counts(small, large)
         return float(min(1.0, 2 * counts[int(math.ceil(u)):].sum() / counts.sum()))

@@ -105,9 +105,34 @@ def _profile_sql(t: str, cols: dict[str, str]) -> str:
 
 
 @query("profile_columns", _profile_sql("customer", {
-    "c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_mktsegment": "string"}))
+    "c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double",
+    "c_mktsegment": "string"}))
 def profile_columns(spark, d):
-    return profile(table(spark, d, "customer").drop("c_acctbal"))
+    return profile(table(spark, d, "customer"))
+
+
+@query("profile_counts", """
+    SELECT "column", type, "rows", non_null, min_value FROM (""" + _profile_sql("orders", {
+    "o_orderkey": "bigint", "o_orderstatus": "string", "o_orderpriority": "string"}) + ")")
+def profile_counts(spark, d):
+    """One plain pass, without distinct counts."""
+    return profile(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), distinct=False)
+
+
+@query("export_engineered", f"""{SURVEY}
+    SELECT archetype, count(*) AS n, count(aspect) AS n_aspect, {r('sum(aspect)', 'aspect')}, {r('sum(slender)', 'slender')},
+           count(CASE WHEN lower(trim(occupany_u)) IN ('un', 'unknown', 'n/a', 'na') THEN NULL ELSE occupany_u END) AS n_occupied
+    FROM (SELECT *, buidling_height_m / nullif(least(wall_length_front, wall_length_side), 0) AS aspect,
+                 buidling_height_m * 1000 / nullif(wall_thickness, 0) AS slender FROM survey) GROUP BY archetype""")
+def export_engineered(spark, d):
+    """The cleaned and engineered table, written and read back."""
+    path = scratch_path(spark, "engineered")
+    df = ratios.geometric_ratios(clean.clean_unknowns(view(spark, d, "survey"))).withColumn("unnamed:_7", F.lit(1))
+    export_features(df, path, "parquet")
+    back = spark.read.parquet(path)
+    return rounded(back.groupBy("archetype").agg(
+        F.count("*").alias("n"), F.count("aspect_ratio").alias("n_aspect"), F.sum("aspect_ratio").alias("aspect"),
+        F.sum("wall_slenderness").alias("slender"), F.count("occupany_u").alias("n_occupied")), "aspect", "slender")
 
 
 # ---- cleaning and predicates ----
@@ -305,12 +330,24 @@ for _i, _a in enumerate(text.ABBREVIATIONS):
 _WS = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 from tabulon.plans.registry import ORACLES  # noqa: E402
 
-ORACLES["split_sentences"] = f"""
+_ABBR_WORDS = "text"
+for _a in text.ABBREVIATIONS:
+    _dots = _a[:-1].replace(".", "[.]")
+    _ABBR_WORDS = f"regexp_replace({_ABBR_WORDS}, '(^|[^\\p{{L}}\\p{{N}}_])({_dots})[.]', '\\1\\2' || chr(1), 'g')"
+_SENTENCES = """
     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS pos,
            replace(s, chr(1), '.') AS sentence FROM (
         SELECT doc_id, unnest(parts) AS s, unnest(range(len(parts))) AS i FROM (
-            SELECT doc_id, string_split(regexp_replace({_ABBR}, '([.?!]){_WS}+', '\\1' || chr(2), 'g'), chr(2)) AS parts
+            SELECT doc_id, string_split(regexp_replace(%s, '([.?!])%s+', '\\1' || chr(2), 'g'), chr(2)) AS parts
             FROM documents)) WHERE s <> ''"""
+ORACLES["split_sentences"] = _SENTENCES % (_ABBR, _WS)
+
+
+@query("split_sentences_words", _SENTENCES % (_ABBR_WORDS, _WS))
+def split_sentences_words(spark, d):
+    """The default mode: an abbreviation protects only when it is a word of its own."""
+    return table(spark, d, "documents").select("doc_id", F.posexplode(text.split_sentences("text")).alias("pos", "sentence"))
+
 
 
 # ---- encoding and imputation ----
@@ -380,7 +417,7 @@ def impute_iterative(spark, d):
     df, _ = encode.ordinal_encode(view(spark, d, "cases"), ["lang", "source"], keep_null=True)
     cols = ["n_chars", "n_blanks", "n_lines", "lang", "source"]
     df = df.withColumn("lang", F.when(F.col("n_lines").isNotNull() | (F.col("n_chars") > 500), F.col("lang")))
-    return rounded(encode.impute_iterative(df.select("doc_id", *cols), cols, rounds=3, codes=["lang", "source"]),
+    return rounded(encode.impute_iterative(df.select("doc_id", *cols), cols, codes=["lang", "source"]),
                    "n_lines")
 
 
@@ -390,7 +427,7 @@ def impute_iterative_known(spark, d):
     """Known values come through unchanged and every gap is filled."""
     df = view(spark, d, "cases").select("doc_id", "n_chars", "n_blanks", "n_lines")
     df = df.withColumn("was_gap", F.col("n_lines").isNull())
-    out = encode.impute_iterative(df, ["n_chars", "n_blanks", "n_lines"], rounds=2)
+    out = encode.impute_iterative(df, ["n_chars", "n_blanks", "n_lines"])
     known = F.when(~F.col("was_gap"), F.col("n_lines"))
     return out.select("doc_id", "n_chars", "n_blanks", known.alias("n_lines"), "was_gap",
                       F.col("n_lines").isNotNull().alias("complete"))

@@ -23,15 +23,16 @@ CASES = with_views("cases")
 KEY = "doc_id"
 FEATURES = FeatureSet("cases", ("n_chars", "n_blanks", "n_lines", "random_noise"), ("lang", "source"))
 LEVELS = ["Low", "Significant", "Undamaged"]
-TREES, DEPTH, FOLDS = 20, 5, 3
+FOLDS, REPEATS = 5, 5
+FIT_ROWS = 4_000  # labelled rows of the survey that a study may use, in hash order
 
 
 def _prepared(spark, d, strategy="median", flags=()):
     return study.prepare(add_noise(view(spark, d, "cases"), KEY), KEY, FEATURES, strategy, flags)
 
 
-def _forest(n=TREES, depth=DEPTH, min_leaf=2):
-    return models.random_forest(n, min_leaf, max_depth=depth)
+def _forest(n=200, min_leaf=2):
+    return models.random_forest(n, min_leaf)
 
 
 def _one_hot(spark, d):
@@ -47,15 +48,14 @@ _PER_FOLD = f"""{CASES}, f AS (SELECT target, (row_number() OVER (ORDER BY targe
     FROM cases)"""
 
 
-def _scores(spark, d, name, resample=True):
+def _scores(spark, d, name):
     prep = _prepared(spark, d)
-    scores, _ = study.cross_validate(prep, KEY, {name: models.model_registry(small=True)[name]}, FOLDS, 1,
-                                        resample=resample)
+    scores, _ = study.cross_validate(prep, KEY, {name: models.model_registry()[name]}, FOLDS, REPEATS)
     return rounded(scores, "MacroF1", "Accuracy")
 
 
 for _name in ("DecisionTree", "RandomForest", "LogisticRegression", "RidgeClassifier", "LinearSVC", "GradientBoosting"):
-    query(f"cross_validate_{_name}")(lambda spark, d, n=_name: _scores(spark, d, n, n in ("DecisionTree", "RandomForest")))
+    query(f"cross_validate_{_name}")(lambda spark, d, n=_name: _scores(spark, d, n))
 
 
 @query("fold_predictions", f"""{_PER_FOLD}
@@ -65,7 +65,7 @@ def fold_predictions(spark, d):
     """Each row is predicted once: class counts per fold equal the fold table's."""
     prep = _prepared(spark, d)
     made = folds.stratified_folds(prep.table, KEY, "label", FOLDS)
-    pred = models.fit_predict(prep.table, KEY, prep.features, made, {"RandomForest": _forest(5)})
+    pred = models.fit_predict(prep.table, KEY, prep.features, made, {"RandomForest": _forest()})
     return pred.groupBy("Fold", "y").agg(F.count("yhat").alias("n"))
 
 
@@ -77,22 +77,22 @@ def survey_cross_validation(spark, d):
                                                      "buidling_height_m", "wall_length_side", "dataset_source")
     rows = view(spark, d, "survey").withColumn("row_id", F.concat_ws("-", "l_orderkey", F.row_number().over(place)))
     survey = study.engineer(clean_unknowns(rows), "row_id", features.numeric, features.categorical)
-    prep = study.prepare(survey, "row_id", features)
-    scores, _ = study.cross_validate(prep, "row_id", {"RandomForest": _forest(10, 6)}, 2, 1, "Engineered")
+    prep = study.prepare(study.labelled_sample(survey, "row_id", features.label, FIT_ROWS), "row_id", features)
+    scores, _ = study.cross_validate(prep, "row_id", {"RandomForest": _forest()}, FOLDS, REPEATS, "Engineered")
     return rounded(scores, "MacroF1", "Accuracy")
 
 
 @query("smote_ablation")
 def smote_ablation(spark, d):
-    return rounded(study.smote_ablation(_prepared(spark, d), KEY, "Low", _forest(), FOLDS, 1),
+    return rounded(study.smote_ablation(_prepared(spark, d), KEY, "Low", _forest(100, 1), FOLDS, REPEATS),
                    "macro_f1", "class_f1")
 
 
 @query("permutation_importance")
 def permutation_importance(spark, d):
     prep = _prepared(spark, d)
-    made = folds.stratified_folds(prep.table, KEY, "label", FOLDS)
-    imp = importance.permutation_importance(prep.table, KEY, prep.features, made, {"RandomForest": _forest()})
+    made = folds.repeated_folds(prep.table, KEY, "label", FOLDS, REPEATS)
+    imp = importance.permutation_importance(prep.table, KEY, prep.features, made, {"RandomForest": _forest()}, prep.resampler)
     return rounded(imp, "Decrease_in_Accuracy")
 
 
@@ -103,20 +103,23 @@ def permutation_importance_constant(spark, d):
     prep = _prepared(spark, d)
     df = prep.table.withColumn("same", F.lit(1.0))
     feats = [*prep.features, "same"]
-    model = _forest(5)(encode.assemble(df, feats))
+    model = _forest()(encode.assemble(df, feats))
     return importance.permutation_scores(model, df, KEY, feats, "macro_f1").filter("Feature = 'same'")
 
 
 @query("rfecv")
 def rfecv(spark, d):
+    """On the over-sampled training part of the first split."""
     prep = _prepared(spark, d)
-    return rounded(importance.rfecv(prep.table, KEY, prep.features, _forest(10, 4), 3), "Best_Score")
+    first = folds.first_split(folds.stratified_folds(prep.table, KEY, "label", FOLDS))
+    train = prep.table.join(first, KEY, "left_anti")
+    return rounded(importance.rfecv(train, KEY, prep.features, _forest(100), 3, resample=prep.resampler), "Best_Score")
 
 
 @query("missingness_sensitivity")
 def missingness_sensitivity(spark, d):
     df = add_noise(view(spark, d, "cases"), KEY)
-    out = study.missingness_sensitivity(df, KEY, FEATURES, ["n_lines"], _forest(10, 4), 2)
+    out = study.missingness_sensitivity(df, KEY, FEATURES, ["n_lines"], _forest(100), FOLDS)
     return rounded(out, *[c for c in out.columns if c != "Feature"])
 
 
@@ -144,7 +147,7 @@ def shap_out_of_fold(spark, d):
     prep = _prepared(spark, d)
     made = folds.stratified_folds(prep.table, KEY, "label", FOLDS)
     shap = treeshap.shap_oof(prep.table, KEY, prep.features, "label", made,
-                             lambda train: _forest(5)(encode.assemble(train, prep.features)))
+                             lambda train: _forest()(encode.assemble(train, prep.features)))
     return shap.filter(F.size("phi") == 3).groupBy("fold").agg(F.count("key").alias("n"))
 
 
@@ -175,7 +178,7 @@ def shap_model_comparison(spark, d):
     """Forest and boosted trees: ranks of mean absolute SHAP values."""
     prep = _prepared(spark, d)
     train = encode.assemble(prep.table, prep.features)
-    forest, boosted = _forest()(train), models.boosted_trees(5, 3)(train)
+    forest, boosted = _forest()(train), models.boosted_trees(200, lr=0.1)(train)
     mean = [treeshap.mean_abs_shap(treeshap.shap_values(m, prep.table, KEY, prep.features), prep.features, LEVELS).filter(
         F.col("class") == "Significant") for m in (forest, boosted)]
     return rounded(treeshap.compare_shap(*mean), "a_score", "b_score")
@@ -197,7 +200,7 @@ def beeswarm_topk(spark, d):
     prep = _prepared(spark, d)
     model = _forest()(encode.assemble(prep.table, prep.features))
     shap = treeshap.shap_values(model, prep.table, KEY, prep.features)
-    return rounded(treeshap.beeswarm(shap, prep.features, prep.classes, "Significant", 3), "value", "x")
+    return rounded(treeshap.beeswarm(shap, prep.features, prep.classes, "Significant", 20), "value", "x")
 
 
 @query("ridge_scores")
@@ -212,5 +215,5 @@ def ridge_scores(spark, d):
 def importance_ci(spark, d):
     """Mean importance with its bootstrap interval, as the bar charts draw it."""
     imp = permutation_importance(spark, d)
-    return rounded(summaries.bootstrap_mean_ci(imp, ["Feature"], "Decrease_in_Accuracy", ["Feature", "Fold"], 200),
+    return rounded(summaries.bootstrap_mean_ci(imp, ["Feature"], "Decrease_in_Accuracy", ["Feature", "Fold"], 1000),
                    "mean", "ci_lo", "ci_hi")

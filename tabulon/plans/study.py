@@ -33,7 +33,6 @@ from tabulon.operators.evaluate import class_f1, fold_scores
 from tabulon.operators.folds import repeated_folds
 from tabulon.operators.importance import compare_ranks, mean_importance, permutation_importance
 from tabulon.operators.models import Fit, Resampler, fit_predict, random_forest
-from tabulon.operators.stats import model_equivalence
 from tabulon.session import materialize
 from tabulon.sources import normalize_columns, union_sources, with_source
 
@@ -74,6 +73,11 @@ def engineer(df: DataFrame, key: str, numeric: Sequence[str], categorical: Seque
     return geometric_ratios(out) if ratios and shape <= set(df.columns) else out
 
 
+def labelled_sample(df: DataFrame, key: str, label: str, rows: int) -> DataFrame:
+    """The labelled rows a study may use: at most ``rows``, in hash order of the key."""
+    return df.filter(F.col(label).isNotNull()).orderBy(F.xxhash64(key), key).limit(rows)
+
+
 @dataclass(frozen=True)
 class Prepared:
     """Numeric matrix with a coded label, ready for folds and models."""
@@ -156,7 +160,3 @@ def missingness_sensitivity(df: DataFrame, key: str, features: FeatureSet, flags
         imp = permutation_importance(prep.table, key, prep.features, folds, {"RandomForest": fit}, prep.resampler)
         series[name] = materialize(mean_importance(imp), f"importance-{name}")
     return compare_ranks(series)
-
-
-def equivalence_report(scores: DataFrame) -> DataFrame:
-    return model_equivalence(scores)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import threading
 import uuid
@@ -31,6 +33,7 @@ def scratch_dir(spark: SparkSession) -> str:
     with _lock:
         if app not in _local_dirs:
             _local_dirs[app] = tempfile.mkdtemp(prefix="tabulon-")
+            atexit.register(shutil.rmtree, _local_dirs[app], ignore_errors=True)
         return _local_dirs[app]
 
 
@@ -46,7 +49,19 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.scratch = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once nothing reads them any more."""
+    for df in tables:
+        path = getattr(df, "scratch", None)
+        if path is not None:
+            spark = df.sparkSession
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def side_by_side(tasks: Sequence[Callable[[], T]], workers: int = 4) -> list[T]:

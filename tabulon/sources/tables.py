@@ -31,15 +31,17 @@ EQUIVALENCE_SCHEMA = T.StructType([
 ])
 
 
-def read_survey(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def read_survey(spark: SparkSession, path: str, encoding: str = "UTF-8", quoted_breaks: bool = False) -> DataFrame:
     """Header CSV with every column as string; types are cast later by role.
 
     The header line gives the schema, so no inference pass runs over the data.
+    ``quoted_breaks`` reads values that hold line breaks inside quotes; a file is
+    then one task, so it is off by default.
     """
     return (
         spark.read.option("header", True)
         .option("encoding", encoding)
-        .option("multiLine", False)
+        .option("multiLine", quoted_breaks)
         .option("escape", '"')
         .option("inferSchema", False)
         .csv(path)
@@ -114,6 +116,13 @@ def profile(df: DataFrame, distinct: bool = True) -> DataFrame:
     """
     types = dict(df.dtypes)
     cols = df.columns
+    if not distinct:
+        one = df.agg(F.count("*").alias("rows"), *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
+                     *[F.min(F.col(c).cast("string")).alias(f"m{i}") for i, c in enumerate(cols)])
+        return one.select("rows", F.explode(F.array(*[F.struct(
+            F.lit(c).alias("column"), F.lit(types[c]).alias("type"), F.col(f"n{i}").alias("non_null"),
+            F.col(f"m{i}").alias("min_value")) for i, c in enumerate(cols)])).alias("p")).select(
+            "p.column", "p.type", "rows", "p.non_null", "p.min_value")
     pairs = df.select(
         F.explode(F.array(*[
             F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols
@@ -127,8 +136,7 @@ def profile(df: DataFrame, distinct: bool = True) -> DataFrame:
         F.count("value").alias("distinct"),
         F.min("value").alias("min_value"),
     )
-    out = out.select("column", type_of[F.col("column")].alias("type"), "rows", "non_null", "distinct", "min_value")
-    return out if distinct else out.drop("distinct")
+    return out.select("column", type_of[F.col("column")].alias("type"), "rows", "non_null", "distinct", "min_value")
 
 
 def header_is_data(df: DataFrame, expected: Sequence[str]) -> bool:

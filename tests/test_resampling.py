@@ -55,7 +55,9 @@ def test_smotenc_balances_and_stays_inside_the_class(mixed):
 
 def test_small_class_falls_back_to_the_raw_rows(spark, caplog):
     df = spark.createDataFrame([(i, "a" if i < 4 else "b", float(i)) for i in range(20)], "id int, y string, x double")
-    out = resample.smote(df, "id", "y", ["x"], 5)
+    with pytest.raises(ValueError):
+        resample.smote(df, "id", "y", ["x"], 5)
+    out = resample.smote(df, "id", "y", ["x"], 5, few="keep")
     assert out.count() == 20 and "used as they are" in caplog.text
 
 
