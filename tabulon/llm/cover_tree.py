@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.graph import components
+from tabulon.llm.graph import components, forest
 from tabulon.llm.registry import query, table
 from tabulon.session import materialize
 
@@ -223,21 +223,6 @@ def _parent(self: Block, level: int) -> np.ndarray:
 Block.points_parent = _parent
 
 
-def forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
-    """Smallest index reachable from each of n indices over the edges (u, v)."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[u], root[v])
-        before = root.copy()
-        np.minimum.at(root, u, low)
-        np.minimum.at(root, v, low)
-        np.minimum.at(root, before[u], low)
-        np.minimum.at(root, before[v], low)
-        root = root[root]
-        if (root == before).all():
-            return root
-
-
 def link_blocks(a: Block, b: Block, cosine: float, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, weight of links, id of a linked representative) of the points that have links."""
     same = a is b

@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.session import materialize
+from tabulon.session import discard, materialize
+
+
+def forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Smallest index reachable from each of n indices over the edges (u, v)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[u], root[v])
+        before = root.copy()
+        np.minimum.at(root, u, low)
+        np.minimum.at(root, v, low)
+        np.minimum.at(root, before[u], low)
+        np.minimum.at(root, before[v], low)
+        root = root[root]
+        if (root == before).all():
+            return root
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -30,6 +46,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = large.where(F.col("u") != F.col("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old = edges
         edges = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(old)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -11,14 +11,16 @@ partial counts are summed per pair.
    hashes.  Each task passes a head hash on once, so a frequent one stays small;
    hashes of a single class go.
 3. Lists of up to ``LIST`` classes count partial overlaps of all their pairs.
-   Pairs that cannot reach 1 + e, even if all their hashes in longer lists were
-   shared, go.  Of the rest, all fragments are intersected one by one and the
-   partial counts summed; what reaches the threshold is a link.
+   Pairs whose heads share less than similar sets of their sizes must, even if
+   all their hashes in longer lists were shared, go.  Of the rest, all fragments
+   are intersected one by one and the partial counts summed; what reaches the
+   threshold is a link.
 4. Longer lists only matter between classes with more than e hashes in them.
    These stand in a second order, rarest hashes first, where long passages that
    many documents share come last.  In its lists a class first meets the leader
-   that most of its lists have, in a few rounds, and at last the classes that
-   are not in its component by then.
+   that most of its lists have.  Lists that still hold several components are
+   gathered into clusters, cut into blocks, and pairs of blocks sum the overlaps
+   of their classes over all fragments, whole groups at a time.
 """
 
 from __future__ import annotations
@@ -30,15 +32,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.graph import components
+from tabulon.llm.graph import components, forest
 from tabulon.llm.registry import query, table
 from tabulon.llm.words import U64, WordHasher, byte_table, mix, signed, text_slices
-from tabulon.session import materialize
+from tabulon.session import discard, materialize
 
 WIDTH, PERCENT = 5, 75
 FRAGMENTS = 8
 LIST = 32  # classes of a list whose pairs are counted directly; longer lists go by leaders
-LEADER_ROUNDS = 3
+BLOCK, BLOCK_HASHES = 1_024, 1 << 18  # classes and hashes of a block of a cluster, about
+_STRIPE = 4_096  # hashes laid out as columns at a time
 _BUFFER = 1 << 20  # head hashes a task gathers before it passes them on
 _SHARD = 1 << 20  # head hashes a task of the meeting stage should have
 _SMALL = 1_000_000  # keys of 8 bytes up to which a side is broadcast; beyond, both sides are shuffled
@@ -213,6 +216,18 @@ def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _head_need(a: Column, b: Column, percent: int) -> Column:
+    """Least overlap of the heads of two similar sets of sizes a and b.
+
+    Shared hashes stand in the same order in both sets, so all but those behind
+    the head of one of them lie in both heads.
+    """
+    def behind(n: Column) -> Column:
+        return F.ceil(n * percent / 100) - 1 - F.floor(n / 20)
+
+    return F.ceil((a + b) * percent / (100 + percent)) - F.greatest(behind(a), behind(b))
+
+
 def verified(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, na, nb) whose partial overlaps sum up to the threshold, as (a, b)."""
     left = fragments.select(F.col("s").alias("a"), "f", F.col("part").alias("pa"))
@@ -255,28 +270,28 @@ def _with_component(rows: DataFrame, parts: DataFrame | None) -> DataFrame:
 def shingle_links(docs: DataFrame, sets: DataFrame, key: str, text: str, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(a, b): links between classes, enough for the components of all links.
 
-    ``sets`` is the table of ``set_table``.  Pairs that no list longer than
-    ``LIST`` decides are all found; in longer lists, pairs within a component
-    already known are left out.
+    ``sets`` is the table of ``set_table``.  All pairs that short lists bring
+    together are decided; in longer lists, pairs within a component already
+    known are left out.
     """
-    spark = docs.sparkSession
     classes = sets.where(F.col("n") > 0).groupBy("s").agg(F.min("doc").alias("doc"), F.max("n").alias("n"))
     total = sets.agg(F.sum("n")).first()[0] or 0
     lists = materialize(head_lists(docs, text, total, width, percent), "heads")
     size = lists.groupBy("t").agg(F.count("*").alias("m")).where(F.col("m") > 1)
-    rows = lists.join(size, "t").withColumn("hot", F.col("m") > LIST)
-    hot_count = rows.groupBy("s").agg(F.sum(F.col("hot").cast("long")).alias("h"))
-    rows = rows.join(hot_count, "s")
-    in_short = rows.where(~F.col("hot")).select("t", "s", "n", "h")
-    least_n = F.ceil(F.col("n") * percent / 100)
-    unsafe = materialize(rows.where(F.col("h") > F.floor(least_n / 20)).select("s", "n").distinct(), "unsafe")
-
-    x = in_short.select("t", F.col("s").alias("x"), F.col("n").alias("nx"), F.col("h").alias("hx"))
-    y = in_short.select("t", F.col("s").alias("y"), F.col("n").alias("ny"), F.col("h").alias("hy"))
+    rows = materialize(lists.join(size, "t"), "lists")
+    discard(lists)
+    frequent = materialize(rows.where(F.col("m") > LIST).groupBy("s", "n").agg(F.count("*").alias("h")), "frequent")
+    unsafe = frequent.where(F.col("h") > F.floor(F.ceil(F.col("n") * percent / 100) / 20)).select("s", "n")
+
+    short = rows.where(F.col("m") <= LIST)
+    x = short.select("t", F.col("s").alias("x"), F.col("n").alias("nx"))
+    y = short.select("t", F.col("s").alias("y"), F.col("n").alias("ny"))
     met = (x.join(y, "t").where((F.col("x") < F.col("y")) & _similar_sizes(F.col("nx"), F.col("ny"), percent))
-           .groupBy("x", "nx", "hx", "y", "ny", "hy").agg(F.count("*").alias("o")))
-    reach = F.col("o") + F.least("hx", "hy") > F.least(F.floor(F.col("nx") / 20), F.floor(F.col("ny") / 20))
-    short_pairs = materialize(_ordered(met.where(reach)), "short-pairs")
+           .groupBy("x", "nx", "y", "ny").agg(F.count("*").alias("o")))
+    for side in ("x", "y"):
+        met = met.join(frequent.select(F.col("s").alias(side), F.col("h").alias(f"h{side}")), side, "left")
+    missed = F.least(F.coalesce("hx", F.lit(0)), F.coalesce("hy", F.lit(0)))
+    short_pairs = materialize(_ordered(met.where(F.col("o") + missed >= _head_need(F.col("nx"), F.col("ny"), percent))), "short-pairs")
 
     involved = (short_pairs.select(F.col("a").alias("s")).union(short_pairs.select("b")).union(unsafe.select("s")).distinct()
                 .join(classes, "s").select("doc"))
@@ -284,43 +299,94 @@ def shingle_links(docs: DataFrame, sets: DataFrame, key: str, text: str, width:
     links = materialize(verified(short_pairs, fragments, percent), "short-links")
 
     in_long = materialize(rare_first_lists(fragments.join(unsafe, "s"), percent), "long-lists")
-    tested = None
-    for turn in range(LEADER_ROUNDS + 1):
-        if not in_long.take(1):
-            break
-        parts = materialize(components(links), "parts")
-        now = materialize(_with_component(in_long, parts), "open")
-        mixed = now.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high")).where(F.col("low") != F.col("high"))
-        if not mixed.take(1):
-            break
-        if turn < LEADER_ROUNDS:
-            order = F.struct(F.xxhash64("s", F.lit(turn)), "s", "n", "c")
-            leader = now.groupBy("t").agg(F.max(order).alias("l")).select(
-                "t", F.col("l.s").alias("y"), F.col("l.n").alias("ny"), F.col("l.c").alias("cy"))
-            led = now.join(mixed.select("t"), "t", "left_semi").join(leader, "t").where(F.col("c") != F.col("cy"))
-            led = led.where(_similar_sizes(F.col("n"), F.col("ny"), percent))
-            votes = led.groupBy("s", "n", "y", "ny").agg(F.count("*").alias("k"))
-            best = votes.groupBy("s", "n").agg(F.max(F.struct("k", "y", "ny")).alias("v"))
-            pairs = _ordered(best.select(F.col("s").alias("x"), F.col("n").alias("nx"), F.col("v.y").alias("y"), F.col("v.ny").alias("ny")))
-        else:
-            most = (now.groupBy("t", "c").agg(F.count("*").alias("k")).groupBy("t").agg(F.max(F.struct("k", "c")).alias("m"))
-                    .select("t", F.col("m.c").alias("main")))
-            here = now.join(mixed.select("t"), "t", "left_semi").join(most, "t")
-            few = here.where(F.col("c") != F.col("main")).select("t", F.col("s").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-            every = here.select("t", F.col("s").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), "main")
-            cross = few.join(every, "t").where(
-                (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y")))
-                & _similar_sizes(F.col("nx"), F.col("ny"), percent))
-            pairs = _ordered(cross.select("x", "nx", "y", "ny"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        seen = pairs.select("a", "b")
-        tested = seen if tested is None else tested.union(seen)
-        links = links.union(materialize(verified(pairs, fragments, percent), "long-links"))
+    if in_long.take(1):
+        now = materialize(_with_component(in_long, components(links)), "open")
+        links = links.union(materialize(verified(_leader_pairs(now, percent), fragments, percent), "leader-links"))
+        now = materialize(_with_component(in_long, components(links)), "open")
+        links = links.union(materialize(block_links(_mixed(now), fragments, percent), "block-links"))
     return links
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows of the lists that hold several components."""
+    ends = rows.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    return rows.join(ends.where(F.col("low") != F.col("high")).select("t"), "t", "left_semi")
+
+
+def _leader_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Each class with the leader that most of its lists have, if that is of another component."""
+    open_rows = _mixed(rows)
+    leader = open_rows.groupBy("t").agg(F.max(F.struct(F.xxhash64("s"), "s", "n", "c")).alias("l")).select(
+        "t", F.col("l.s").alias("y"), F.col("l.n").alias("ny"), F.col("l.c").alias("cy"))
+    led = open_rows.join(leader, "t").where((F.col("c") != F.col("cy")) & _similar_sizes(F.col("n"), F.col("ny"), percent))
+    votes = led.groupBy("s", "n", "y", "ny").agg(F.count("*").alias("k"))
+    best = votes.groupBy("s", "n").agg(F.max(F.struct("k", "y", "ny")).alias("v"))
+    return _ordered(best.select(F.col("s").alias("x"), F.col("n").alias("nx"), F.col("v.y").alias("y"), F.col("v.ny").alias("ny")))
+
+
+def block_links(rows: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between classes of different components that lists bring together.
+
+    ``rows`` is (t, s, n, c).  Lists that share classes are one cluster.  A
+    cluster is cut into blocks of bounded size and each pair of blocks is a
+    task, which sums the overlaps of its classes over the fragments and returns
+    a spanning forest of the links, so no pair is ever a row.
+    """
+    leader = rows.groupBy("t").agg(F.max("s").alias("y"))
+    cluster = components(rows.join(leader, "t").select(F.col("s").alias("a"), F.col("y").alias("b")))
+    members = rows.select("s", "n", "c").distinct().join(cluster.withColumnsRenamed({"node": "s", "component": "k"}), "s")
+    sizes = members.groupBy("k").agg(F.greatest(
+        F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_HASHES)).alias("cuts"))
+    placed = members.join(sizes, "k").withColumn("i", F.pmod(F.xxhash64(F.lit("block"), "s"), F.col("cuts")))
+    meets = placed.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).select(
+        "k", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), (F.col("i") > F.col("j")).alias("right"), "s", "n", "c")
+    stream = meets.join(fragments.select("s", "part"), "s").select("k", "lo", "hi", "right", "s", "n", "c", "part")
+    stream = stream.repartition("k", "lo", "hi").sortWithinPartitions("k", "lo", "hi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table_ = pa.Table.from_batches(held)
+            one_block = table_.column("lo")[0] == table_.column("hi")[0]
+            code, first, owner = np.unique(table_.column("s").to_numpy(), return_index=True, return_inverse=True)
+            n, c = table_.column("n").to_numpy()[first], table_.column("c").to_numpy()[first]
+            right = table_.column("right").to_numpy()[first]
+            a = np.arange(len(code)) if one_block else np.flatnonzero(~right)
+            b = a if one_block else np.flatnonzero(right)
+            parts = table_.column("part").combine_chunks()
+            owner = np.repeat(owner, np.diff(parts.offsets.to_numpy()))
+            _, token, seen = np.unique(parts.flatten().to_numpy(), return_inverse=True, return_counts=True)
+            owner, token = owner[seen[token] > 1], token[seen[token] > 1]
+            _, token = np.unique(token, return_inverse=True)
+            overlap = np.zeros((len(a), len(b)), np.float32)
+            order = np.argsort(token, kind="stable")
+            owner, token = owner[order], token[order]
+            for low in range(0, int(token[-1]) + 1 if len(token) else 0, _STRIPE):
+                s, e = np.searchsorted(token, [low, low + _STRIPE])
+                stripe = np.zeros((len(code), _STRIPE), np.float32)
+                stripe[owner[s:e], token[s:e] - low] = 1
+                overlap += stripe[a] @ stripe[b].T
+            near = 100 * overlap >= percent * (n[a][:, None] + n[b][None, :] - overlap)
+            i, j = np.nonzero(near & (c[a][:, None] != c[b][None, :]))
+            root = forest(a[i], b[j], len(code))
+            linked = np.flatnonzero(root != np.arange(len(code)))
+            return pa.RecordBatch.from_arrays([pa.array(code[linked]), pa.array(code[root[linked]])], names=["a", "b"])
+
+        held, current = [], None
+        for batch in batches:
+            name = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+            edge = np.flatnonzero(np.append(True, (name[1:] != name[:-1]).any(axis=1))) if len(name) else []
+            for s, e in zip(edge, [*edge[1:], len(name)], strict=True):
+                if current is not None and tuple(name[s]) != current:
+                    yield found(held)
+                    held = []
+                current = tuple(name[s])
+                held.append(batch.slice(s, e - s))
+        if held:
+            yield found(held)
+
+    return stream.mapInArrow(run, "a long, b long")
+
+
 def shingle_components(
     docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT,
 ) -> DataFrame:
@@ -348,6 +414,19 @@ def shingle_components(
         F.when(F.col("doc").isNotNull(), F.col("component")).alias("component_id"))
 
 
-@query("op8_shingle_join")
+@query("op8_shingle_join", f"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+        FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {WIDTH} THEN list_transform(range(1, len(w) - {WIDTH - 2}),
+            lambda i: array_to_string(w[i:i + {WIDTH - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh
+        FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+    one AS (SELECT a, b FROM o JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * o >= {PERCENT} * (x.n + y.n - o)),
+    links AS (SELECT a, b FROM one UNION SELECT b, a FROM one),
+    reach(a, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.c = links.a)
+    SELECT reach.a AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(c) AS component_id
+    FROM reach LEFT JOIN n ON reach.a = n.doc_id GROUP BY reach.a""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_components(table(spark, sf_dir, "documents"))
