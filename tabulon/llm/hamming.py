@@ -127,7 +127,9 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int = 10, key: str =
     blocks = materialize(sizes.select("seg", "lead", "cuts"), "mih-blocks")
     tasks = max(16, index.count() // (4 * BLOCK))
 
-    lead_masks = spark.createDataFrame([(int(x), int(x).bit_count()) for x in range(1 << lead_bits)], "flip int, flips int")
+    def flips(most: int) -> Column:  # at most 2 ** WIDTH values
+        return F.filter(F.sequence(F.lit(0), F.lit((1 << lead_bits) - 1)), lambda x: F.bit_count(x) <= most)
+
     best = spark.createDataFrame([], "q long, code long, distance int")
     open_queries, seen = asked.withColumn("limit", F.lit(BITS)), 0
     while seen <= WIDTH:
@@ -137,9 +139,9 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int = 10, key: str =
             own = F.shiftright(F.shiftrightunsigned("q", s * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1)), WIDTH - lead_bits)
             lead = F.when(F.col("seg") == s, own.cast("int")).otherwise(lead)
         calls = open_queries.select("q", "limit", F.explode(F.array(*[F.lit(s) for s in range(SEGMENTS)])).alias("seg"))
-        calls = calls.withColumn("own", lead).join(
-            F.broadcast(lead_masks.where(F.col("flips") <= rings[-1])))  # at most 2 ** WIDTH rows
-        calls = calls.withColumn("lead", F.col("own").bitwiseXOR(F.col("flip"))).join(blocks, ["seg", "lead"])
+        calls = calls.withColumn("own", lead).withColumn("flip", F.explode(flips(rings[-1])))
+        calls = calls.withColumn("flips", F.bit_count("flip")).withColumn(
+            "lead", F.col("own").bitwiseXOR(F.col("flip"))).join(blocks, ["seg", "lead"])
         calls = calls.select("seg", "lead", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "q", "limit", "flips")
         stream = index.select("seg", "lead", "cut", F.lit(None).cast("long").alias("q"), "code", F.lit(0).alias("limit"), F.lit(0).alias("flips"))
         stream = stream.unionByName(calls.withColumn("code", F.lit(None).cast("long")))
