@@ -27,6 +27,7 @@ from tabulon.session import materialize, side_by_side
 
 SEED = 42
 MAX_DEPTH = 30  # the library's limit; leaves end most trees before
+TOLERANCE = 1e-4  # of linear models, the original library's default
 MAX_BINS = 256  # cut points tried per column; more than any code column has levels here
 
 
@@ -58,7 +59,7 @@ def logistic(weights: bool = True, max_iter: int = 1000, c: float = 1.0):
     def fit(df: DataFrame):
         df, total = _balanced(df, weights)
         return LogisticRegression(regParam=1.0 / (c * total), standardization=False, maxIter=max_iter,
-                                  weightCol="weight", family="multinomial").fit(df)
+                                  tol=TOLERANCE, weightCol="weight", family="multinomial").fit(df)
 
     return fit
 
@@ -67,7 +68,8 @@ def linear_svc(weights: bool = True, max_iter: int = 1000, c: float = 1.0):
     """One hinge-loss machine per class."""
     def fit(df: DataFrame):
         df, total = _balanced(df, weights)
-        base = LinearSVC(regParam=1.0 / (c * total), standardization=False, maxIter=max_iter, weightCol="weight")
+        base = LinearSVC(regParam=1.0 / (c * total), standardization=False, maxIter=max_iter, tol=TOLERANCE,
+                         weightCol="weight")
         return OneVsRest(classifier=base, weightCol="weight", parallelism=4).fit(df)
 
     return fit

@@ -24,7 +24,7 @@ KEY = "doc_id"
 FEATURES = FeatureSet("cases", ("n_chars", "n_blanks", "n_lines", "random_noise"), ("lang", "source"))
 LEVELS = ["Low", "Significant", "Undamaged"]
 FOLDS, REPEATS = 5, 1
-FULL_REPEATS = 5  # of the study; run for the forest, whose other queries and models take one repeat
+EXPLAINED = {"n": 20, "max_depth": 5}  # forest of the SHAP queries: work grows with rows x leaves x feature pairs
 FIT_ROWS = 4_000  # labelled rows of the survey that a study may use, in hash order
 
 
@@ -51,7 +51,7 @@ _PER_FOLD = f"""{CASES}, f AS (SELECT target, (row_number() OVER (ORDER BY targe
 
 def _scores(spark, d, name):
     prep = _prepared(spark, d)
-    scores, _ = study.cross_validate(prep, KEY, {name: models.model_registry()[name]}, FOLDS, FULL_REPEATS if name == "RandomForest" else REPEATS)
+    scores, _ = study.cross_validate(prep, KEY, {name: models.model_registry()[name]}, FOLDS, REPEATS)
     return rounded(scores, "MacroF1", "Accuracy")
 
 
@@ -129,7 +129,7 @@ def missingness_sensitivity(spark, d):
 def shap_additivity(spark, d):
     """Base value plus SHAP values is the predicted probability, row by row."""
     prep = _prepared(spark, d)
-    model = _forest()(encode.assemble(prep.table, prep.features))
+    model = models.random_forest(**EXPLAINED)(encode.assemble(prep.table, prep.features))
     base = treeshap.base_values(model, prep.classes)
     shap = treeshap.shap_values(model, prep.table, KEY, prep.features)
     total = shap.select(F.col("key").alias(KEY), F.posexplode("phi").alias("c", "row")).select(
@@ -148,14 +148,14 @@ def shap_out_of_fold(spark, d):
     prep = _prepared(spark, d)
     made = folds.stratified_folds(prep.table, KEY, "label", FOLDS)
     shap = treeshap.shap_oof(prep.table, KEY, prep.features, "label", made,
-                             lambda train: _forest()(encode.assemble(train, prep.features)))
+                             lambda train: models.random_forest(**EXPLAINED)(encode.assemble(train, prep.features)))
     return shap.filter(F.size("phi") == 3).groupBy("fold").agg(F.count("key").alias("n"))
 
 
 @query("shap_mean_abs")
 def shap_mean_abs(spark, d):
     df, feats, hot = _one_hot(spark, d)
-    model = _forest()(encode.assemble(df, feats))
+    model = models.random_forest(**EXPLAINED)(encode.assemble(df, feats))
     mean = treeshap.mean_abs_shap(treeshap.shap_values(model, df, KEY, feats), feats, LEVELS)
     by_parent = mean.groupBy("class", parent_of("feature", hot.parents).alias("feature")).agg(
         F.sum("mean_abs_shap").alias("mean_abs_shap"))
@@ -166,7 +166,7 @@ def shap_mean_abs(spark, d):
 def shap_interactions_parent(spark, d):
     """Pair strengths of the Significant class, as a share of main effects."""
     df, feats, hot = _one_hot(spark, d)
-    model = _forest()(encode.assemble(df, feats))
+    model = models.random_forest(**EXPLAINED)(encode.assemble(df, feats))
     pairs = treeshap.interaction_strength(model, df, KEY, feats, LEVELS).filter(F.col("class") == "Significant")
     mean = treeshap.mean_abs_shap(treeshap.shap_values(model, df, KEY, feats), feats, LEVELS)
     sums = treeshap.parent_interactions(pairs, hot.parents)
@@ -179,7 +179,7 @@ def shap_model_comparison(spark, d):
     """Forest and boosted trees: ranks of mean absolute SHAP values."""
     prep = _prepared(spark, d)
     train = encode.assemble(prep.table, prep.features)
-    forest, boosted = _forest()(train), models.boosted_trees(200, lr=0.1)(train)
+    forest, boosted = models.random_forest(**EXPLAINED)(train), models.boosted_trees(20, 3, lr=0.1)(train)
     mean = [treeshap.mean_abs_shap(treeshap.shap_values(m, prep.table, KEY, prep.features), prep.features, LEVELS).filter(
         F.col("class") == "Significant") for m in (forest, boosted)]
     return rounded(treeshap.compare_shap(*mean), "a_score", "b_score")
@@ -190,7 +190,7 @@ def shap_model_comparison(spark, d):
 def dependence_table(spark, d):
     """Feature values next to SHAP values; the values themselves are checked."""
     prep = _prepared(spark, d)
-    model = _forest()(encode.assemble(prep.table, prep.features))
+    model = models.random_forest(**EXPLAINED)(encode.assemble(prep.table, prep.features))
     shap = treeshap.shap_values(model, prep.table, KEY, prep.features)
     out = treeshap.dependence(shap, prep.features, prep.classes, "n_chars", "Significant", "n_blanks", 2000)
     return out.filter(F.col("shap").isNotNull()).drop("shap")
@@ -199,7 +199,7 @@ def dependence_table(spark, d):
 @query("beeswarm_topk")
 def beeswarm_topk(spark, d):
     prep = _prepared(spark, d)
-    model = _forest()(encode.assemble(prep.table, prep.features))
+    model = models.random_forest(**EXPLAINED)(encode.assemble(prep.table, prep.features))
     shap = treeshap.shap_values(model, prep.table, KEY, prep.features)
     return rounded(treeshap.beeswarm(shap, prep.features, prep.classes, "Significant", 20), "value", "x")
 
