@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm import cross_entropy as ce
 from tabulon.llm import kneser_ney as kn
+from tabulon.llm.registry import ship
 from tabulon.llm.words import U64, WordHasher, byte_table
 
 SF = "/root/testdata/sf0.01"
@@ -105,7 +106,7 @@ def test_document_losses(spark, texts):
     model = kn.train(spark.createDataFrame([(t,) for t in texts], "text string"))
     brute = Brute(texts)
     rows = [*enumerate(texts), (100, "w3 strange w0 w0"), (101, "w1 " * 3000)]
-    got = {r["doc_id"]: r for r in kn.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    got = {r["doc_id"]: r for r in kn.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), ship(spark, model)).collect()}
     for i, t in rows:
         d = ["<s>", "<s>", *words_of(t, False)]
         assert got[i]["n_tokens"] == len(d) - 2
@@ -189,6 +190,13 @@ def test_cross_entropy_orders_clean_before_junk(spark):
     assert np.mean([[c < j for c in clean] for j in junk]) > 0.95
 
 
+def test_keys_are_spark_s_hashes(spark):
+    x = [(1, -5), (2**62, 0), (-(2**63), 7)]
+    want = [r[0] for r in spark.createDataFrame(x, "a long, b long").select(F.xxhash64("a", "b")).collect()]
+    a, b = (np.array([r[i] for r in x], np.int64).view(U64) for i in (0, 1))
+    assert kn._key(a, b).view(np.int64).tolist() == want == kn._key(b, start=kn._key(a)).view(np.int64).tolist()
+
+
 def test_signed_hashes_keep_their_bits():
     from tabulon.llm.words import signed
 
