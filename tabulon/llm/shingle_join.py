@@ -190,24 +190,45 @@ def head_lists(docs: DataFrame, text: str, total: int, width: int = WIDTH, perce
     return sent.repartition(shards, "shard").mapInArrow(meet, "t long, s long, n long").distinct()
 
 
-def fragment_rows(docs: DataFrame, wanted: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
-    """(s, f, part): the sets of the wanted documents, cut into fragments of the global order."""
+def _cut_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(doc, s, f, part): the sets of all rows that have a wanted key, cut into fragments of the global order."""
     few = wanted.count() <= _SMALL
     rows = docs.select(F.col(key).alias("doc"), text).join(F.broadcast(wanted) if few else wanted, "doc", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(byte_table(fold=True, split_marks=False))
         for batch in batches:
-            for _, at, keys in shingle_rows(batch.column(1), hasher, width):
+            for first, at, keys in shingle_rows(batch.column(1), hasher, width):
                 a, _ = set_hashes(at, keys)
                 rows = len(a)
                 cell = np.repeat(np.arange(rows), np.diff(at)) * FRAGMENTS + (keys >> U64(61)).astype(np.int64)
                 cuts = np.searchsorted(cell, np.arange(rows * FRAGMENTS + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [signed(np.repeat(a, FRAGMENTS)), pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), rows)),
-                     pa.ListArray.from_arrays(pa.array(cuts), signed(keys))], names=["s", "f", "part"])
+                    [batch.column(0).take(pa.array(first + np.repeat(np.arange(rows), FRAGMENTS))), signed(np.repeat(a, FRAGMENTS)),
+                     pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), rows)),
+                     pa.ListArray.from_arrays(pa.array(cuts), signed(keys))], names=["doc", "s", "f", "part"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc {kind}, s long, f int, part array<long>").where(F.size("part") > 0)
+
 
-    return rows.mapInArrow(run, "s long, f int, part array<long>").where(F.size("part") > 0)
+def fragment_rows(
+    docs: DataFrame, wanted: DataFrame, sets: DataFrame, key: str, text: str, width: int = WIDTH,
+) -> DataFrame:
+    """(s, f, part), once per class and fragment: the sets of the wanted (s, doc), one document per class.
+
+    A key with one row gives its class once, so nothing is shuffled for it.  The
+    rows of a repeated key are the same class again or other classes: only the
+    wanted ones stay, once each.
+    """
+    rows = sets.join(wanted.select("doc").distinct(), "doc", "left_semi").groupBy("doc").agg(F.count("*").alias("rows"))
+    counted = materialize(wanted.join(rows, "doc"), "counted")
+    out = _cut_sets(docs, counted.where("rows = 1").select("doc"), key, text, width).drop("doc")
+    again = counted.where("rows > 1").select("doc", "s")
+    if again.take(1):
+        cut = _cut_sets(docs, again.select("doc").distinct(), key, text, width)
+        out = out.unionByName(cut.join(again, ["doc", "s"], "left_semi").drop("doc").dropDuplicates(["s", "f"]))
+    return out
 
 
 # ---- pairs ----
@@ -294,8 +315,8 @@ def shingle_links(docs: DataFrame, sets: DataFrame, key: str, text: str, width:
     short_pairs = materialize(_ordered(met.where(F.col("o") + missed >= _head_need(F.col("nx"), F.col("ny"), percent))), "short-pairs")
 
     involved = (short_pairs.select(F.col("a").alias("s")).union(short_pairs.select("b")).union(unsafe.select("s")).distinct()
-                .join(classes, "s").select("doc"))
-    fragments = materialize(fragment_rows(docs, materialize(involved, "wanted"), key, text, width), "fragments")
+                .join(classes, "s").select("s", "doc"))
+    fragments = materialize(fragment_rows(docs, materialize(involved, "wanted"), sets, key, text, width), "fragments")
     links = materialize(verified(short_pairs, fragments, percent), "short-links")
 
     in_long = materialize(rare_first_lists(fragments.join(unsafe, "s"), percent), "long-lists")

@@ -117,6 +117,26 @@ def test_shingle_odd_rows(spark):
     assert sj.shingle_components(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [32, 1])
+def test_shingles_of_repeated_rows(spark, monkeypatch, limit):
+    monkeypatch.setattr(sj, "LIST", limit)  # 1: all lists are long
+    rng = np.random.default_rng(12)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    rows = []
+    for g in range(30):
+        half, most = words(71), words(91)  # 67 and 87 of 100 shingles: similarity 0.504 and 0.770
+        for shared, first in ((half, 10 * g), (most, 10 * g + 5)):
+            text = " ".join(shared + words(104 - len(shared)))
+            rows += [(first, text)] * 2 + [(first, text.upper()), (first + 1, " ".join(shared + words(104 - len(shared))))]
+        rows += [(10 * g + 1, " ".join(words(104))), (10 * g + 3, rows[-1][1])]  # a repeated key with another text
+    got = sorted(map(tuple, sj.shingle_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()))
+    low = {}
+    whole = brute_shingles([(i, t) for i, (_, t) in enumerate(rows)])
+    for i, _, c in whole:
+        low[c] = min(low.get(c, rows[i][0]), rows[i][0])
+    assert got == sorted((rows[i][0], n, low[c]) for i, n, c in whole)
+
+
 # ---- vectors ----
 
 def brute_vectors(rows, cosine=0.95):
