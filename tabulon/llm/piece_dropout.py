@@ -3,11 +3,12 @@
 A BPE ``.model`` file is read on the driver and its pieces (a fixed file of
 some 32,000 entries) are broadcast.  Each task splits a text into units that
 no piece can cross, and joins the characters of a unit by the merge agenda.
-Every candidate merge that comes up is skipped when a keyed hash of (seed,
-replica, unit, position, piece) falls under ``dropout``; so a text has the same
-pieces wherever and however often it is encoded, and other seeds give other
-segmentations.  The replica of a line is a hash of the row key plus the line
-number, modulo ``replicas``: a unit has up to that many segmentations at once.
+Every candidate merge that comes up is skipped with probability ``dropout``, by
+draws keyed by (seed, row key, copy, position of the unit): each occurrence of a
+unit has its own segmentation, a row has the same pieces wherever it is encoded,
+and other seeds give other ones.  A draw is the number of candidates up to the
+next skip, so what is remembered is exact: the ids of a unit for a list of
+skipped candidates, and how many candidates come after the last of them.
 
 Decoding gives the text back exactly: characters without a piece, and the
 space mark itself when it stands in a text, are written as byte pieces.
@@ -29,6 +30,7 @@ from pyspark.sql import types as T
 
 from tabulon.llm.bpe import NEVER, merge_agenda
 from tabulon.llm.registry import query, ship, table
+from tabulon.llm.words import U64, mix
 
 SPACE_MARK = "▁"
 _MASK = (1 << 64) - 1
@@ -116,27 +118,116 @@ class _Units(dict):
         return ids
 
 
+class _Draws:
+    """Ids of one occurrence of a unit, given its 64-bit draw."""
+
+    def __init__(self, model: PieceModel, dropout: float):
+        self.model, self.log_keep = model, np.log1p(-dropout) if dropout else 0.0
+        self.pass_ = [int((1 - dropout) ** k * (1 << 64)) for k in range(256)]  # draws below: no skip in k candidates
+        self.known: dict = {}  # unit, or (unit, skipped candidates...): (ids, first draw that skips once more)
+
+    def _gap(self, draw: int) -> int:
+        return int(np.log((draw + 1) / (1 << 64)) / self.log_keep)
+
+    def _merge(self, unit: str, skip: Callable[[int, str], bool] | None) -> bytes:
+        pieces, byte_ids, none, ids = self.model.pieces, self.model.byte_ids, (NEVER, -1), []
+        for symbol in merge_agenda(unit, lambda a, b, get=pieces.get: get(a + b, none)[0], skip):
+            hit = pieces.get(symbol)
+            if hit is not None:
+                ids.append(hit[1])
+            else:
+                ids.extend(byte_ids[b] for b in symbol.encode("utf-8", "surrogatepass"))
+        return array("H", ids).tobytes()
+
+    def _node(self, unit: str, skipped: tuple[int, ...]) -> tuple[bytes, int]:
+        seen = 0
+
+        def skip(i: int, joined: str) -> bool:
+            nonlocal seen
+            seen += 1
+            return seen - 1 in skipped
+
+        ids = self._merge(unit, skip)
+        left = seen - (skipped[-1] + 1 if skipped else 0)
+        node = ids, self.pass_[left] if left < 256 else 0
+        if len(self.known) >= _KEPT_UNITS:
+            self.known.clear()
+        self.known[(unit, *skipped) if skipped else unit] = node
+        return node
+
+    def long(self, unit: str, draw: int) -> bytes:
+        """A unit that is not remembered: one pass of the agenda, drawing as it goes."""
+        if not self.log_keep:
+            return self._merge(unit, None)
+        left = self._gap(draw)
+
+        def skip(i: int, joined: str) -> bool:
+            nonlocal left, draw
+            if left:
+                left -= 1
+                return False
+            draw = _next(draw)
+            left = self._gap(draw)
+            return True
+
+        return self._merge(unit, skip)
+
+    def skipping(self, unit: str, draw: int) -> bytes:
+        """A unit in which at least one candidate is skipped."""
+        skipped, at = (), 0
+        while True:
+            at += self._gap(draw)
+            skipped, at, draw = (*skipped, at), at + 1, _next(draw)
+            node = self.known.get((unit, *skipped)) or self._node(unit, skipped)
+            if draw < node[1]:
+                return node[0]
+
+    def join(self, units: Sequence[str], draws: Sequence[int]) -> bytes:
+        out, get = [], self.known.get
+        for unit, draw in zip(units, draws, strict=True):
+            if len(unit) > _KEPT_UNIT:
+                out.append(self.long(unit, draw))
+                continue
+            ids, limit = get(unit) or self._node(unit, ())
+            out.append(ids if draw < limit else self.skipping(unit, draw))
+        return b"".join(out)
+
+
+def _next(draw: int) -> int:
+    """The draw after this one, of which it says nothing."""
+    x = (draw ^ draw >> 30) * 0xBF58476D1CE4E5B9 + 0x9E3779B97F4A7C15 & _MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _MASK
+    return x ^ x >> 31
+
+
 _RUNS = re.compile(f"\n|{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+")
 
 
 class PieceEncoder:
-    """Encodes texts of one task."""
+    """Encodes texts of one task.
+
+    With ``replicas``, a unit has at most so many segmentations per seed, told
+    apart by row key and line; without, every occurrence is drawn by itself.
+    """
 
-    def __init__(self, model: PieceModel, dropout: float = 0.1, seed: int = 0, replicas: int = 2):
-        self.seed, self.replicas = seed, replicas if dropout else 1
-        encoders = [_unit_encoder(model, dropout, seed, r) for r in range(self.replicas)]
+    def __init__(self, model: PieceModel, dropout: float = 0.1, seed: int = 0, replicas: int | None = None):
+        self.seed, self.replicas = seed, None if replicas is None else replicas if dropout else 1
+        encoders = [_unit_encoder(model, dropout, seed, r) for r in range(self.replicas or 1)]
         self.words = [_Units(SPACE_MARK, e) for e in encoders]
         self.heads = [_Units("", e) for e in encoders]
+        self.draws = _Draws(model, dropout)
         self.newline = encoders[0]("\n")
         self.mark = array("H", [model.byte_ids[b] for b in SPACE_MARK.encode()]).tobytes()
 
     def _runs(self, marked: str, r: int) -> bytes:
         return b"".join(map(self.heads[r].__getitem__, _RUNS.findall(marked)))
 
-    def encode(self, text: str, key: str) -> bytes:
+    def encode(self, text: str, key: str, copy: int = 0) -> bytes:
         """Ids as uint16; the first word is preceded by a space, as the model asks."""
         if not text:
             return b""
+        if self.replicas is None:
+            return self._drawn(text, f"{key}\0{copy}" if copy else key)
         r = xxhash.xxh64_intdigest(key, self.seed & _MASK) % self.replicas
         if SPACE_MARK in text:  # a mark in the text is bytes, not a space
             parts = [p.replace(" ", SPACE_MARK) for p in text.split(SPACE_MARK)]
@@ -155,6 +246,18 @@ class PieceEncoder:
             r = (r + 1) % self.replicas
         return b"".join(out)
 
+    def _drawn(self, text: str, key: str) -> bytes:
+        parts = [p.replace(" ", SPACE_MARK) for p in text.split(SPACE_MARK)]
+        parts[0] = SPACE_MARK + parts[0]
+        units = [_RUNS.findall(p) for p in parts]
+        base = U64(xxhash.xxh64_intdigest(key, self.seed & _MASK))
+        draws = mix(base + np.arange(1, sum(map(len, units)) + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)).tolist()
+        out, at = [], 0
+        for u in units:
+            out.append(self.draws.join(u, draws[at:at + len(u)]))
+            at += len(u)
+        return self.mark.join(out)
+
 
 def decode_ids(ids: Sequence[int], decoded: Sequence[bytes]) -> str:
     """Text of the ids, without the space that stands before the first word."""
@@ -164,16 +267,16 @@ def decode_ids(ids: Sequence[int], decoded: Sequence[bytes]) -> str:
 
 def encode_pieces(
     docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", dropout: float = 0.1, seed: int = 0,
-    replicas: int = 2,
+    replicas: int | None = None, copy: str | None = None,
 ) -> DataFrame:
     """Per row its key, ``n_pieces``, ``ids`` and ``lossless`` (ids decode to the text).
 
     Only the key and the text column are read, so other columns may have any
     names.  A null text gives null in all three columns, an empty text an empty
-    list.  Repeated rows and copies under one key get equal ids; a null key is
-    a key like any other.  ``dropout`` 0 gives the library's own segmentation.
+    list.  Rows that repeat key and text get equal ids unless the integer column
+    ``copy`` tells them apart; a null key is a key like any other.  ``dropout`` 0 gives the library's own segmentation.
     """
-    if not 0 <= dropout < 1 or replicas < 1:
+    if not 0 <= dropout < 1 or replicas is not None and replicas < 1:
         raise ValueError("dropout must be in [0, 1), replicas at least 1")
     spark = docs.sparkSession
     shared = ship(spark, load_piece_model(path))
@@ -185,7 +288,9 @@ def encode_pieces(
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 texts, keys = part.column(1).to_pylist(), part.column(0).cast(pa.string()).to_pylist()
-                blobs = [b"" if t is None else encoder.encode(t, k or "") for t, k in zip(texts, keys, strict=True)]
+                copies = part.column(2).to_pylist() if copy else [0] * len(texts)
+                blobs = [b"" if t is None else encoder.encode(t, k or "", c or 0)
+                         for t, k, c in zip(texts, keys, copies, strict=True)]
                 sizes = [len(b) // 2 for b in blobs]
                 flat = np.frombuffer(b"".join(blobs), np.uint16)
                 flat_list, at, same = flat.tolist(), 0, []
@@ -205,7 +310,7 @@ def encode_pieces(
     schema = T.StructType([
         T.StructField(key, docs.schema[key].dataType), T.StructField("n_pieces", T.LongType()),
         T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())])
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text, *([copy] if copy else [])).mapInArrow(run, schema)
 
 
 def decode_pieces(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:

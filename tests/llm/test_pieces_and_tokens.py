@@ -68,6 +68,28 @@ def test_seeds_and_replicas_vary_segmentations(model):
     assert all(len(p) >= len(plain) // 2 for p in per_seed)
 
 
+def test_occurrences_are_drawn_one_by_one(model, library):
+    encoder = pd_.PieceEncoder(model, 0.1)
+    plain = ids_of(pd_.PieceEncoder(model, 0.0).encode("international", "k"))
+    one = [tuple(ids_of(encoder.encode("international", str(i)))) for i in range(4000)]
+    assert len(set(one)) > 5
+    seen = []
+    pd_._Draws(model, 0.0)._merge("▁international", lambda i, joined: seen.append(joined))
+    same = sum(x == tuple(plain) for x in one) / len(one)
+    assert same >= 0.9 ** len(seen) - 0.03  # no candidate skipped, or other merges led to the same pieces
+    inside = ids_of(encoder.encode("international " * 300, "k"))
+    text = pd_.decode_ids(inside, model.decoded)
+    assert text == "international " * 300 and len({tuple(inside[i:i + 3]) for i in range(len(inside))}) > 10
+    assert encoder.encode("international " * 9, "k", 1) != encoder.encode("international " * 9, "k", 2)
+
+
+def test_remembered_draws_equal_one_pass(model):
+    draws = pd_._Draws(model, 0.3)
+    for i, u in enumerate(["▁international", "▁considerations", "a", "xyzzyx"] * 200):
+        draw = pd_._next(i)
+        assert draws.join([u], [draw]) == draws.long(u, draw)
+
+
 @given(st.text(alphabet="abc", max_size=30), st.dictionaries(st.text(alphabet="abc", min_size=2, max_size=4), st.integers(0, 9)))
 @settings(max_examples=200, deadline=None)
 def test_list_and_heap_agenda_agree(text, ranks):
