@@ -176,13 +176,15 @@ def fold_columns(folds: DataFrame, key: str) -> tuple[DataFrame, int, int]:
 
 def map_folds(df: DataFrame, key: str, features: Sequence[str], folds: DataFrame, models: Mapping[str, Fit],
               work: Callable[[int, str, object, DataFrame], DataFrame], resample: Resampler | None = None,
-              workers: int = 4) -> DataFrame:
+              workers: int = 4, fit_rows: int | None = None) -> DataFrame:
     """Fit every model outside each fold and unite ``work(fold, name, model, held)``.
 
     ``df`` needs a numeric ``label``; ``folds`` holds one row per key and
     repeat.  The table is written once, whatever the number of repeats; a
     fold's training vectors are kept while its models are fitted, and up to
-    ``workers`` folds are in work at a time.
+    ``workers`` folds are in work at a time.  With ``fit_rows``, a model is
+    fitted to at most so many training rows of its fold, in hash order of the
+    key; held-out rows are never left out.
     """
     wide, repeats, k = fold_columns(folds, key)
     joined = materialize(df.select(key, "label", *features).join(wide, key), "folded")
@@ -190,7 +192,10 @@ def map_folds(df: DataFrame, key: str, features: Sequence[str], folds: DataFrame
     def one(number: int) -> list[DataFrame]:
         mine = F.col("__folds")[number // k] == number % k
         held = joined.filter(mine).drop("__folds")
-        train = training_rows(joined.filter(~mine), key, features, resample).persist(StorageLevel.MEMORY_AND_DISK)
+        seen = joined.filter(~mine)
+        if fit_rows is not None:
+            seen = seen.orderBy(F.xxhash64(key), key).limit(fit_rows)
+        train = training_rows(seen, key, features, resample).persist(StorageLevel.MEMORY_AND_DISK)
         parts = [work(number, name, fit(train), held) for name, fit in models.items()]
         train.unpersist()
         return parts
@@ -205,10 +210,10 @@ def predict(model, df: DataFrame, features: Sequence[str], keep: Sequence[str])
 
 
 def fit_predict(df: DataFrame, key: str, features: Sequence[str], folds: DataFrame, models: Mapping[str, Fit],
-                resample: Resampler | None = None, setting: str = "default") -> DataFrame:
+                resample: Resampler | None = None, setting: str = "default", fit_rows: int | None = None) -> DataFrame:
     """Predictions of every model on the fold it did not see."""
     def work(fold: int, name: str, model, held: DataFrame) -> DataFrame:
         return predict(model, held, features, [key]).select(
             F.lit(setting).alias("Setting"), F.lit(name).alias("Model"), F.lit(fold).alias("Fold"), key, "y", "yhat")
 
-    return map_folds(df, key, features, folds, models, work, resample)
+    return map_folds(df, key, features, folds, models, work, resample, fit_rows=fit_rows)

@@ -25,7 +25,7 @@ FEATURES = FeatureSet("cases", ("n_chars", "n_blanks", "n_lines", "random_noise"
 LEVELS = ["Low", "Significant", "Undamaged"]
 FOLDS, REPEATS = 5, 1
 EXPLAINED = {"n": 20, "max_depth": 5}  # forest of the SHAP queries: work grows with rows x leaves x feature pairs
-FIT_ROWS = 4_000  # labelled rows of the survey that a study may use, in hash order
+FIT_ROWS = 4_000  # training rows of a fold that the survey study fits a model to, in hash order
 
 
 def _prepared(spark, d, strategy="median", flags=()):
@@ -78,8 +78,8 @@ def survey_cross_validation(spark, d):
                                                      "buidling_height_m", "wall_length_side", "dataset_source")
     rows = view(spark, d, "survey").withColumn("row_id", F.concat_ws("-", "l_orderkey", F.row_number().over(place)))
     survey = study.engineer(clean_unknowns(rows), "row_id", features.numeric, features.categorical)
-    prep = study.prepare(study.labelled_sample(survey, "row_id", features.label, FIT_ROWS), "row_id", features)
-    scores, _ = study.cross_validate(prep, "row_id", {"RandomForest": _forest()}, FOLDS, REPEATS, "Engineered")
+    prep = study.prepare(survey, "row_id", features)
+    scores, _ = study.cross_validate(prep, "row_id", {"RandomForest": _forest()}, FOLDS, REPEATS, "Engineered", fit_rows=FIT_ROWS)
     return rounded(scores, "MacroF1", "Accuracy")
 
 

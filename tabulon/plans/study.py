@@ -73,11 +73,6 @@ def engineer(df: DataFrame, key: str, numeric: Sequence[str], categorical: Seque
     return geometric_ratios(out) if ratios and shape <= set(df.columns) else out
 
 
-def labelled_sample(df: DataFrame, key: str, label: str, rows: int) -> DataFrame:
-    """The labelled rows a study may use: at most ``rows``, in hash order of the key."""
-    return df.filter(F.col(label).isNotNull()).orderBy(F.xxhash64(key), key).limit(rows)
-
-
 @dataclass(frozen=True)
 class Prepared:
     """Numeric matrix with a coded label, ready for folds and models."""
@@ -125,10 +120,11 @@ def prepare(df: DataFrame, key: str, features: FeatureSet, strategy: str = "medi
 
 
 def cross_validate(prep: Prepared, key: str, models: Mapping[str, Fit], k: int = 5, repeats: int = 5,
-                   setting: str = "Distance", resample: bool = True, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Fold scores and predictions of every model on the same folds."""
+                   setting: str = "Distance", resample: bool = True, seed: int = 42,
+                   fit_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Fold scores and predictions of every model on the same folds; ``fit_rows`` bounds the rows of a fit only."""
     folds = materialize(repeated_folds(prep.table, key, "label", k, repeats, seed), "folds")
-    pred = fit_predict(prep.table, key, prep.features, folds, models, prep.resampler if resample else None, setting)
+    pred = fit_predict(prep.table, key, prep.features, folds, models, prep.resampler if resample else None, setting, fit_rows)
     pred = materialize(pred, "predictions")
     return fold_scores(pred, ["Setting", "Model", "Fold"]), pred
 

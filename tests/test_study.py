@@ -1,9 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tabulon.operators import models
 from tabulon.operators.columns import feature_set
 from tabulon.operators.models import random_forest
-from tabulon.plans import study
+from tabulon.plans import queries_models, study
 from tabulon.sources import read_survey
 
 COLUMNS = ["Degree of damage_u", "Status_U", "Tornado_EF", "Latitude", "Longitude", "tornado_start_lat",
@@ -64,3 +65,33 @@ def test_cross_validation_end_to_end(survey):
     rows = scores.collect()
     assert len(rows) == 2 and all(0.8 < r.Accuracy <= 1 for r in rows)  # height gives the label away
     assert pred.count() == 88
+
+
+def test_bounded_fits_score_every_row(spark):
+    rows = [(i, float(i % 3), float(i % 3 * 10 + i % 7)) for i in range(600)]
+    table = spark.createDataFrame(rows, "id long, label double, x double")
+    prep = study.Prepared(table, ["x"], ["x"], [], ["a", "b", "c"])
+    fitted = []
+
+    def fit(train):
+        fitted.append(train.count())
+        return models.random_forest(5, 1)(train)
+
+    _, pred = study.cross_validate(prep, "id", {"RandomForest": fit}, 3, 1, resample=False, fit_rows=90)
+    assert fitted == [90] * 3
+    assert sorted(r["id"] for r in pred.select("id").collect()) == list(range(600))
+
+
+def test_survey_query_scores_the_whole_survey(spark, monkeypatch):
+    sizes = []
+
+    def cross_validate(prep, key, *args, **kwargs):
+        sizes.append(prep.table.count())
+        raise InterruptedError
+
+    monkeypatch.setattr(queries_models, "FIT_ROWS", 50)
+    monkeypatch.setattr(study, "cross_validate", cross_validate)
+    sf = "/root/testdata/sf0.001"
+    with pytest.raises(InterruptedError):
+        queries_models.survey_cross_validation(spark, sf)
+    assert sizes[0] > 1000
