@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 _MERGERS = 64
 
 
-def _sum_vectors(parts: DataFrame, key: str | None) -> list:
+def sum_vectors(parts: DataFrame, key: str | None) -> list:
     """Add up one vector per partition in two steps, so no task sees them all."""
     keys = [key] if key else []
     vec = parts.withColumn("v", array_to_vector("v")).withColumn("__g", F.col("part") % _MERGERS)
@@ -41,7 +41,7 @@ def gram(df: DataFrame, cols: Sequence[str], weight: str | None = None) -> np.nd
         yield pd.DataFrame({"part": [part], "v": [total.ravel().tolist()]})
 
     parts = picked.mapInPandas(partial, "part int, v array<double>")
-    return _sum_vectors(parts, None)[0]["v"].toArray().reshape(size, size)
+    return sum_vectors(parts, None)[0]["v"].toArray().reshape(size, size)
 
 
 def masked_grams(df: DataFrame, cols: Sequence[str], masks: Mapping[str, str],
@@ -71,4 +71,4 @@ def masked_grams(df: DataFrame, cols: Sequence[str], masks: Mapping[str, str],
                             "v": [m.ravel().tolist() for m in total]})
 
     parts = picked.mapInPandas(partial, "part int, target string, v array<double>")
-    return {r["target"]: r["v"].toArray().reshape(size, size) for r in _sum_vectors(parts, "target")}
+    return {r["target"]: r["v"].toArray().reshape(size, size) for r in sum_vectors(parts, "target")}

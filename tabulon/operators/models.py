@@ -3,32 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import partial, reduce
 
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
-    LinearSVC,
     LogisticRegression,
-    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.operators.boosting import Settings, SoftmaxBoosting
 from tabulon.operators.encode import add_class_weight, assemble
 from tabulon.operators.gram import gram
+from tabulon.operators.linear import LinearScores, class_counts, fit_squared_hinge
 from tabulon.operators.resample import smotenc
-from tabulon.session import materialize, side_by_side
+from tabulon.session import discard, materialize, side_by_side
 
 SEED = 42
 MAX_DEPTH = 30  # the library's limit; leaves end most trees before
 TOLERANCE = 1e-4  # of linear models, the original library's default
 MAX_BINS = 256  # cut points tried per column; more than any code column has levels here
+FIT_PARTITION_ROWS = 20_000  # training rows of a partition: an iteration is one task per partition
 
 
 def decision_tree(max_depth: int = MAX_DEPTH, seed: int = SEED, max_bins: int = MAX_BINS):
@@ -65,45 +65,14 @@ def logistic(weights: bool = True, max_iter: int = 1000, c: float = 1.0):
 
 
 def linear_svc(weights: bool = True, max_iter: int = 1000, c: float = 1.0):
-    """One hinge-loss machine per class."""
-    def fit(df: DataFrame):
-        df, total = _balanced(df, weights)
-        base = LinearSVC(regParam=1.0 / (c * total), standardization=False, maxIter=max_iter, tol=TOLERANCE,
-                         weightCol="weight")
-        return OneVsRest(classifier=base, weightCol="weight", parallelism=4).fit(df)
-
-    return fit
+    """One squared-hinge machine per class."""
+    return lambda df: fit_squared_hinge(df, c, weights, max_iter=max_iter)
 
 
 def boosted_trees(n: int = 300, depth: int = 6, lr: float = 0.08, subsample: float = 0.8, colsample: float = 0.8,
                   seed: int = SEED, max_bins: int = MAX_BINS):
-    """One boosted ensemble per class."""
-    def fit(df: DataFrame):
-        base = GBTClassifier(maxIter=n, maxDepth=depth, maxBins=max_bins, stepSize=lr, subsamplingRate=subsample,
-                             featureSubsetStrategy=str(colsample), seed=seed)
-        return OneVsRest(classifier=base, parallelism=4).fit(df)
-
-    return fit
-
-
-@dataclass(frozen=True)
-class RidgeModel:
-    """Linear scores per class; the largest score wins."""
-
-    weights: np.ndarray  # (classes, features)
-    intercepts: np.ndarray
-    classes: tuple[float, ...] = field(default=())
-
-    def transform(self, df: DataFrame, features: str = "features") -> DataFrame:
-        x = vector_to_array(F.col(features))
-        scores = []
-        for c, (w, b) in enumerate(zip(self.weights, self.intercepts)):
-            products = F.zip_with(x, F.array(*[F.lit(float(v)) for v in w]), lambda a, v: a * v)
-            score = F.aggregate(products, F.lit(float(b)), lambda s, p: s + p)
-            scores.append(F.struct(score.alias("score"), F.lit(-c).alias("neg")))
-        best = -F.greatest(*scores)["neg"] if len(scores) > 1 else F.lit(0)
-        place = F.array(*[F.lit(float(c)) for c in self.classes])
-        return df.withColumn("prediction", place[best.cast("int")])
+    """One softmax ensemble over all classes; folds are fitted together."""
+    return SoftmaxBoosting(Settings(n, depth, lr, subsample, colsample, max_bins=max_bins, seed=seed))
 
 
 def ridge_classifier(alpha: float = 1.0, weights: bool = True):
@@ -111,7 +80,7 @@ def ridge_classifier(alpha: float = 1.0, weights: bool = True):
     matrix; the intercept is not penalised."""
     def fit(df: DataFrame):
         df, _ = _balanced(df, weights)
-        classes = tuple(sorted(r["label"] for r in df.select("label").distinct().collect()))
+        classes = tuple(class_counts(df))
         p = len(df.select(vector_to_array("features").alias("x")).first()["x"])
         xs = [f"__x{i}" for i in range(p)]
         ys = [f"__y{c}" for c in range(len(classes))]
@@ -124,7 +93,7 @@ def ridge_classifier(alpha: float = 1.0, weights: bool = True):
         mean = g[0, 1:] / total
         centred = g[1:, 1:] - total * np.outer(mean, mean)
         w = np.linalg.solve(centred[:p, :p] + alpha * np.eye(p), centred[:p, p:]).T
-        return RidgeModel(w, mean[p:] - w @ mean[:p], classes)
+        return LinearScores(w, mean[p:] - w @ mean[:p], classes)
 
     return fit
 
@@ -156,13 +125,15 @@ class Resampler:
 
 
 def training_rows(train: DataFrame, key: str, features: Sequence[str], resample: Resampler | None) -> DataFrame:
-    """Training vectors, over-sampled when asked."""
+    """Training vectors, over-sampled when asked; ``rid`` tells the rows apart."""
     rows = train.select(key, "label", *features)
+    name = F.col(key).cast("string")
     if resample is not None:
         num = [c for c in features if c in resample.numeric]
         cat = [c for c in features if c in resample.categorical]
-        rows = smotenc(rows, key, "label", num, cat, resample.k, resample.seed, few=resample.few)
-    return assemble(rows, features).select("label", "features")
+        rows = smotenc(rows, key, "label", num, cat, resample.k, resample.seed, few=resample.few, digest="__digest")
+        name = F.coalesce(name, "__digest")
+    return assemble(rows, features).select("label", "features", F.xxhash64(name).alias("rid"))
 
 
 def fold_columns(folds: DataFrame, key: str) -> tuple[DataFrame, int, int]:
@@ -182,26 +153,39 @@ def map_folds(df: DataFrame, key: str, features: Sequence[str], folds: DataFrame
     ``df`` needs a numeric ``label``; ``folds`` holds one row per key and
     repeat.  The table is written once, whatever the number of repeats; a
     fold's training vectors are kept while its models are fitted, and up to
-    ``workers`` folds are in work at a time.  With ``fit_rows``, a model is
+    ``workers`` folds are in work at a time.  A fit that has ``fit_sets`` gets
+    the training vectors of all folds in one table instead.  With ``fit_rows``, a model is
     fitted to at most so many training rows of its fold, in hash order of the
     key; held-out rows are never left out.
     """
     wide, repeats, k = fold_columns(folds, key)
     joined = materialize(df.select(key, "label", *features).join(wide, key), "folded")
 
-    def one(number: int) -> list[DataFrame]:
-        mine = F.col("__folds")[number // k] == number % k
-        held = joined.filter(mine).drop("__folds")
-        seen = joined.filter(~mine)
+    joint = {name: fit for name, fit in models.items() if hasattr(fit, "fit_sets")}
+    alone = {name: fit for name, fit in models.items() if name not in joint}
+
+    def held(number: int) -> DataFrame:
+        return joined.filter(F.col("__folds")[number // k] == number % k).drop("__folds")
+
+    def one(number: int) -> tuple[list[DataFrame], DataFrame | None]:
+        seen = joined.filter(F.col("__folds")[number // k] != number % k)
         if fit_rows is not None:
             seen = seen.orderBy(F.xxhash64(key), key).limit(fit_rows)
         train = training_rows(seen, key, features, resample).persist(StorageLevel.MEMORY_AND_DISK)
-        parts = [work(number, name, fit(train), held) for name, fit in models.items()]
+        fitted = train.coalesce(train.count() // FIT_PARTITION_ROWS + 1)
+        parts = [work(number, name, fit(fitted), held(number)) for name, fit in alone.items()]
+        kept = materialize(fitted.select(F.lit(number).alias("set"), "rid", "label", "features"), "training") if joint else None
         train.unpersist()
-        return parts
+        return parts, kept
 
     done = side_by_side([partial(one, n) for n in range(repeats * k)], workers)
-    return reduce(DataFrame.unionByName, [part for parts in done for part in parts])
+    parts = [part for some, _ in done for part in some]
+    if joint:
+        every = reduce(DataFrame.unionByName, [kept for _, kept in done])
+        for name, fit in joint.items():
+            parts += [work(n, name, model, held(n)) for n, model in fit.fit_sets(every).items()]
+        discard(*[kept for _, kept in done])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def predict(model, df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
