@@ -24,7 +24,6 @@ KEY = "doc_id"
 FEATURES = FeatureSet("cases", ("n_chars", "n_blanks", "n_lines", "random_noise"), ("lang", "source"))
 LEVELS = ["Low", "Significant", "Undamaged"]
 FOLDS, REPEATS = 5, 1
-EXPLAINED = {"n": 20, "max_depth": 5}  # forest of the SHAP queries: work grows with rows x leaves x feature pairs
 FIT_ROWS = 4_000  # training rows of a fold that the survey study fits a model to, in hash order
 
 
@@ -129,9 +128,10 @@ def missingness_sensitivity(spark, d):
 def shap_additivity(spark, d):
     """Base value plus SHAP values is the predicted probability, row by row."""
     prep = _prepared(spark, d)
-    model = models.random_forest(**EXPLAINED)(encode.assemble(prep.table, prep.features))
-    base = treeshap.base_values(model, prep.classes)
-    shap = treeshap.shap_values(model, prep.table, KEY, prep.features)
+    model = _forest()(encode.assemble(prep.table, prep.features))
+    trees = treeshap.tree_table(model)
+    base = treeshap.base_values(trees, prep.classes)
+    shap = treeshap.shap_values(trees, prep.table, KEY, prep.features)
     total = shap.select(F.col("key").alias(KEY), F.posexplode("phi").alias("c", "row")).select(
         KEY, "c", F.aggregate("row", F.lit(0.0), lambda a, b: a + b).alias("total"))
     scored = model.transform(encode.assemble(prep.table, prep.features)).select(
@@ -148,14 +148,14 @@ def shap_out_of_fold(spark, d):
     prep = _prepared(spark, d)
     made = folds.stratified_folds(prep.table, KEY, "label", FOLDS)
     shap = treeshap.shap_oof(prep.table, KEY, prep.features, "label", made,
-                             lambda train: models.random_forest(**EXPLAINED)(encode.assemble(train, prep.features)))
+                             lambda train: _forest()(encode.assemble(train, prep.features)))
     return shap.filter(F.size("phi") == 3).groupBy("fold").agg(F.count("key").alias("n"))
 
 
 @query("shap_mean_abs")
 def shap_mean_abs(spark, d):
     df, feats, hot = _one_hot(spark, d)
-    model = models.random_forest(**EXPLAINED)(encode.assemble(df, feats))
+    model = _forest()(encode.assemble(df, feats))
     mean = treeshap.mean_abs_shap(treeshap.shap_values(model, df, KEY, feats), feats, LEVELS)
     by_parent = mean.groupBy("class", parent_of("feature", hot.parents).alias("feature")).agg(
         F.sum("mean_abs_shap").alias("mean_abs_shap"))
@@ -166,22 +166,51 @@ def shap_mean_abs(spark, d):
 def shap_interactions_parent(spark, d):
     """Pair strengths of the Significant class, as a share of main effects."""
     df, feats, hot = _one_hot(spark, d)
-    model = models.random_forest(**EXPLAINED)(encode.assemble(df, feats))
-    pairs = treeshap.interaction_strength(model, df, KEY, feats, LEVELS).filter(F.col("class") == "Significant")
-    mean = treeshap.mean_abs_shap(treeshap.shap_values(model, df, KEY, feats), feats, LEVELS)
+    trees = treeshap.tree_table(_forest()(encode.assemble(df, feats)))
+    pairs = treeshap.interaction_strength(trees, df, KEY, feats, LEVELS, ["Significant"])
+    mean = treeshap.mean_abs_shap(treeshap.shap_values(trees, df, KEY, feats), feats, LEVELS)
     sums = treeshap.parent_interactions(pairs, hot.parents)
     effects = treeshap.parent_effects(mean.filter(F.col("class") == "Significant"), hot.parents)
     return rounded(treeshap.normalized_interactions(sums, effects), "strength", "main_1", "main_2", "relative_pct")
 
 
+@query("shap_interaction_sums", f"""{CASES} SELECT doc_id, class, feature, 0.0::DOUBLE AS gap FROM cases,
+    (SELECT unnest(['Low', 'Significant', 'Undamaged']) AS class),
+    (SELECT unnest(['n_chars', 'n_blanks', 'n_lines', 'random_noise', 'lang', 'source']) AS feature)""")
+def shap_interaction_sums(spark, d):
+    """Interactions of a feature with all others add up to prediction - alone - others + base.
+
+    ``alone`` and ``others`` are the mean predictions given that feature only and given all others; they
+    come from a plain walk that knows nothing of Shapley values.
+    """
+    prep = _prepared(spark, d)
+    model = _forest()(encode.assemble(prep.table, prep.features))
+    trees = treeshap.tree_table(model)
+    n, classes = len(prep.features), len(prep.classes)
+    base = treeshap.base_values(trees, prep.classes)
+    pairs = treeshap.pair_values(trees, prep.table, KEY, prep.features)
+    cells = [(i, j) for i in range(n) for j in range(i + 1, n)]
+    v, e = F.col("v"), F.col("e")
+    sums = [sum((v[c * len(cells) + at] for at, p in enumerate(cells) if f in p), F.lit(0.0)) * 2 for c in range(classes) for f in range(n)]
+    means = treeshap.single_expectations(trees, prep.table, KEY, prep.features).select("key", F.col("v").alias("e"))
+    scored = model.transform(encode.assemble(prep.table, prep.features)).select(
+        F.col(KEY).alias("key"), vector_to_array("probability").alias("p"))
+    rows = []
+    for c, name in enumerate(prep.classes):
+        for f, feature in enumerate(prep.features):
+            gap = sums[c * n + f] - (F.col("p")[c] - e[c * n + f] - e[(classes + c) * n + f] + F.lit(base[name]))
+            rows.append(F.struct(F.lit(name).alias("class"), F.lit(feature).alias("feature"), gap.alias("gap")))
+    joined = pairs.join(means, "key").join(scored, "key")
+    return rounded(joined.select(F.col("key").alias(KEY), F.explode(F.array(*rows)).alias("r")).select(KEY, "r.*"), "gap")
+
+
 @query("shap_model_comparison")
 def shap_model_comparison(spark, d):
     """Forest and boosted trees: ranks of mean absolute SHAP values."""
     prep = _prepared(spark, d)
     train = encode.assemble(prep.table, prep.features)
-    forest, boosted = models.random_forest(**EXPLAINED)(train), models.boosted_trees(20, 3, lr=0.1)(train)
-    mean = [treeshap.mean_abs_shap(treeshap.shap_values(m, prep.table, KEY, prep.features), prep.features, LEVELS).filter(
-        F.col("class") == "Significant") for m in (forest, boosted)]
+    mean = [treeshap.mean_abs_shap(treeshap.shap_values(fit(train), prep.table, KEY, prep.features), prep.features, LEVELS).filter(
+        F.col("class") == "Significant") for fit in (_forest(), models.boosted_trees())]
     return rounded(treeshap.compare_shap(*mean), "a_score", "b_score")
 
 
@@ -190,7 +219,7 @@ def shap_model_comparison(spark, d):
 def dependence_table(spark, d):
     """Feature values next to SHAP values; the values themselves are checked."""
     prep = _prepared(spark, d)
-    model = models.random_forest(**EXPLAINED)(encode.assemble(prep.table, prep.features))
+    model = _forest()(encode.assemble(prep.table, prep.features))
     shap = treeshap.shap_values(model, prep.table, KEY, prep.features)
     out = treeshap.dependence(shap, prep.features, prep.classes, "n_chars", "Significant", "n_blanks", 2000)
     return out.filter(F.col("shap").isNotNull()).drop("shap")
@@ -199,7 +228,7 @@ def dependence_table(spark, d):
 @query("beeswarm_topk")
 def beeswarm_topk(spark, d):
     prep = _prepared(spark, d)
-    model = models.random_forest(**EXPLAINED)(encode.assemble(prep.table, prep.features))
+    model = _forest()(encode.assemble(prep.table, prep.features))
     shap = treeshap.shap_values(model, prep.table, KEY, prep.features)
     return rounded(treeshap.beeswarm(shap, prep.features, prep.classes, "Significant", 20), "value", "x")
 

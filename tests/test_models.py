@@ -47,25 +47,42 @@ def conditional(nodes, x, known):
     return total / nodes["treeID"].nunique()
 
 
-def test_shap_values_and_interactions_match_subset_enumeration(spark, data, forest):
-    pdf, _ = data
-    nodes, leaves = treeshap._nodes(forest), treeshap.leaves_of(forest)
-    pairs = treeshap.pairs_of(leaves)
-    x = pdf[FEATS].to_numpy()[:2]
-    phi, inter = treeshap.shap_block(leaves, x), treeshap.interaction_block(leaves, pairs, x)
+def walked(model, x):
+    """SHAP values (features, classes, rows) and halves of interactions (features, features, classes, rows)."""
+    trees = treeshap.tree_table(model)
+    walks = [treeshap.Walk(t, trees.n_classes, trees.n_features) for b in trees.batches for t in treeshap._collect(trees, b)]
+    n = trees.n_features
+    phi, inter = np.zeros((n, trees.n_classes, len(x))), np.zeros((n, n, trees.n_classes, len(x)))
+    for w in walks:
+        w.shap(x.T.copy(), phi)
+        w.interactions(x.T.copy(), inter, range(trees.n_classes))
+    return phi, inter
+
+
+def test_shap_values_and_interactions_match_subset_enumeration(spark, data):
+    """Paths test a feature again and again: trees are deeper than there are features."""
+    pdf, df = data
+    model = models.random_forest(4, max_depth=9)(assemble(df, FEATS))
+    nodes = treeshap._saved_nodes(model).toPandas()
+    x = pdf[FEATS].to_numpy()[:3]
+    phi, inter = walked(model, x)
     n = len(FEATS)
-    for i in range(2):
+    for i in range(3):
         game = {s: conditional(nodes, x[i], set(s)) for r in range(n + 1) for s in itertools.combinations(range(n), r)}
         for j in range(n):
             want = sum(math.factorial(len(s)) * math.factorial(n - 1 - len(s)) / math.factorial(n)
                        * (game[tuple(sorted((*s, j)))] - game[s]) for s in game if j not in s)
-            assert np.allclose(phi[i, j], want, atol=1e-12)
-        for at, code in enumerate(pairs):
-            a, b = divmod(int(code), n)
+            assert np.allclose(phi[j, :, i], want, atol=1e-12)
+        for a, b in itertools.combinations(range(n), 2):
             want = sum(math.factorial(len(s)) * math.factorial(n - 2 - len(s)) / (2 * math.factorial(n - 1))
                        * (game[tuple(sorted((*s, a, b)))] - game[tuple(sorted((*s, a)))]
                           - game[tuple(sorted((*s, b)))] + game[s]) for s in game if a not in s and b not in s)
-            assert np.allclose(inter[i, at], want, atol=1e-12)
+            assert np.allclose(inter[a, b, :, i], want, atol=1e-12)
+    alone = {r.key: np.array(r.v).reshape(2, 3, n) for r in treeshap.single_expectations(model, df.filter("id < 3"), "id", FEATS).collect()}
+    for i in range(3):
+        for j in range(n):
+            assert np.allclose(alone[i][0, :, j], conditional(nodes, x[i], {j}))
+            assert np.allclose(alone[i][1, :, j], conditional(nodes, x[i], set(range(n)) - {j}))
 
 
 def test_values_add_up_to_the_prediction(spark, data, forest):
@@ -74,19 +91,38 @@ def test_values_add_up_to_the_prediction(spark, data, forest):
     prob = {r.id: r.probability.toArray() for r in forest.transform(assemble(df, FEATS)).collect()}
     for r in treeshap.shap_values(forest, df, "id", FEATS).collect():
         assert np.allclose([base[c] for c in CLASSES] + np.array(r.phi).sum(axis=1), prob[r.key])
-    boosted = models.boosted_trees(3, 3)(assemble(df, FEATS))
-    leaves = treeshap.leaves_of(boosted)
-    margin = leaves.base + treeshap.shap_block(leaves, pdf[FEATS].to_numpy()).sum(axis=1)
-    for c, sub in enumerate(boosted.models):
-        raw = [r.rawPrediction[1] for r in sub.transform(assemble(df, FEATS)).orderBy("id").collect()]
-        assert np.allclose(margin[:, c], raw)
+    boosted = models.boosted_trees(5, 3, lr=0.3)(assemble(df, FEATS))
+    base = treeshap.base_values(boosted, CLASSES)
+    prob = {r.id: r.probability for r in boosted.transform(assemble(df, FEATS)).collect()}
+    for r in treeshap.shap_values(boosted, df, "id", FEATS).collect():
+        score = np.exp([base[c] for c in CLASSES] + np.array(r.phi).sum(axis=1))
+        assert np.allclose(score / score.sum(), prob[r.key])
+
+
+def test_batches_of_trees_and_tasks_do_not_matter(spark, data, forest, monkeypatch):
+    _, df = data
+    want = {r.key: r.phi for r in treeshap.shap_values(forest, df, "id", FEATS).collect()}
+    monkeypatch.setattr(treeshap, "BATCH_BYTES", 1)
+    monkeypatch.setattr(treeshap, "_TASK_CELLS", 1_000)
+    monkeypatch.setattr(treeshap, "_CELLS", 50)
+    trees = treeshap.tree_table(forest)
+    assert len(trees.batches) == 5
+    got = {r.key: r.phi for r in treeshap.shap_values(trees, df, "id", FEATS).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_trees_of_a_single_leaf(spark):
+    df = assemble(spark.createDataFrame([(1, 1.0, 2.0)] * 6, "id int, label double, a double"), ["a"])
+    model = models.random_forest(2)(df)
+    rows = treeshap.shap_values(model, df, "id", ["a"]).collect()
+    assert len(rows) == 6 and all(np.allclose(r.phi, 0) for r in rows)
 
 
 def test_shap_tables(spark, data, forest):
     pdf, df = data
     shap = treeshap.shap_values(forest, df, "id", FEATS).cache()
-    leaves = treeshap.leaves_of(forest)
-    phi = treeshap.shap_block(leaves, pdf[FEATS].to_numpy())
+    phi, inter = walked(forest, pdf[FEATS].to_numpy())
+    phi = phi.transpose(2, 0, 1)
     mean = {(r["class"], r.feature): r.mean_abs_shap for r in treeshap.mean_abs_shap(shap, FEATS, CLASSES).collect()}
     assert mean[("S", "a")] == pytest.approx(np.abs(phi[:, 0, 1]).mean())
     long = treeshap.shap_long(shap, FEATS, CLASSES)
@@ -97,11 +133,13 @@ def test_shap_tables(spark, data, forest):
     assert {r.feature for r in swarm.collect()} == set(best) and swarm.count() == 480
     dep = treeshap.dependence(shap, FEATS, CLASSES, "d", "S", "a", 1.0).filter("key = 7").first()
     assert (dep.value, dep.colour, dep.above_threshold) == (pdf.d[7], pdf.a[7], bool(pdf.d[7] > 1))
-    pairs = treeshap.pairs_of(leaves)
-    strength = np.abs(treeshap.interaction_block(leaves, pairs, pdf[FEATS].to_numpy())).mean(axis=0) * 2
-    for r in treeshap.interaction_strength(forest, df, "id", FEATS, CLASSES).collect():
-        code = FEATS.index(r.feature_1) * 5 + FEATS.index(r.feature_2)
-        assert r.strength == pytest.approx(strength[list(pairs).index(code), CLASSES.index(r["class"])])
+    strength = np.abs(inter).mean(axis=-1) * 2
+    found = treeshap.interaction_strength(forest, df, "id", FEATS, CLASSES).collect()
+    assert len(found) == 30
+    for r in found:
+        assert r.strength == pytest.approx(strength[FEATS.index(r.feature_1), FEATS.index(r.feature_2), CLASSES.index(r["class"])])
+    one = treeshap.interaction_strength(forest, df, "id", FEATS, CLASSES, ["S"]).collect()
+    assert sorted(one) == sorted(r for r in found if r["class"] == "S")
 
 
 def test_parent_sums(spark):
