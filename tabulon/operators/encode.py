@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -11,13 +12,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.operators.gram import masked_grams
+from tabulon.operators.gram import masked_grams, pattern_grams
 from tabulon.operators.ordering import prefix_sums
 from tabulon.session import discard, materialize
 
 NULL_LEVEL = "nan"
 MAX_LEVELS = 10_000
 MAX_ONE_HOT = 1_000
+MAX_PATTERNS = 4_096  # patterns of gaps whose moments fit the driver and a task
 
 
 def check_levels(df: DataFrame, cols: Sequence[str], limit: int = MAX_LEVELS) -> None:
@@ -200,31 +202,101 @@ def _evidence_ridge(gram: np.ndarray, target: int, others: list[int], rounds: in
     return weights, my - mx @ weights
 
 
+def gap_pattern(cols: Sequence[str]) -> Column:
+    """One character per column, 1 for a null."""
+    return F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in cols])
+
+
+def chained_maps(grams: Mapping[str, np.ndarray], todo: Sequence[int], rounds: int) -> dict[str, np.ndarray]:
+    """Per pattern of gaps the linear map from (1, known columns) to the filled row.
+
+    A filled row is linear in its known values, so the moments of the filled
+    table follow from the moments of each pattern: filling column j replaces
+    row and column j of the moments of the patterns that lack it.  All rounds
+    run on these matrices.  ``todo`` lists columns in the order they are filled.
+    """
+    names = list(grams)
+    moments = np.array([grams[n] for n in names])
+    gaps = np.array([[c == "1" for c in n] for n in names])
+    size = moments.shape[1]
+    maps = np.tile(np.eye(size), (len(names), 1, 1))
+    maps[:, 1:][gaps] = 0.0  # gaps start at the column mean, which is the centre
+    before = None
+    for _ in range(rounds):
+        equations = np.zeros((len(todo), size))
+        for at, j in enumerate(todo):
+            others = [i for i in range(size - 1) if i != j]
+            weights, shift = _evidence_ridge(moments[~gaps[:, j]].sum(axis=0), j, others)
+            equation = equations[at]
+            equation[0], equation[np.array(others, int) + 1] = shift, weights
+            lacking = np.flatnonzero(gaps[:, j])
+            row = moments[lacking] @ equation
+            moments[lacking, j + 1, :] = row
+            moments[lacking, :, j + 1] = row
+            moments[lacking, j + 1, j + 1] = row @ equation
+            maps[lacking, j + 1] = equation @ maps[lacking]
+        if before is not None and np.allclose(equations, before, rtol=1e-6, atol=1e-12):
+            break
+        before = equations
+    return dict(zip(names, maps))
+
+
+def _fill_by_pattern(df: DataFrame, cols: list[str], patterns: Mapping[str, int], centre: list[float], todo: list[str],
+                     rounds: int) -> DataFrame:
+    """Both passes of ``refit="pattern"``: moments per pattern, then one map per row."""
+    maps = chained_maps(pattern_grams(df, cols, centre), [cols.index(c) for c in todo], rounds)
+    rows = [(p, [maps[p][cols.index(c) + 1].tolist() for c in todo]) for p in patterns if "1" in p]
+    table = df.sparkSession.createDataFrame(rows, "__pattern string, __maps array<array<double>>")
+    known = F.array(F.lit(1.0), *[F.coalesce(F.col(c).cast("double") - F.lit(m), F.lit(0.0)) for c, m in zip(cols, centre)])
+    joined = df.withColumn("__pattern", gap_pattern(cols)).join(F.broadcast(table), "__pattern", "left").withColumn("__known", known)
+
+    def filled(at: int, c: str) -> Column:
+        products = F.zip_with("__known", F.col("__maps")[at], lambda a, b: a * b)
+        guess = F.aggregate(products, F.lit(0.0), lambda a, b: a + b) + F.lit(centre[cols.index(c)])
+        return F.when(F.col(c).isNull(), guess).otherwise(F.col(c).cast("double"))
+
+    made = {c: F.col(c).cast("double") for c in cols} | {c: filled(i, c) for i, c in enumerate(todo)}
+    return joined.select(*[made.get(c, F.col(c)).alias(c) for c in df.columns])
+
+
 def impute_iterative(df: DataFrame, cols: Sequence[str], rounds: int = 10, codes: Sequence[str] = (),
-                     refit: str = "column") -> DataFrame:
+                     refit: str = "pattern") -> DataFrame:
     """Chained-equation imputation of a numeric matrix.
 
     Nulls start at the column mean.  In a round the columns are filled one after
-    the other, fewest nulls first, each from the newest values of the others.
-    With ``refit="column"`` every equation is fitted to those newest values: one
-    pass for its moment matrix and one write per column.  With ``"round"`` all
-    equations of a round are fitted in one pass, which is cheaper and settles at
-    the same equations.  The matrices are solved on the driver (columns by
-    columns in size, whatever the number of rows); a step's table is deleted
-    when the next one is written.  Rounds end early when no equation moves any
-    more.  ``codes`` are rounded half to even at the end.
+    the other, fewest nulls first, each from the newest values of the others, by
+    an equation that is fitted to those newest values.  The table is read three
+    times, whatever the rounds: rows per pattern of gaps, moments per pattern,
+    and the final map of each row.  Beyond ``MAX_PATTERNS`` patterns, or with
+    ``refit="column"``, every equation takes a pass and a write of its own; the
+    numbers are the same.  With ``"round"`` all equations of a round are fitted
+    in one pass, to the values at its start, and settle at the same ones.  The
+    matrices are solved on the driver (columns by columns in size, whatever the
+    number of rows).  Rounds end early when no equation moves any more.
+    ``codes`` are rounded half to even at the end.
     """
-    if refit not in ("column", "round"):
-        raise ValueError("refit is column or round")
+    if refit not in ("pattern", "column", "round"):
+        raise ValueError("refit is pattern, column or round")
     cols = list(cols)
-    first = df.agg(*[F.avg(c).alias(c) for c in cols], *[F.count_if(F.col(c).isNull()).alias(f"n__{c}") for c in cols]
-                   ).first()
-    if any(first[c] is None for c in cols):
-        raise ValueError("a column without any value cannot be imputed")
-    todo = sorted((c for c in cols if first[f"n__{c}"] > 0), key=lambda c: (first[f"n__{c}"], cols.index(c)))
+    counted = df.groupBy(gap_pattern(cols).alias("p")).agg(F.count("*").alias("n"), *[
+        F.sum(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]).limit(MAX_PATTERNS + 1).collect()
+    if len(counted) <= MAX_PATTERNS:
+        gaps = {c: sum(r["n"] for r in counted if r["p"][i] == "1") for i, c in enumerate(cols)}
+        known = {c: sum(r["n"] for r in counted) - gaps[c] for c in cols}
+        means = {c: math.fsum(r[f"s{i}"] or 0.0 for r in counted) / known[c] if known[c] else None for i, c in enumerate(cols)}
+    else:
+        first = df.agg(*[F.avg(c).alias(c) for c in cols], *[F.count_if(F.col(c).isNull()).alias(f"n__{c}") for c in cols]).first()
+        means, gaps = {c: first[c] for c in cols}, {c: first[f"n__{c}"] for c in cols}
+        refit = "column" if refit == "pattern" else refit
+    todo = sorted((c for c in cols if gaps[c] > 0), key=lambda c: (gaps[c], cols.index(c)))
     if not todo:
         return df
-    centre = [float(first[c]) for c in cols]
+    if any(means[c] is None for c in cols):
+        raise ValueError("a column without any value cannot be imputed")
+    centre = [float(means[c]) for c in cols]
+    if refit == "pattern":
+        out = _fill_by_pattern(df, cols, {r["p"]: r["n"] for r in counted}, centre, todo, rounds)
+        return out.withColumns({c: F.bround(F.col(c), 0) for c in codes}) if codes else out
     work = df.withColumns({f"__m_{c}": F.col(c).isNull() for c in todo})
     work = work.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in zip(cols, centre)})
     work = materialize(work, "impute")

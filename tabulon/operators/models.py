@@ -31,8 +31,19 @@ MAX_BINS = 256  # cut points tried per column; more than any code column has lev
 FIT_PARTITION_ROWS = 20_000  # training rows of a partition: an iteration is one task per partition
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """Training rows in as many partitions as their number asks for.
+
+    Every pass of a fit sends the statistics of all open nodes per partition,
+    so many small partitions cost more than they share out; and draws depend on
+    partitions, so few rows always give the same model.
+    """
+    return df.coalesce(df.count() // FIT_PARTITION_ROWS + 1)
+
+
 def decision_tree(max_depth: int = MAX_DEPTH, seed: int = SEED, max_bins: int = MAX_BINS):
-    return lambda df: DecisionTreeClassifier(impurity="gini", maxDepth=max_depth, maxBins=max_bins, seed=seed).fit(df)
+    return lambda df: DecisionTreeClassifier(
+        impurity="gini", maxDepth=max_depth, maxBins=max_bins, seed=seed, cacheNodeIds=True).fit(compact(df))
 
 
 def random_forest(n: int = 200, min_leaf: int = 2, weights: bool = True, max_depth: int = MAX_DEPTH,
@@ -40,18 +51,19 @@ def random_forest(n: int = 200, min_leaf: int = 2, weights: bool = True, max_dep
     def fit(df: DataFrame):
         forest = RandomForestClassifier(
             numTrees=n, minInstancesPerNode=min_leaf, maxDepth=max_depth, maxBins=max_bins, featureSubsetStrategy="sqrt",
-            subsamplingRate=1.0, seed=seed)
+            subsamplingRate=1.0, seed=seed, cacheNodeIds=True)
         if weights:
             df, forest = add_class_weight(df, "label"), forest.setWeightCol("weight")
-        return forest.fit(df)
+        return forest.fit(compact(df))
 
     return fit
 
 
 def _balanced(df: DataFrame, weights: bool) -> tuple[DataFrame, float]:
     """Weighted rows and the sum of weights (with balance, the row count)."""
-    df = add_class_weight(df, "label") if weights else df.withColumn("weight", F.lit(1.0))
-    return df, float(df.count())
+    rows = df.count()
+    df = df.coalesce(rows // FIT_PARTITION_ROWS + 1)
+    return add_class_weight(df, "label") if weights else df.withColumn("weight", F.lit(1.0)), float(rows)
 
 
 def logistic(weights: bool = True, max_iter: int = 1000, c: float = 1.0):
@@ -66,7 +78,7 @@ def logistic(weights: bool = True, max_iter: int = 1000, c: float = 1.0):
 
 def linear_svc(weights: bool = True, max_iter: int = 1000, c: float = 1.0):
     """One squared-hinge machine per class."""
-    return lambda df: fit_squared_hinge(df, c, weights, max_iter=max_iter)
+    return lambda df: fit_squared_hinge(compact(df), c, weights, max_iter=max_iter)
 
 
 def boosted_trees(n: int = 300, depth: int = 6, lr: float = 0.08, subsample: float = 0.8, colsample: float = 0.8,
@@ -172,9 +184,8 @@ def map_folds(df: DataFrame, key: str, features: Sequence[str], folds: DataFrame
         if fit_rows is not None:
             seen = seen.orderBy(F.xxhash64(key), key).limit(fit_rows)
         train = training_rows(seen, key, features, resample).persist(StorageLevel.MEMORY_AND_DISK)
-        fitted = train.coalesce(train.count() // FIT_PARTITION_ROWS + 1)
-        parts = [work(number, name, fit(fitted), held(number)) for name, fit in alone.items()]
-        kept = materialize(fitted.select(F.lit(number).alias("set"), "rid", "label", "features"), "training") if joint else None
+        parts = [work(number, name, fit(train), held(number)) for name, fit in alone.items()]
+        kept = materialize(train.select(F.lit(number).alias("set"), "rid", "label", "features"), "training") if joint else None
         train.unpersist()
         return parts, kept
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.functions.hashing import key_hash, uniform_of
 from tabulon.operators.ordering import exact_quantiles, null_safe_join, top_k
 from tabulon.session import materialize
 
@@ -131,14 +133,13 @@ def histogram(df: DataFrame, col: str, width: float, by: Sequence[str] = (),
 def histogram_bins(df: DataFrame, col: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
     """Row count per equal bin between the least and the greatest value.
 
-    Rows are counted by value first, so the range is read from the counts.
+    One scan finds the range, the other bins the rows, so only bins are shuffled.
     """
-    counts = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("n"))
     edges = df.agg(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi")).alias("e")).scalar()
     lo, hi = edges["lo"], edges["hi"]
     index = F.when(hi > lo, F.least(F.floor((F.col(col) - lo) * bins / (hi - lo)), F.lit(bins - 1))).otherwise(0)
-    binned = counts.withColumn("bin", index.cast("int"))
-    return binned.groupBy(*by, "bin").agg(F.sum("n").alias("count"))
+    binned = df.filter(F.col(col).isNotNull()).withColumn("bin", index.cast("int"))
+    return binned.groupBy(*by, "bin").agg(F.count("*").alias("count"))
 
 
 def count_by(df: DataFrame, col: str, by: str, order: Sequence[str]) -> DataFrame:
@@ -183,32 +184,80 @@ _POISSON_CDF = (
 )
 
 
-def poisson_of(u: Column) -> Column:
-    """Poisson(1) draw from a uniform, by its distribution function."""
-    return sum(((u >= p).cast("int") for p in _POISSON_CDF), F.lit(0))
+_HELD_GROUPS = 1_000  # groups whose replicate sums a task holds before it sends them on
+_HELD_WEIGHTS = 1 << 20  # weights of one block, rows x replicates
+_TASK_WEIGHTS = 1 << 20  # weights a task draws, unless there are more rows than that gives tasks
+
+
+def _weights(names: Sequence[str], n: int, seed: int) -> np.ndarray:
+    """Poisson(1) draws (rows, replicates): replicate r takes word r % 4 of the digest of (row, r // 4, seed)."""
+    ends = [f":{i}:{seed}".encode() for i in range(-(-n // 4))]
+    digests = []
+    for name in names:
+        start = hashlib.md5(name.encode())
+        for end in ends:
+            h = start.copy()
+            h.update(end)
+            digests.append(h.digest())
+    words = np.frombuffer(b"".join(digests), ">u4").reshape(len(names), -1)[:, :n]
+    return np.searchsorted(_POISSON_CDF, (words + 0.5) / 4294967296.0, "right").astype(float)
 
 
 def bootstrap_mean_ci(df: DataFrame, keys: Sequence[str], value: str, row_key, n: int = 1000,
                       seed: int = 42, level: float = 0.95) -> DataFrame:
     """Mean and percentile interval of the mean per group.
 
-    Each replicate weighs every row by a Poisson(1) draw, so rows need not meet
-    to be resampled.  Replicates are summed map-side: the shuffle carries
-    groups x replicates rows, however many rows the table has.
+    Each replicate weighs every row by a Poisson(1) draw from the row's key, so
+    rows need not meet to be resampled and none is repeated.  A task multiplies
+    blocks of weights with the rows' values and sends one row per group, with
+    the sums of all replicates; replicates in which a group has no weight are
+    left out.
     """
-    row_keys = row_key if isinstance(row_key, (list, tuple)) else [row_key]
+    row_keys = list(row_key) if isinstance(row_key, (list, tuple)) else [row_key]
+    keys = list(keys)
     rows = df.filter(F.col(value).isNotNull())
-    many = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    weight = poisson_of(uniform_of(key_hash(*row_keys, F.col("replicate"), F.lit(seed))))
-    weighed = many.withColumn("__w", weight)
-    means = weighed.groupBy(*keys, "replicate").agg(
-        F.try_divide(F.sum(F.col("__w") * F.col(value)), F.sum("__w")).alias("m"))
+    name = F.concat_ws(":", *[F.col(c).cast("string") for c in row_keys])
+    group = F.to_json(F.array(*[F.col(k).cast("string") for k in keys])) if keys else F.lit("")
+    picked = rows.select(group.alias("g"), name.alias("row"), F.col(value).cast("double").alias("v"))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(held), pa.string()), *[pa.array([s[i] for s in held.values()], pa.list_(pa.float64())) for i in (0, 1)]],
+                names=["g", "wv", "w"])
+
+        step = max(1, _HELD_WEIGHTS // n)
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                v = part.column(2).to_numpy()
+                w = _weights(part.column(1).to_pylist(), n, seed)
+                coded = part.column(0).dictionary_encode()
+                which = coded.indices.to_numpy()
+                for i, g in enumerate(coded.dictionary.to_pylist()):
+                    mine = which == i
+                    sums = np.array([v[mine] @ w[mine], w[mine].sum(axis=0)])
+                    held[g] = held[g] + sums if g in held else sums
+                    if len(held) >= _HELD_GROUPS:
+                        yield sent()
+                        held.clear()
+        if held:
+            yield sent()
+
+    # Weights are the work, and a small table may lie in a single partition.
+    tasks = min(picked.count() * n // _TASK_WEIGHTS + 1, 2 * df.sparkSession.sparkContext.defaultParallelism)
+    spread = picked.repartition(tasks, "row", "v") if tasks > 1 else picked
+    parts = spread.mapInArrow(add_up, "g string, wv array<double>, w array<double>")
+    cells = parts.select("g", F.posexplode(F.arrays_zip("wv", "w")).alias("replicate", "s"))
+    means = cells.groupBy("g", "replicate").agg(F.try_divide(F.sum("s.wv"), F.sum("s.w")).alias("m"))
     tail = (1 - level) / 2
     # Groups x replicates rows: the built-in exact percentile holds n values.
-    ci = means.groupBy(*keys).agg(
+    ci = means.groupBy(F.col("g").alias("__g")).agg(
         F.percentile("m", F.lit(tail)).alias("ci_lo"), F.percentile("m", F.lit(1 - tail)).alias("ci_hi"))
-    centre = rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
-    return null_safe_join(centre, ci, keys, "inner")
+    centre = rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count("*").alias("n")).withColumn("__g", group)
+    return centre.join(ci, "__g").drop("__g")
 
 
 def side_by_side_topk(a: DataFrame, b: DataFrame, name: str, value: str, k: int = 10) -> DataFrame:

@@ -433,6 +433,38 @@ def impute_iterative_known(spark, d):
                       F.col("n_lines").isNotNull().alias("complete"))
 
 
+def _evidence_steps(name: str, moments: str) -> str:
+    """Evidence maximisation with one predictor, as a recursion over its scalars."""
+    return f"""
+    {name}_e AS (SELECT 0 AS k, 0e0 AS w, 1e0 / (yy / n + 2.220446049250313e-16) AS alpha, 1e0 AS lam, 1e300 AS moved FROM {moments}
+        UNION ALL
+        SELECT k + 1, v, (n - used + 2e-6) / (greatest(yy - 2 * v * xy + v * v * xx, 0) + 2e-6), (used + 2e-6) / (v * v + 2e-6), abs(w - v)
+        FROM (SELECT *, xy * alpha / (lam + alpha * xx) AS v, alpha * xx / (lam + alpha * xx) AS used FROM {name}_e, {moments}
+              WHERE k < 300 AND moved >= 1e-3)),
+    {name} AS (SELECT w, my - mx * w AS shift FROM (SELECT xy * alpha / (lam + alpha * xx) AS w, mx, my FROM {name}_e, {moments}
+        ORDER BY k DESC LIMIT 1))"""
+
+
+def _moments(x: str, y: str, where: str, source: str) -> str:
+    return f"""(SELECT count(*) AS n, avg({x}) AS mx, avg({y}) AS my, sum({x} * {x}) - count(*) * avg({x}) * avg({x}) AS xx,
+        sum({x} * {y}) - count(*) * avg({x}) * avg({y}) AS xy, sum({y} * {y}) - count(*) * avg({y}) * avg({y}) AS yy FROM {source} WHERE {where})"""
+
+
+@query("impute_one_round", f"""{CASES.replace("WITH ", "WITH RECURSIVE ", 1)},
+    t AS (SELECT doc_id, CASE WHEN doc_id % 50 <> 1 THEN n_blanks END AS a, n_lines AS b FROM cases),
+    c AS (SELECT avg(a) AS ma, avg(b) AS mb FROM t),
+    z AS (SELECT doc_id, a IS NULL AS na, b IS NULL AS nb, coalesce(a - ma, 0) AS a, coalesce(b - mb, 0) AS b FROM t, c),
+    g1 AS {_moments("b", "a", "NOT na", "z")}, {_evidence_steps("q1", "g1")},
+    y AS (SELECT doc_id, na, nb, CASE WHEN na THEN shift + w * b ELSE a END AS a, b FROM z, q1),
+    g2 AS {_moments("a", "b", "NOT nb", "y")}, {_evidence_steps("q2", "g2")}
+    SELECT doc_id, {r("a + ma", "a", 4)}, {r("CASE WHEN nb THEN shift + w * a ELSE b END + mb", "b", 4)} FROM y, q2, c""")
+def impute_one_round(spark, d):
+    """Filled values of two columns with gaps after one round."""
+    gap = F.when(F.col("doc_id") % 50 != 1, F.col("n_blanks"))
+    df = view(spark, d, "cases").select("doc_id", gap.alias("a"), F.col("n_lines").alias("b"))
+    return rounded(encode.impute_iterative(df, ["a", "b"], rounds=1), "a", "b", digits=4)
+
+
 @query("class_weights", """
     SELECT o_orderpriority, count(*) AS n, """ + r(
     "(SELECT count(*) FROM orders) / (CAST((SELECT count(DISTINCT o_orderpriority) FROM orders) AS DOUBLE) * count(*))",

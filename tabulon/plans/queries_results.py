@@ -541,7 +541,7 @@ _POISSON = " + ".join(f"(u >= {p!r})::INT" for p in summaries._POISSON_CDF)
 
 @query("bootstrap_mean_ci", f"""WITH w AS (SELECT c_mktsegment, rep, c_acctbal, {_POISSON} AS w FROM (
         SELECT c_mktsegment, rep, c_acctbal,
-               (('0x' || substr(md5(c_custkey || ':' || rep || ':42'), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u
+               (('0x' || substr(md5(c_custkey || ':' || rep // 4 || ':42'), 1 + 8 * (rep % 4), 8))::BIGINT + 0.5) / 4294967296.0 AS u
         FROM customer, (SELECT unnest(range(1000)) AS rep))),
     m AS (SELECT c_mktsegment, rep, sum(w * c_acctbal) / sum(w) AS m FROM w GROUP BY 1, 2),
     ci AS (SELECT c_mktsegment, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY 1)

@@ -159,6 +159,32 @@ def test_iterative_imputation_stays_bounded_on_collinear_gaps(spark):
     assert all(v is not None and -20 < v < 40 for v in out)
 
 
+@pytest.mark.parametrize("rounds", [1, 6])
+def test_gap_patterns_give_the_numbers_of_column_passes(spark, rounds):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 5)) @ rng.normal(size=(5, 5)) + [0, 10, 1000, -3, 5]
+    x[rng.random(x.shape) < [0.0, 0.1, 0.4, 0.2, 0.05]] = np.nan
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, d double, e double").repartition(7)
+    want = encode.impute_iterative(df, list("abcde"), rounds, refit="column").orderBy("id").toPandas()
+    got = encode.impute_iterative(df, list("abcde"), rounds).orderBy("id").toPandas()
+    assert list(got.columns) == list(want.columns)
+    assert np.allclose(got.to_numpy(), want.to_numpy(), rtol=1e-7, atol=1e-7)
+    assert np.array_equal(got[list("abcde")].to_numpy()[~np.isnan(x)], x[~np.isnan(x)])
+
+
+def test_many_gap_patterns_go_by_columns(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i) if i % 3 else None, float(2 * i) if i % 5 else None) for i in range(60)], "id int, x double, y double")
+    want = encode.impute_iterative(df, ["x", "y"], 3).orderBy("id").collect()
+    monkeypatch.setattr(encode, "MAX_PATTERNS", 2)
+    got = encode.impute_iterative(df, ["x", "y"], 3).orderBy("id").collect()
+    assert all(a.x == pytest.approx(b.x) and a.y == pytest.approx(b.y) for a, b in zip(got, want))
+    with pytest.raises(ValueError):
+        encode.impute_iterative(df.withColumn("z", F.lit(None).cast("double")), ["x", "z"])
+
+
 def test_class_weights(spark):
     df = spark.createDataFrame([("a",)] * 6 + [("b",)] * 2, "y string")
     assert {r.y: r.weight for r in encode.class_weights(df, "y").collect()} == {"a": 8 / 12, "b": 2.0}
@@ -175,6 +201,36 @@ def test_box_and_bands(spark):
     assert got == {"Pre-1880": (100.0, 0.0), "1880-1900": (50.0, 50.0)}
 
 
+def test_bootstrap_draws_are_those_of_the_words(spark):
+    import hashlib
+
+    import numpy as np
+
+    rows = [(i, "ab"[i % 3 == 0], float(i * i % 17) if i != 4 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, g string, v double").repartition(3)
+    got = {r["g"]: r for r in summaries.bootstrap_mean_ci(df, ["g"], "v", "id", 10, seed=7).collect()}
+    for g in "ab":
+        mine = [(i, v) for i, k, v in rows if k == g and v is not None]
+        means = []
+        for rep in range(10):
+            w = []
+            for i, _ in mine:
+                word = hashlib.md5(f"{i}:{rep // 4}:7".encode()).hexdigest()[8 * (rep % 4):8 * (rep % 4) + 8]
+                u = (int(word, 16) + 0.5) / 2 ** 32
+                w.append(sum(u >= p for p in summaries._POISSON_CDF))
+            means.append(np.dot(w, [v for _, v in mine]) / sum(w) if sum(w) else np.nan)
+        means = np.array([m for m in means if not np.isnan(m)])
+        assert got[g]["n"] == len(mine) and got[g]["mean"] == pytest.approx(np.mean([v for _, v in mine]))
+        assert (got[g]["ci_lo"], got[g]["ci_hi"]) == pytest.approx((np.quantile(means, 0.025), np.quantile(means, 0.975)))
+
+
+def test_bootstrap_keeps_null_and_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(summaries, "_HELD_GROUPS", 3)
+    df = spark.createDataFrame([(i, None if i % 9 == 0 else i % 9, float(i)) for i in range(180)], "id int, g int, v double")
+    got = summaries.bootstrap_mean_ci(df.coalesce(1), ["g"], "v", "id", 40).collect()
+    assert len(got) == 9 and all(r["ci_lo"] <= r["mean"] <= r["ci_hi"] and r["n"] == 20 for r in got)
+
+
 def test_bootstrap_interval_covers_the_mean(spark):
     df = spark.range(300).withColumn("g", F.lit("x")).withColumn("v", (F.col("id") % 10).cast("double"))
     r = summaries.bootstrap_mean_ci(df, ["g"], "v", "id", 200).first()
