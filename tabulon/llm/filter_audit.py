@@ -174,7 +174,7 @@ def failure_masks(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(),
     for i, failed in enumerate(limits.failures().values()):
         bits = bits + F.when(failed, 1 << i).otherwise(0)
     folded = counted.groupBy("h", "k", "part", bits.alias("bits")).agg(F.count("*").alias("n"))
-    first = folded.where(F.col("k").isNotNull()).groupBy("h").agg(F.min("k").alias("k")).withColumn("first", F.lit(True))
+    first = rows.where(F.col("k").isNotNull()).groupBy("h").agg(F.min("k").alias("k")).withColumn("first", F.lit(True))
     marked = folded.join(first, ["h", "k"], "left")
     copy = F.when(F.col("first").isNull() & F.col("k").isNotNull(), 1 << len(limits.failures())).otherwise(0)
     known = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(
