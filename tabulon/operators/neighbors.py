@@ -5,9 +5,14 @@ category that differs.  The work is cut up in three steps:
 
 1. Equal rows are folded together: a vector with many copies is searched once,
    and only its first ``k + 1`` keys can ever be somebody's neighbour.
-2. Each class is laid out on a grid of its widest columns.  A vector first
-   searches its own cell, which bounds the distance of its k-th neighbour.
-3. It then visits just the cells whose border lies within that bound.
+2. A few rows of each class are its pivots.  A cell holds the vectors that share
+   their nearest pivot and lie in one ring around it; a table says how near and
+   how far its vectors are from each pivot.  The distance is a metric, so by the
+   triangle inequality this bounds the distance from a vector to a cell, in any
+   number of columns.  A vector first searches its own cell, which bounds the
+   distance of its k-th neighbour.
+3. It then visits the few cells of least bound, and with the distances found
+   there just the others whose bound is still within reach.
 
 Cells are cut into blocks of limited size on both sides, so no task holds a
 whole cell, however dense it is.
@@ -15,7 +20,7 @@ whole cell, however dense it is.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterator, Mapping, MutableMapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,49 +31,53 @@ from pyspark.sql import types as T
 
 from tabulon.session import materialize
 
-MAX_CELLS = 65_536
+PIVOTS = 64
+MAX_CELLS = 16_384     # of a class; the table of cells and pivots is at most 16 MB
 BLOCK_ROWS = 8_192
 CELL_ROWS = 4_096
-MAX_GRID_LEVELS = 16
-SAMPLE_ROWS = 1_024
+SAMPLE_ROWS = 1_024    # rows of a class among which pivots are chosen
+FIRST_VISITS = 4       # cells of least bound that are visited before the others
 MAX_CLASSES = 1_000
 
 
 @dataclass(frozen=True)
-class Grid:
-    """Cuts per class and axis; an axis is a number or a category code."""
+class Pivots:
+    """Pivots of one class, and the rings around them once these are known."""
 
-    axes: tuple[int, ...]
+    points: np.ndarray        # (pivots, columns)
     n_num: int
-    cuts: Mapping[str, tuple[np.ndarray, ...]]
-
-    def cells(self, cls: str, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x), dtype=np.int64)
-        for axis, cut in zip(self.axes, self.cuts[cls]):
-            out = out * (len(cut) + 1) + np.searchsorted(cut, x[:, axis], side="right")
-        return out
-
-    def borders(self, cls: str, cells: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Lower and upper border of the cells on every axis."""
-        found, rest = [], cells.copy()
-        for cut in reversed(self.cuts[cls]):
-            bin_ = rest % (len(cut) + 1)
-            rest = rest // (len(cut) + 1)
-            wide = np.concatenate([[-np.inf], cut, [np.inf]])
-            found.append((wide[bin_], wide[bin_ + 1]))
-        return found[::-1]
-
-    def gap2(self, cls: str, x: np.ndarray, cells: np.ndarray, penalty2: float) -> np.ndarray:
-        """Least possible squared distance from each row of x to each cell."""
-        total = np.zeros((len(x), len(cells)))
-        for axis, (lo, hi) in zip(self.axes, self.borders(cls, cells)):
-            v = x[:, axis][:, None]
-            if axis < self.n_num:
-                gap = np.maximum(np.maximum(lo[None] - v, v - hi[None]), 0.0)
-                total += gap * gap
+    penalty2: float
+    rings: int
+    cuts: tuple[np.ndarray, ...] = ()
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(x), len(self.points)))
+        for i in range(x.shape[1]):
+            if i < self.n_num:
+                total += (x[:, i, None] - self.points[None, :, i]) ** 2
             else:
-                total += np.where((v < lo[None]) | (v >= hi[None]), penalty2, 0.0)
-        return total
+                total += (x[:, i, None] != self.points[None, :, i]) * self.penalty2
+        return np.sqrt(total)
+
+    def cells(self, distances: np.ndarray) -> np.ndarray:
+        own = distances.argmin(axis=1)
+        near = distances[np.arange(len(own)), own]
+        ring = np.zeros(len(own), np.int64)
+        for p in np.unique(own):
+            ring[own == p] = np.searchsorted(self.cuts[p], near[own == p], side="right")
+        return own * self.rings + ring
+
+
+def _far_apart(x: np.ndarray, n: int, n_num: int, penalty2: float) -> np.ndarray:
+    """Up to n rows, each the farthest from those before it."""
+    chosen, near = [0], None
+    while len(chosen) < min(n, len(x)):
+        to = Pivots(x[chosen[-1:]], n_num, penalty2, 1).distances(x)[:, 0]
+        near = to if near is None else np.minimum(near, to)
+        if near.max() == 0:
+            break
+        chosen.append(int(near.argmax()))
+    return x[chosen]
 
 
 def class_profile(df: DataFrame, label: str, num: Sequence[str]) -> dict[str, tuple[int, float]]:
@@ -85,40 +94,14 @@ def class_profile(df: DataFrame, label: str, num: Sequence[str]) -> dict[str, tu
             for r in rows}
 
 
-def _grid(queries: DataFrame, num: Sequence[str], cat: Sequence[str], cell_rows: int) -> Grid:
-    """Quantile cuts on the widest numbers, one bin per level of small categories.
-
-    The number of cells follows the number of rows up to ``MAX_CELLS``.
-    """
-    cols = [*num, *cat]
-    stats = {r["cls"]: r for r in queries.groupBy("cls").agg(
-        F.count("*").alias("n"), *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(num)],
-        *[F.approx_count_distinct(c).alias(f"d{j}") for j, c in enumerate(cat)]).collect()}
-    spread = [max((r[f"s{i}"] or 0.0) for r in stats.values()) for i in range(len(num))]
-    wide = [i for i in sorted(range(len(num)), key=lambda i: -spread[i]) if spread[i] > 0][:3]
-    few = [j for j in range(len(cat)) if max(r[f"d{j}"] for r in stats.values()) <= MAX_GRID_LEVELS][:2]
-    bins = {}
-    for c, r in stats.items():
-        want = min(MAX_CELLS, -(-r["n"] // cell_rows))
-        levels = int(np.prod([max(1, r[f"d{j}"]) for j in few]))
-        bins[c] = max(1, int((want / levels) ** (1 / max(1, len(wide))) + 1e-9))
-    most = max(bins.values())
-    probs = [i / most for i in range(1, most)]
-    asked = [F.percentile_approx(cols[i], probs, max(10_000, 10 * most)).alias(f"a{i}") for i in wide if probs]
-    asked += [F.collect_set(cols[len(num) + j]).alias(f"a{len(num) + j}") for j in few]
-    found = {r["cls"]: r.asDict() for r in queries.groupBy("cls").agg(F.count("*").alias("n"), *asked).collect()}
-    cuts = {}
-    for c, r in found.items():
-        mine = []
-        for i in wide:
-            every = np.unique(np.asarray(r.get(f"a{i}") or [], dtype=float))
-            keep = max(0, bins[c] - 1)
-            mine.append(every[np.linspace(0, len(every) - 1, min(keep, len(every))).astype(int)] if keep else every[:0])
-        for j in few:
-            # A cut at every level but the first: one bin per category.
-            mine.append(np.unique(np.asarray(r[f"a{len(num) + j}"], dtype=float))[1:])
-        cuts[c] = tuple(mine)
-    return Grid(tuple(wide + [len(num) + j for j in few]), len(num), cuts)
+def _sample(points: DataFrame, cols: Sequence[str], rows: int) -> dict[str, np.ndarray]:
+    """A few rows per class, the same for any partitioning."""
+    drawn = Window.partitionBy("cls").orderBy(F.xxhash64("key"), "key")
+    found: dict[str, list] = {}
+    some = points.withColumn("r", F.row_number().over(drawn)).filter(F.col("r") <= rows)
+    for r in some.select("cls", F.array(*cols).alias("v")).collect():
+        found.setdefault(r["cls"], []).append(r["v"])
+    return {c: np.array(sorted(v), dtype=float) for c, v in found.items()}
 
 
 def _rough_d2(q: np.ndarray, x: np.ndarray, n_num: int, penalty2: float) -> tuple[np.ndarray, np.ndarray]:
@@ -177,11 +160,14 @@ def _nearest(q: np.ndarray, x: np.ndarray, n_num: int, penalty2: float, k: int,
 
 def nearest_lists(df: DataFrame, key: str, label: str, num: Sequence[str], cat: Sequence[str] = (), k: int = 5,
                   cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS,
-                  known: Mapping[str, tuple[int, float]] | None = None) -> DataFrame:
+                  known: Mapping[str, tuple[int, float]] | None = None,
+                  report: MutableMapping[str, int] | None = None) -> DataFrame:
     """For each distinct vector of a class the ``k + 1`` nearest rows.
 
     Output: ``cls``, ``v`` (the vector) and ``near``, an array of
     ``(d2, key, v)`` sorted by distance and key.  The vector's own rows count.
+    ``report`` is told the number of cells, of vectors, and of visits to cells
+    other than a vector's own.
     """
     num, cat = list(num), list(cat)
     cols, n_num, want = [*num, *cat], len(num), k + 1
@@ -194,27 +180,51 @@ def nearest_lists(df: DataFrame, key: str, label: str, num: Sequence[str], cat:
     copies = Window.partitionBy("cls", *cols).orderBy("key")
     points = materialize(
         rows.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= want), "points")
-    queries = points.filter("copy = 1")
     single = all(n <= min(cell_rows, block_rows) for n, _ in known.values())
-    grid = Grid((), n_num, {c: () for c in known}) if single else _grid(queries, num, cat, cell_rows)
     key_type = points.schema["key"].dataType
-
-    def with_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x, cells = pdf[cols].to_numpy(float), np.zeros(len(pdf), dtype=np.int64)
-            for c in pdf["cls"].unique():
-                mine = (pdf["cls"] == c).to_numpy()
-                cells[mine] = grid.cells(c, x[mine])
-            yield pd.DataFrame({"cls": pdf["cls"], "cell": cells, "key": pdf["key"],
-                                "copy": pdf["copy"], "v": list(x)})
-
     placed_schema = T.StructType([
         T.StructField("cls", T.StringType()), T.StructField("cell", T.LongType()),
-        T.StructField("key", key_type), T.StructField("copy", T.IntegerType()),
+        T.StructField("near", T.DoubleType()), T.StructField("key", key_type), T.StructField("copy", T.IntegerType()),
         T.StructField("v", T.ArrayType(T.DoubleType()))])
-    placed = points.mapInPandas(with_cell, placed_schema)
+    pivots: dict[str, Pivots] = {}
     if not single:
+        scouts = _sample(points, cols, max(SAMPLE_ROWS, want))
+        for c, x in scouts.items():
+            cells = min(MAX_CELLS, -(-known[c][0] // cell_rows))
+            chosen = _far_apart(x, min(PIVOTS, cells), n_num, penalty2[c])
+            pivots[c] = Pivots(chosen, n_num, penalty2[c], -(-cells // len(chosen)))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Nearest pivot and its distance; with cuts, the cell instead of the pivot."""
+        for pdf in batches:
+            x, cells, near = pdf[cols].to_numpy(float), np.zeros(len(pdf), dtype=np.int64), np.zeros(len(pdf))
+            for c in pdf["cls"].unique() if pivots else ():
+                mine = (pdf["cls"] == c).to_numpy()
+                d = pivots[c].distances(x[mine])
+                near[mine] = d.min(axis=1)
+                cells[mine] = pivots[c].cells(d) if pivots[c].cuts else d.argmin(axis=1)
+            yield pd.DataFrame({"cls": pdf["cls"], "cell": cells, "near": near, "key": pdf["key"], "copy": pdf["copy"], "v": list(x)})
+
+    placed = points.mapInPandas(place, placed_schema)
+    ranges: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    if not single:
+        most = max(p.rings for p in pivots.values())
+        probs = [i / most for i in range(1, most)]
+        quantiles: dict[tuple[str, int], list] = {}
+        if probs:
+            around = points.filter("copy = 1").mapInPandas(place, placed_schema).groupBy("cls", "cell").agg(
+                F.percentile_approx("near", probs, max(10_000, 10 * most)).alias("q"))
+            quantiles = {(r["cls"], r["cell"]): r["q"] for r in around.collect()}
+        for c, p in list(pivots.items()):
+            cuts = []
+            for i in range(len(p.points)):
+                every = np.unique(quantiles.get((c, i), []))
+                take = np.linspace(0, len(every) - 1, min(p.rings - 1, len(every))).astype(int)
+                cuts.append(every[take] if len(take) else np.zeros(0))
+            pivots[c] = Pivots(p.points, n_num, p.penalty2, p.rings, tuple(cuts))
         placed = materialize(placed, "cells")
+        ranges = _ranges(placed, pivots)
+    placed = placed.drop("near")
     asking = placed.filter("copy = 1").select("cls", "cell", F.col("key").alias("qid"), F.col("v").alias("qv"),
                                               F.lit(float("inf")).alias("r2"))
     # At most MAX_CELLS grid cells per class: a table of bounded size.
@@ -274,50 +284,81 @@ def nearest_lists(df: DataFrame, key: str, label: str, num: Sequence[str], cat:
 
     near = keep(search(asking))
     if not single:
-        near = materialize(near, "near")
-        bound = near.groupBy("cls", "qid").agg(
-            F.when(F.count("*") >= want, F.max("d2")).otherwise(F.lit(float("inf"))).alias("r2"))
-        listed: dict[str, np.ndarray] = {}
-        for r in cells.select("cls", "cell").collect():
-            listed.setdefault(r["cls"], []).append(r["cell"])
-        listed = {c: np.array(sorted(v), dtype=np.int64) for c, v in listed.items()}
-
-        # A few real rows per class, the same for any partitioning, bound the
-        # search of rows whose own cell holds too few others.
-        drawn = Window.partitionBy("cls").orderBy(F.xxhash64("key"), "key")
-        sample = placed.withColumn("r", F.row_number().over(drawn)).filter(F.col("r") <= max(SAMPLE_ROWS, want))
-        scouts: dict[str, list] = {}
-        for r in sample.select("cls", "v").collect():
-            scouts.setdefault(r["cls"], []).append(r["v"])
-        scouts = {c: np.array(v, dtype=float) for c, v in scouts.items()}
-
-        def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for cls, part in pdf.groupby("cls"):
-                    ids = listed[cls]
-                    step = max(1, 4_000_000 // len(ids))
-                    for at in range(0, len(part), step):
-                        some = part.iloc[at:at + step]
-                        qs = np.stack(some["qv"].to_numpy())
-                        gap = grid.gap2(cls, qs, ids, penalty2[cls])
-                        reach = some["r2"].to_numpy().copy()
-                        if len(scouts[cls]) >= want:
-                            of, _, d2 = _nearest(qs, scouts[cls], n_num, penalty2[cls], want)
-                            far = np.zeros(len(qs))
-                            np.maximum.at(far, of, d2)
-                            reach = np.minimum(reach, far)
-                        reach = reach * (1 + 1e-9) + 1e-12
-                        ok = (gap <= reach[:, None]) & (ids[None] != some["cell"].to_numpy()[:, None])
-                        q, c = np.nonzero(ok)
-                        yield pd.DataFrame({"cls": cls, "cell": ids[c], "qid": some["qid"].to_numpy()[q],
-                                            "qv": some["qv"].to_numpy()[q], "r2": reach[q]})
-
-        visits = materialize(asking.drop("r2").join(bound, ["cls", "qid"]).mapInPandas(route, asking.schema), "visits")
-        near = keep(near.unionByName(search(visits)))
+        def route(part: slice):
+            """Visits to the cells that the slice of a vector's cells, least bound first, holds within reach."""
+            def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for pdf in batches:
+                    for cls, rows in pdf.groupby("cls"):
+                        ids, lo, hi = ranges[cls]
+                        step = max(1, 2_000_000 // (len(ids) * len(pivots[cls].points)))
+                        for at in range(0, len(rows), step):
+                            some = rows.iloc[at:at + step]
+                            qs = np.stack(some["qv"].to_numpy())
+                            d = pivots[cls].distances(qs)
+                            bound = np.zeros((len(qs), len(ids)))
+                            for p in range(d.shape[1]):
+                                np.maximum(bound, np.maximum(d[:, p, None] - hi[None, :, p], lo[None, :, p] - d[:, p, None]), out=bound)
+                            bound -= 1e-9 * (d.max(axis=1, keepdims=True) + hi.max())
+                            bound[ids[None] == some["cell"].to_numpy()[:, None]] = np.inf
+                            order = np.argsort(bound, axis=1, kind="stable")[:, part]
+                            reach = np.sqrt(some["r2"].to_numpy())
+                            q, c = np.nonzero(np.take_along_axis(bound, order, axis=1) <= reach[:, None])
+                            c = order[q, c]
+                            yield pd.DataFrame({"cls": cls, "cell": ids[c], "qid": some["qid"].to_numpy()[q],
+                                                "qv": some["qv"].to_numpy()[q], "r2": some["r2"].to_numpy()[q] * (1 + 1e-9) + 1e-12})
+
+            return visit
+
+        visited = 0
+        for part in (slice(0, FIRST_VISITS), slice(FIRST_VISITS, None)):
+            near = materialize(near, "near")
+            bound = near.groupBy("cls", "qid").agg(
+                F.when(F.count("*") >= want, F.max("d2")).otherwise(F.lit(float("inf"))).alias("r2"))
+            visits = materialize(asking.drop("r2").join(bound, ["cls", "qid"], "left").withColumn(
+                "r2", F.coalesce("r2", F.lit(float("inf")))).select(*asking.columns).mapInPandas(route(part), asking.schema), "visits")
+            visited += visits.count()
+            near = keep(near.unionByName(search(visits)))
+        if report is not None:
+            report.update(cells=sum(len(r[0]) for r in ranges.values()), vectors=asking.count(), visits=visited)
     lists = near.groupBy("cls", "qid").agg(F.array_sort(F.collect_list(F.struct("d2", "key", "v"))).alias("near"))
     return asking.join(lists, ["cls", "qid"]).select("cls", F.col("qv").alias("v"), "near")
 
 
+def _ranges(placed: DataFrame, pivots: Mapping[str, Pivots]) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per class its cells, and the least and greatest distance of their rows from each pivot.
+
+    A task holds and sends one row per cell it meets.
+    """
+    most = max(len(p.points) for p in pivots.values())
+
+    def extremes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[str, int], np.ndarray] = {}
+        for pdf in batches:
+            for cls, rows in pdf.groupby("cls"):
+                d = pivots[cls].distances(np.stack(rows["v"].to_numpy()))
+                cells = rows["cell"].to_numpy()
+                order = np.argsort(cells, kind="stable")
+                found, starts = np.unique(cells[order], return_index=True)
+                lo, hi = np.minimum.reduceat(d[order], starts), np.maximum.reduceat(d[order], starts)
+                for i, c in enumerate(found.tolist()):
+                    both = np.array([lo[i], -hi[i]])
+                    held[cls, c] = np.minimum(held[cls, c], both) if (cls, c) in held else both
+        yield pd.DataFrame({"cls": [c for c, _ in held], "cell": [c for _, c in held],
+                            "lo": [b[0].tolist() for b in held.values()], "hi": [(-b[1]).tolist() for b in held.values()]})
+
+    parts = placed.select("cls", "cell", "v").mapInPandas(extremes, "cls string, cell long, lo array<double>, hi array<double>")
+    wide = parts.groupBy("cls", "cell").agg(*[F.min(F.get("lo", F.lit(i))).alias(f"lo{i}") for i in range(most)],
+                                            *[F.max(F.get("hi", F.lit(i))).alias(f"hi{i}") for i in range(most)])
+    found: dict[str, list] = {}
+    for r in wide.orderBy("cls", "cell").collect():
+        found.setdefault(r["cls"], []).append(r)
+    out = {}
+    for c, rows in found.items():
+        n = len(pivots[c].points)
+        out[c] = (np.array([r["cell"] for r in rows]), *[np.array([[r[f"{e}{i}"] for i in range(n)] for r in rows]) for e in ("lo", "hi")])
+    return out
+
+
 def neighbors(df: DataFrame, key: str, label: str, num: Sequence[str], cat: Sequence[str] = (), k: int = 5,
               **sizes) -> DataFrame:
     """Rows of ``df`` with ``near``: their ``k`` nearest rows of the same class."""

@@ -13,7 +13,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.session import materialize
+from tabulon.session import discard, materialize
+
+RANK_TABLE_BYTES = 32 * 1024 * 1024  # of distinct values whose ranks are sent to all rows
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -64,17 +66,78 @@ def value_counts_before(df: DataFrame, keys: Sequence[str], value: str, descendi
     return prefix_sums(counts, keys, [order], {"before": "n"}, {"total": "n"})
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, descending: bool = True) -> DataFrame:
-    """Average rank of each distinct value."""
-    ranked = value_counts_before(df, keys, value, descending)
-    return ranked.withColumn("avg_rank", F.col("before") + (F.col("n") + 1) / 2.0)
+def value_places(df: DataFrame, value: str, keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Rows with a value, with the weight ``before`` and ``equal`` to it and the ``total`` of their group.
+
+    Rows themselves are put in order by range, ties by their place in the input,
+    so a value that many rows share is cut over several partitions like any
+    other stretch.  Only the least and the greatest value of a partition can
+    reach into its neighbours: one row per (group, partition) carries what lies
+    before these two and how often they occur; nothing is joined on a value.
+    ``weight`` counts a row so many times.
+    """
+    keys = list(keys)
+    n = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    spread = df.withColumns({"__n": n, "__tie": F.monotonically_increasing_id()})
+    spread = materialize(spread.repartitionByRange(*keys, F.col(value).asc(), "__tie").drop("__tie").withColumn(
+        "__part", F.spark_partition_id()), "ordered")
+    rows = spread.filter(F.col(value).isNotNull())
+    counted = rows.groupBy(*keys, "__part", value).agg(F.sum("__n").alias("n"))
+    end = F.struct(F.col(value).alias("v"), F.col("n").alias("n"))
+    parts = counted.groupBy(*keys, "__part").agg(F.sum("n").alias("n"), F.min(end).alias("lo"), F.max(end).alias("hi"))
+    # One row per (group, partition) that meet, and two per such row.
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({"__offset": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "__total": F.sum("n").over(Window.partitionBy(*keys))})
+    parts = materialize(parts, "parts")
+    first = F.col("__offset") + F.when(F.col("end") == "lo", 0).otherwise(F.col("n") - F.col("e.n"))
+    # Where a partition holds a single value, that value is both ends but counts once.
+    both = F.create_map(F.lit("lo"), "lo", F.lit("hi"), "hi")
+    once = F.when(F.col("lo.v") == F.col("hi.v"), F.create_map(F.lit("lo"), "lo")).otherwise(both)
+    ends = parts.select(*keys, "__offset", "n", F.explode(once).alias("end", "e"))
+    reach = ends.groupBy(*keys, F.col("e.v").alias("__v")).agg(F.min(first).alias("__first"), F.sum("e.n").alias("__equal"))
+    known = parts.select(*keys, "__part", "__offset", "__total", F.col("lo.v").alias("__lo"), F.col("hi.v").alias("__hi"))
+    for side in ("__lo", "__hi"):
+        known = null_safe_join(known, reach.withColumnsRenamed({"__v": side, "__first": f"{side}_first", "__equal": f"{side}_equal"}), [*keys, side])
+    inside = Window.partitionBy(*keys, "__part").orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    peers = Window.partitionBy(*keys, "__part", value)
+    local = rows.withColumns({"__upto": F.sum("__n").over(inside), "equal": F.sum("__n").over(peers)})
+    placed = null_safe_join(local, known, [*keys, "__part"], "inner")
+
+    def at(end: str, else_: Column) -> Column:
+        return F.when(F.col(value) == F.col("__lo"), F.col(f"__lo_{end}")).when(
+            F.col(value) == F.col("__hi"), F.col(f"__hi_{end}")).otherwise(else_)
+
+    return placed.select(*df.columns, at("first", F.col("__offset") + F.col("__upto") - F.col("equal")).alias("before"),
+                         at("equal", F.col("equal")).alias("equal"), F.col("__total").alias("total"))
 
 
 def average_rank(df: DataFrame, value: str, out: str = "rank", keys: Sequence[str] = (),
                  descending: bool = True) -> DataFrame:
-    """Add the average-method rank; null values keep a null rank."""
-    ranks = value_ranks(df, keys, value, descending).select(*keys, value, F.col("avg_rank").alias(out))
-    return null_safe_join(df, ranks, [*keys, value])
+    """Add the average-method rank; null values keep a null rank.
+
+    The values are counted first.  While their ranks take at most
+    ``RANK_TABLE_BYTES`` they are sent to the rows; otherwise the rows
+    themselves are put in order (``value_places``).  The ranks are the same, and
+    in neither way do the rows of one value meet in one task.
+    """
+    keys = list(keys)
+    counts = materialize(df.groupBy(*keys, value).agg(F.count(value).alias("__n")).filter("__n > 0"), "values")
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in [*keys, value]), F.lit(48))
+    size = counts.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+    if size <= RANK_TABLE_BYTES:
+        order = F.col(value).desc() if descending else F.col(value).asc()
+        placed = prefix_sums(counts, keys, [order], {"__before": "__n"})
+        ranks = placed.select(*keys, value, (F.col("__before") + (F.col("__n") + 1) / 2.0).alias("__rank"))
+        ranked = null_safe_join(df.drop(out), F.broadcast(ranks), [*keys, value])
+        return ranked.withColumnRenamed("__rank", out)
+    discard(counts)
+    kept = [c for c in df.columns if c != out]
+    name = {c: f"__c{i}" for i, c in enumerate(df.columns)}
+    placed = value_places(df.withColumnsRenamed(name), name[value], [name[k] for k in keys])
+    up = F.col("before") + (F.col("equal") + 1) / 2.0
+    rank = F.col("total") + 1 - up if descending else up
+    ranked = placed.select(*[F.col(name[c]).alias(c) for c in kept], rank.alias(out))
+    return ranked.unionByName(df.filter(F.col(value).isNull()).select(*kept, F.lit(None).cast("double").alias(out)))
 
 
 def list_rank(value: str, keys: Sequence[str] = (), descending: bool = True) -> Column:

@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from tabulon.operators.ordering import prefix_sums
-from tabulon.session import materialize
+from tabulon.operators.ordering import prefix_sums, value_places
 
 EXACT_SIGNED_RANK = 50
 EXACT_RANK_SUM = 8
@@ -194,21 +193,16 @@ def significant(p: str = "p_value", level: float = 0.05):
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation with p, over rows where both values are present.
 
-    Equal pairs are counted first; ranks are taken over distinct values and
-    centred before they are multiplied, which keeps the sums exact enough.
+    Equal pairs are counted first; each column's ranks are read from its rows in
+    range order, and centred before they are multiplied, which keeps the sums
+    exact enough.
     """
     pairs = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).groupBy("x", "y").agg(
         F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("n")).filter("n > 0")
-    pairs = materialize(pairs, "pairs")
-    total = pairs.agg(F.sum("n").alias("rows"))
-
-    def ranks(c: str) -> DataFrame:
-        sizes = pairs.groupBy(c).agg(F.sum("n").alias("__n"))
-        placed = prefix_sums(sizes, [], [F.col(c)], {"__before": "__n"})
-        return placed.select(c, (F.col("__before") + (F.col("__n") + 1) / 2.0).alias(f"r_{c}"))
-
-    ranked = pairs.join(ranks("x"), "x").join(ranks("y"), "y")
-    middle = (total.scalar() + 1) / 2.0
+    rank = F.col("before") + (F.col("equal") + 1) / 2.0
+    ranked = value_places(pairs, "x", weight="n").select("x", "y", "n", rank.alias("r_x"))
+    ranked = value_places(ranked, "y", weight="n").select("n", "r_x", rank.alias("r_y"), "total")
+    middle = (F.col("total") + 1) / 2.0
     rx, ry, n = F.col("r_x") - middle, F.col("r_y") - middle, F.col("n")
     sums = ranked.agg(F.sum(n).alias("n"), F.sum(n * rx * ry).alias("xy"),
                       F.sum(n * rx * rx).alias("xx"), F.sum(n * ry * ry).alias("yy"))

@@ -525,6 +525,50 @@ def smotenc_neighbors(spark, d):
     return rounded(near, "distance", digits=4)
 
 
+_WIDE, _WIDE_CODES = [f"m{i}" for i in range(30)], ["c0", "c1"]
+
+
+@query("smotenc_neighbors_wide", f"""{with_views("order_profile")},
+    pen AS (SELECT o_orderstatus, (SELECT median(v) FROM (SELECT unnest([{", ".join(f"stddev_pop({c})" for c in _WIDE)}]) AS v)) AS p
+            FROM order_profile GROUP BY 1),
+    best AS (SELECT a.o_orderkey, min({{'d2': {" + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _WIDE)}
+                 + ({" + ".join(f"(a.{c} <> b.{c})::INT" for c in _WIDE_CODES)}) * (p * p), 'k': b.o_orderkey}}, 5) AS near
+             FROM order_profile a JOIN order_profile b ON a.o_orderstatus = b.o_orderstatus AND a.o_orderkey <> b.o_orderkey
+             JOIN pen ON pen.o_orderstatus = a.o_orderstatus GROUP BY 1)
+    SELECT o_orderkey, i::INTEGER AS rank, near[i].k AS neighbor, {r('sqrt(near[i].d2)', 'distance', 4)}
+    FROM best, (SELECT unnest(range(1, 6)) AS i) WHERE i <= len(near)""")
+def smotenc_neighbors_wide(spark, d):
+    """Thirty numbers and two codes; classes above the cell size go by pivots."""
+    near = neighbors.neighbor_table(view(spark, d, "order_profile"), "o_orderkey", "o_orderstatus", _WIDE, _WIDE_CODES, 5, cell_rows=256)
+    return rounded(near, "distance", digits=4)
+
+
+@query("smotenc_rows", f"""{_CODED},
+    ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY d2, neighbor) AS rank FROM (
+        SELECT a.doc_id, b.doc_id AS neighbor, b.n_chars, b.n_blanks, b.lang, b.source,
+               pow(a.n_chars - b.n_chars, 2) + pow(a.n_blanks - b.n_blanks, 2) + ((a.lang <> b.lang)::INT + (a.source <> b.source)::INT) * (p * p) AS d2
+        FROM coded a JOIN coded b ON a.target = b.target AND a.doc_id <> b.doc_id JOIN pen ON pen.target = a.target)) WHERE rank <= 5),
+    modes AS (SELECT doc_id, (SELECT lang FROM ranked i WHERE i.doc_id = o.doc_id GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1) AS lang,
+        (SELECT source FROM ranked i WHERE i.doc_id = o.doc_id GROUP BY source ORDER BY count(*) DESC, source LIMIT 1) AS source
+        FROM (SELECT DISTINCT doc_id FROM ranked) o),
+    sizes AS (SELECT target, count(*) AS n, max(count(*)) OVER () - count(*) AS need FROM coded GROUP BY target),
+    turns AS (SELECT doc_id, target, n_chars, n_blanks, need // n + ((row_number() OVER (PARTITION BY target ORDER BY md5(doc_id || ':42'), doc_id) - 1) < need % n)::INT AS t
+        FROM coded JOIN sizes USING (target)),
+    made AS (SELECT *, md5(doc_id || ':' || s || ':42') AS d FROM (SELECT *, unnest(range(1, t + 1)) AS s FROM turns)),
+    drawn AS (SELECT *, (('0x' || substr(d, 1, 8))::BIGINT + 0.5) / 4294967296.0 AS gap,
+        floor((('0x' || substr(d, 9, 8))::BIGINT + 0.5) / 4294967296.0 * 5) + 1 AS pick FROM made)
+    SELECT target, {r('w.n_chars + gap * (k.n_chars - w.n_chars)', 'n_chars', 4)}, {r('w.n_blanks + gap * (k.n_blanks - w.n_blanks)', 'n_blanks', 4)},
+        (SELECT count(DISTINCT lang) FROM coded c WHERE c.lang < m.lang) * 1e0 AS lang,
+        (SELECT count(DISTINCT source) FROM coded c WHERE c.source < m.source) * 1e0 AS source
+    FROM drawn w JOIN ranked k ON k.doc_id = w.doc_id AND k.rank = w.pick JOIN modes m ON m.doc_id = w.doc_id""")
+def smotenc_rows(spark, d):
+    """The synthetic rows themselves: places between neighbours and most frequent codes."""
+    df, _ = encode.ordinal_encode(view(spark, d, "cases"), ["lang", "source"])
+    more = resample.smotenc(df, "doc_id", "target", ["n_chars", "n_blanks"], ["lang", "source"], 5)
+    new = more.filter("synthetic").select("target", "n_chars", "n_blanks", *[F.col(c).cast("double").alias(c) for c in ("lang", "source")])
+    return rounded(new, "n_chars", "n_blanks", digits=4)
+
+
 @query("smotenc_counts", f"""{CASES}, c AS (SELECT target, count(*) AS n FROM cases GROUP BY target)
     SELECT target, false AS synthetic, n FROM c
     UNION ALL SELECT target, true, (SELECT max(n) FROM c) - n FROM c WHERE n < (SELECT max(n) FROM c)""")

@@ -82,6 +82,32 @@ VIEWS = {
         GROUP BY l_returnflag, p_brand
         HAVING NOT (l_returnflag = 'A' AND p_brand = 'Brand#7') AND NOT (l_returnflag = 'N' AND p_brand = 'Brand#9')
     """,
+    # One row per order: 30 measures of comparable size and two codes.
+    "order_profile": """
+        SELECT o_orderkey, o_orderstatus, o_totalprice / 100000 AS m0, year(o_orderdate) - 1990e0 AS m1,
+               month(o_orderdate) / 4e0 AS m2, day(o_orderdate) / 10e0 AS m3, p.*,
+               CAST(substr(o_orderpriority, 1, 1) AS INT) * 1e0 AS c0, n_lines * 1e0 AS c1
+        FROM {orders} JOIN (
+            SELECT l_orderkey, count(*) AS n_lines,
+                   sum(l_quantity) / 100 AS m4, min(l_quantity) / 20 AS m5, max(l_quantity) / 20 AS m6,
+                   sum(l_quantity) / count(*) / 20 AS m7,
+                   sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / 1e7 AS m8, min(l_extendedprice) / 20000 AS m9,
+                   max(l_extendedprice) / 20000 AS m10,
+                   sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / count(*) / 2e6 AS m11,
+                   sum(CAST(round(l_discount * 100) AS BIGINT)) / 2e1 AS m12, min(l_discount) * 20 AS m13,
+                   max(l_discount) * 20 AS m14, sum(CAST(round(l_discount * 100) AS BIGINT)) / count(*) / 4e0 AS m15,
+                   sum(CAST(round(l_tax * 100) AS BIGINT)) / 2e1 AS m16, min(l_tax) * 20 AS m17, max(l_tax) * 20 AS m18,
+                   sum(CAST(round(l_tax * 100) AS BIGINT)) / count(*) / 4e0 AS m19,
+                   sum(CASE WHEN l_returnflag = 'A' THEN 1e0 ELSE 0e0 END) AS m20,
+                   sum(CASE WHEN l_returnflag = 'N' THEN 1e0 ELSE 0e0 END) AS m21,
+                   sum(CASE WHEN l_returnflag = 'R' THEN 1e0 ELSE 0e0 END) AS m22,
+                   sum(CASE WHEN l_linestatus = 'O' THEN 1e0 ELSE 0e0 END) AS m23,
+                   sum(CASE WHEN l_quantity > 25 THEN 1e0 ELSE 0e0 END) AS m24,
+                   sum(CASE WHEN l_discount > 0.05 THEN 1e0 ELSE 0e0 END) AS m25,
+                   min(l_partkey % 97) / 30e0 AS m26, max(l_partkey % 97) / 30e0 AS m27,
+                   min(l_suppkey % 13) / 4e0 AS m28, max(l_suppkey % 13) / 4e0 AS m29
+            FROM {lineitem} GROUP BY l_orderkey) p ON o_orderkey = l_orderkey
+    """,
     # Strength of pairs of one-hot columns.
     "pairs": """
         SELECT concat('p_type_', p_type) AS feature_1, concat('l_returnflag_', l_returnflag) AS feature_2,

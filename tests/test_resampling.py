@@ -39,6 +39,26 @@ def test_neighbors_match_brute_force(mixed, sizes):
     assert got == brute(pdf, 5)
 
 
+def test_pivots_in_many_columns_visit_few_cells(spark):
+    """Thirty columns: neighbours are exact, and bounds spare most cells where rows form groups."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(20, 30)) * 6
+    x = centres[rng.integers(0, 20, 3000)] + rng.normal(size=(3000, 30))
+    names = [f"x{i}" for i in range(30)]
+    pdf = pd.DataFrame(x, columns=names)
+    pdf["c"], pdf["id"], pdf["y"] = rng.integers(0, 5, 3000) * 1.0, np.arange(3000), "a"
+    report = {}
+    df = spark.createDataFrame(pdf)
+    lists = neighbors.nearest_lists(df, "id", "y", names, ["c"], 4, cell_rows=50, block_rows=40, report=report)
+    got = {r["near"][0]["key"]: [n["key"] for n in r["near"]] for r in lists.collect()}
+    penalty = np.median(x.std(axis=0)) ** 2
+    for i in rng.integers(0, 3000, 200):
+        d2 = ((x[i] - x) ** 2).sum(axis=1) + (pdf.c[i] != pdf.c).to_numpy() * penalty
+        assert got[i] == list(np.lexsort((np.arange(3000), d2))[:5])
+    assert len(got) == report["vectors"] == 3000 and report["cells"] >= 40
+    assert report["visits"] < 0.35 * report["vectors"] * report["cells"]
+
+
 def test_smotenc_balances_and_stays_inside_the_class(mixed):
     pdf, df = mixed
     out = resample.smotenc(df, "id", "y", ["x1", "x2"], ["c1", "c2"], 5).toPandas()

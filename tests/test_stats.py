@@ -98,3 +98,40 @@ def test_rank_tables(spark):
     assert {r.Feature for r in importance.common_features(a, b).collect()} == {"x"}
     with pytest.raises(ValueError):
         importance.feature_pairs(a, "Feature", limit=2)
+
+
+def test_ranks_with_a_value_in_a_third_of_all_rows(spark, monkeypatch):
+    """Heavy values and heavy nulls are cut over partitions; ranks are the average ones."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from tabulon.operators import ordering
+
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=6000).round(2)
+    v[:2000], v[2000:2500], v[5990:] = 0.5, np.nan, np.inf
+    pdf = pd.DataFrame({"id": np.arange(6000), "g": rng.integers(0, 3, 6000), "v": v})
+    rows = [(int(i), None if g == 2 else int(g), None if np.isnan(x) else float(x)) for i, g, x in pdf.itertuples(index=False)]
+    df = spark.createDataFrame(rows, "id int, g int, v double").repartition(5)
+    few = {r["id"]: r["r"] for r in ordering.average_rank(df, "v", "r", ["g"]).collect()}
+    seen = []
+    real = ordering.materialize
+    monkeypatch.setattr(ordering, "RANK_TABLE_BYTES", -1)
+    monkeypatch.setattr(ordering, "materialize", lambda t, name="table": seen.append(real(t, name)) or seen[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for keys, by in (([], None), (["g"], "g")):
+            for descending in (True, False):
+                got = ordering.average_rank(df, "v", "r", keys, descending).orderBy("id").toPandas()
+                want = (pdf.groupby(by).v if by else pdf.v).rank(ascending=not descending)
+                assert len(got) == 6000 and np.allclose(got["r"].astype(float), want, equal_nan=True)
+        many = {r["id"]: r["r"] for r in ordering.average_rank(df, "v", "r", ["g"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert many == few
+    ordered = next(t for t in seen if "__part" in t.columns)
+    sizes = [r["n"] for r in ordered.groupBy("__part").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) >= 8 and max(sizes) < 2 * 6000 / len(sizes)
+    empty = ordering.average_rank(df.filter("id < 0"), "v", "r")
+    assert empty.collect() == [] and empty.columns == ["id", "g", "v", "r"]
