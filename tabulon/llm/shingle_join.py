@@ -92,41 +92,37 @@ def shingle_rows(column: pa.Array, hasher: WordHasher, width: int) -> Iterator[t
         yield first, np.searchsorted(owner, np.arange(rows + 1)), keys
 
 
-def set_hashes(at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of each row's set."""
-    out = []
-    for k in (2, 5):
-        total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(keys * _SPREAD[k]), dtype=U64)])
-        out.append(mix((total[at[1:]] - total[at[:-1]]) * _SPREAD[k + 1] + np.diff(at).astype(U64)))
-    return out[0], out[1]
+def set_hashes(at: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """A hash of each row's set."""
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(keys * _SPREAD[2]), dtype=U64)])
+    return mix((total[at[1:]] - total[at[:-1]]) * _SPREAD[3] + np.diff(at).astype(U64))
 
 
 def set_table(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
-    """(doc, n, s, s2): size and two hashes of each row's shingle set."""
+    """(doc, n, s): size and hash of each row's shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(byte_table(fold=True, split_marks=False))
         for batch in batches:
             for first, at, keys in shingle_rows(batch.column(1), hasher, width):
-                a, b = set_hashes(at, keys)
+                a = set_hashes(at, keys)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(a)), pa.array(np.diff(at)), signed(a), signed(b)], names=["doc", "n", "s", "s2"])
+                    [batch.column(0).slice(first, len(a)), pa.array(np.diff(at)), signed(a)], names=["doc", "n", "s"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc"), text).mapInArrow(run, f"doc {kind}, n long, s long, s2 long")
+    return docs.select(F.col(key).alias("doc"), text).mapInArrow(run, f"doc {kind}, n long, s long")
 
 
-_ENTRY = np.dtype([("t", "<u8"), ("s", "<u8"), ("n", "<u4")])
+_ENTRY = np.dtype([("t", "<u8"), ("s", "<u8")])
 
 
 def _entries(entries: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [signed(np.ascontiguousarray(entries["t"])), signed(np.ascontiguousarray(entries["s"])),
-         pa.array(entries["n"].astype(np.int64))], names=["t", "s", "n"])
+        [signed(np.ascontiguousarray(entries["t"])), signed(np.ascontiguousarray(entries["s"]))], names=["t", "s"])
 
 
 def head_lists(docs: DataFrame, text: str, total: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(t, s, n): head hashes that more than one class may have, with the classes that have them.
+    """(t, s): head hashes that more than one class may have, with the classes that have them.
 
     A task gathers heads and sends each hash once: alone with its class, or as
     a mark (class 0) when several classes of the task have it, whose entries
@@ -158,12 +154,11 @@ def head_lists(docs: DataFrame, text: str, total: int, width: int = WIDTH, perce
 
         for batch in batches:
             for _, at, keys in shingle_rows(batch.column(0), hasher, width):
-                a, _ = set_hashes(at, keys)
-                n = np.diff(at)
+                a, n = set_hashes(at, keys), np.diff(at)
                 take = np.where(n > 0, np.minimum(head_size(n, percent), n), 0)
                 in_head = np.arange(len(keys)) - np.repeat(at[:-1], n) < np.repeat(take, n)
                 entries = np.empty(int(take.sum()), _ENTRY)
-                entries["t"], entries["s"], entries["n"] = keys[in_head], np.repeat(a, take), np.repeat(n, take)
+                entries["t"], entries["s"] = keys[in_head], np.repeat(a, take)
                 held.append(entries)
                 size += len(entries)
                 if size >= _BUFFER:
@@ -187,7 +182,7 @@ def head_lists(docs: DataFrame, text: str, total: int, width: int = WIDTH, perce
 
     sent = docs.select(text).mapInArrow(gather, "shard int, once binary, through binary")
     sent = sent.where((F.length("once") > 0) | (F.length("through") > 0))
-    return sent.repartition(shards, "shard").mapInArrow(meet, "t long, s long, n long").distinct()
+    return sent.repartition(shards, "shard").mapInArrow(meet, "t long, s long").distinct()
 
 
 def _cut_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -199,7 +194,7 @@ def _cut_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, width: in
         hasher = WordHasher(byte_table(fold=True, split_marks=False))
         for batch in batches:
             for first, at, keys in shingle_rows(batch.column(1), hasher, width):
-                a, _ = set_hashes(at, keys)
+                a = set_hashes(at, keys)
                 rows = len(a)
                 cell = np.repeat(np.arange(rows), np.diff(at)) * FRAGMENTS + (keys >> U64(61)).astype(np.int64)
                 cuts = np.searchsorted(cell, np.arange(rows * FRAGMENTS + 1)).astype(np.int32)
@@ -299,7 +294,7 @@ def shingle_links(docs: DataFrame, sets: DataFrame, key: str, text: str, width:
     total = sets.agg(F.sum("n")).first()[0] or 0
     lists = materialize(head_lists(docs, text, total, width, percent), "heads")
     size = lists.groupBy("t").agg(F.count("*").alias("m")).where(F.col("m") > 1)
-    rows = materialize(lists.join(size, "t"), "lists")
+    rows = materialize(lists.join(size, "t").join(classes.select("s", "n"), "s"), "lists")
     discard(lists)
     frequent = materialize(rows.where(F.col("m") > LIST).groupBy("s", "n").agg(F.count("*").alias("h")), "frequent")
     unsafe = frequent.where(F.col("h") > F.floor(F.ceil(F.col("n") * percent / 100) / 20)).select("s", "n")
@@ -316,15 +311,19 @@ def shingle_links(docs: DataFrame, sets: DataFrame, key: str, text: str, width:
 
     involved = (short_pairs.select(F.col("a").alias("s")).union(short_pairs.select("b")).union(unsafe.select("s")).distinct()
                 .join(classes, "s").select("s", "doc"))
-    fragments = materialize(fragment_rows(docs, materialize(involved, "wanted"), sets, key, text, width), "fragments")
+    wanted = materialize(involved, "wanted")
+    discard(rows)
+    fragments = materialize(fragment_rows(docs, wanted, sets, key, text, width), "fragments")
     links = materialize(verified(short_pairs, fragments, percent), "short-links")
-
+    discard(wanted, short_pairs)
     in_long = materialize(rare_first_lists(fragments.join(unsafe, "s"), percent), "long-lists")
+    discard(frequent)
     if in_long.take(1):
         now = materialize(_with_component(in_long, components(links)), "open")
         links = links.union(materialize(verified(_leader_pairs(now, percent), fragments, percent), "leader-links"))
         now = materialize(_with_component(in_long, components(links)), "open")
         links = links.union(materialize(block_links(_mixed(now), fragments, percent), "block-links"))
+    discard(in_long, fragments)
     return links
 
 
