@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabulon.functions import clean, geo, hashing, ratios, text
-from tabulon.operators import columns, encode, folds, neighbors, resample
+from tabulon.operators import columns, dictionary, encode, folds, neighbors, resample
 from tabulon.plans.registry import query, r, rounded
 from tabulon.plans.views import table, view, with_views
 from tabulon.session import scratch_path
@@ -433,6 +434,20 @@ def impute_iterative_known(spark, d):
                       F.col("n_lines").isNotNull().alias("complete"))
 
 
+@query("dictionary_codes", """
+    SELECT l_orderkey, l_linenumber, (dense_rank() OVER (ORDER BY l_orderkey::VARCHAR) - 1)::DOUBLE AS code, p.place::INTEGER AS place
+    FROM lineitem JOIN (SELECT s, dense_rank() OVER (ORDER BY s) - 2 AS place FROM (SELECT DISTINCT both_flags AS s FROM (
+        SELECT l_returnflag || l_linestatus AS both_flags FROM lineitem))) p ON p.s = l_returnflag || l_linestatus""")
+def dictionary_codes(spark, d):
+    """A column with as many levels as orders, and the place of a sparse one-hot vector (-1: the first level)."""
+    df = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_orderkey").cast("string").alias("code"),
+                                            F.concat("l_returnflag", "l_linestatus").alias("s"))
+    coded = dictionary.dictionary_encode(df, {"code": dictionary.fit_dictionary(df, "code")})
+    hot, _ = dictionary.sparse_one_hot(coded, ["s"])
+    at = F.array_position(vector_to_array("s_hot"), F.lit(1.0)).cast("int") - 1
+    return hot.select("l_orderkey", "l_linenumber", "code", at.alias("place"))
+
+
 def _evidence_steps(name: str, moments: str) -> str:
     """Evidence maximisation with one predictor, as a recursion over its scalars."""
     return f"""

@@ -15,9 +15,10 @@ from tabulon.functions.hashing import add_noise
 from tabulon.functions.text import parent_of
 from tabulon.operators import encode, evaluate, folds, importance, models, summaries, treeshap
 from tabulon.operators.columns import FeatureSet, feature_set
-from tabulon.plans import study
+from tabulon.plans import ledger, study
 from tabulon.plans.registry import query, rounded
 from tabulon.plans.views import view, with_views
+from tabulon.session import scratch_path
 
 CASES = with_views("cases")
 KEY = "doc_id"
@@ -82,6 +83,24 @@ def survey_cross_validation(spark, d):
     return rounded(scores, "MacroF1", "Accuracy")
 
 
+@query("study_ledger", f"""{CASES}, f AS (SELECT target, rep, (row_number() OVER (PARTITION BY rep ORDER BY target,
+        md5(doc_id || ':' || rep || ':42'), doc_id) - 1) % {FOLDS} AS fold FROM cases, (SELECT unnest(range(5)) AS rep))
+    SELECT m AS "Model", CAST(rep * {FOLDS} + fold AS INTEGER) AS "Fold",
+           CAST(CASE target WHEN 'Low' THEN 0 WHEN 'Significant' THEN 1 ELSE 2 END AS DOUBLE) AS y, count(*) AS n, 6 AS features
+    FROM f, (SELECT unnest(['DecisionTree', 'RidgeClassifier']) AS m) GROUP BY ALL""")
+def study_ledger(spark, d):
+    """Five folds in five repeats, stopped after the first model and taken up again with the second.
+
+    Every row is predicted once per model and repeat, and every fold has the importance of every feature.
+    """
+    prep, path = _prepared(spark, d), scratch_path(spark, "study")
+    both = {name: models.model_registry()[name] for name in ("DecisionTree", "RidgeClassifier")}
+    ledger.run_study(prep, KEY, {"DecisionTree": both["DecisionTree"]}, path, "Cases", FOLDS, 5)
+    _, predictions, imp = ledger.run_study(prep, KEY, both, path, "Cases", FOLDS, 5)
+    listed = imp.groupBy("Model", "Fold").agg(F.countDistinct("Feature").cast("int").alias("features"))
+    return predictions.groupBy("Model", "Fold", "y").agg(F.count("yhat").alias("n")).join(listed, ["Model", "Fold"])
+
+
 @query("smote_ablation")
 def smote_ablation(spark, d):
     return rounded(study.smote_ablation(_prepared(spark, d), KEY, "Low", _forest(100, 1), FOLDS, REPEATS),

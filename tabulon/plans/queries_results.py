@@ -198,6 +198,39 @@ def mann_whitney(spark, d):
     return rounded(stats.mann_whitney(df, "target", "distance_km", "Undamaged", "Significant"), "u1", "p_value")
 
 
+@query("mann_whitney_p", f"""WITH RECURSIVE c AS (SELECT c_mktsegment AS g, round(c_acctbal / 100) AS v FROM customer
+        WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')),
+    k AS (SELECT g, v, {_AVG_RANK.format(c='v')} AS rk FROM c),
+    s AS (SELECT count_if(g = 'BUILDING') AS n1, count_if(g = 'MACHINERY') AS n2, sum(CASE WHEN g = 'BUILDING' THEN rk END) AS r1,
+                 (SELECT sum(m * m * m - m) FROM (SELECT count(*)::DOUBLE AS m FROM k GROUP BY v)) AS ties FROM k),
+    u AS (SELECT n1, n2, r1 - n1 * (n1 + 1) / 2.0 AS u1, n1 * n2 / 12.0 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1.0))) AS var FROM s),
+    z AS (SELECT *, (greatest(u1, n1 * n2 - u1) - n1 * n2 / 2.0 - 0.5) / sqrt(2 * var) AS z FROM u),
+    e AS (SELECT 0 AS i, z AS t, z AS total, z FROM z UNION ALL
+          SELECT i + 1, t * 2 * z * z / (2 * i + 3), total + t * 2 * z * z / (2 * i + 3), z FROM e WHERE i < 300)
+    SELECT n1::BIGINT AS n1, n2::BIGINT AS n2, {r('u1', 'u1')},
+        {r("least(1, 1 - 2 / sqrt(pi()) * exp(-z * z) * (SELECT total FROM e WHERE i = 300))", 'p_value')} FROM z""")
+def mann_whitney_p(spark, d):
+    """U and its p with many ties."""
+    df = table(spark, d, "customer").withColumn("v", F.round(F.col("c_acctbal") / 100))
+    return rounded(stats.mann_whitney(df, "c_mktsegment", "v", "BUILDING", "MACHINERY"), "u1", "p_value")
+
+
+@query("spearman_p", f"""{SERIES.replace("WITH ", "WITH RECURSIVE ", 1)},
+    b AS (SELECT a.Mean AS x, n.Mean AS y FROM series a JOIN series n ON a.Feature = n.Feature AND a.run = 'A' AND n.run = 'N'),
+    q AS (SELECT {_AVG_RANK.format(c='x')} AS rx, {_AVG_RANK.format(c='y')} AS ry FROM b),
+    k AS (SELECT count(*) AS n, corr(rx, ry) AS rho, (count(*) - 2) % 2 AS odd, (count(*) - 2) // 2 AS terms FROM q),
+    e AS (SELECT 0 AS j, 1e0 AS t, 0e0 AS total, odd, terms, 1 - rho * rho AS c FROM k UNION ALL
+          SELECT j + 1, t * c * (2 * j + 1 + odd) / (2 * j + 2 + odd), total + t, odd, terms, c FROM e WHERE j < terms)
+    SELECT n, {r('rho', 'rho')}, {r("""CASE WHEN odd = 0 THEN 1 - abs(rho) * total
+        ELSE 1 - 2 / pi() * (asin(abs(rho)) + abs(rho) * sqrt(1 - rho * rho) * total) END""", 'p_value')}
+    FROM k, (SELECT total FROM e ORDER BY j DESC LIMIT 1)""")
+def spearman_p(spark, d):
+    """Rank correlation of two short series with Student's p."""
+    series = view(spark, d, "series")
+    a, b = (series.filter(F.col("run") == run).select("Feature", F.col("Mean").alias(name)) for run, name in (("A", "x"), ("N", "y")))
+    return rounded(stats.spearman(a.join(b, "Feature"), "x", "y"), "rho", "p_value")
+
+
 @query("average_rank", f"""SELECT l_returnflag, l_quantity, {r('''(rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity DESC)
     + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0)''', 'rank')}, l_orderkey FROM lineitem""")
 def average_rank(spark, d):

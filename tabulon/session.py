@@ -64,6 +64,12 @@ def discard(*tables: DataFrame) -> None:
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end: Spark marks that by a file of its own."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def side_by_side(tasks: Sequence[Callable[[], T]], workers: int = 4) -> list[T]:
     """Run independent chains of Spark jobs at the same time, results in order.
 
