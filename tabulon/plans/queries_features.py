@@ -16,6 +16,8 @@ from tabulon.sources import (
     common_columns,
     drop_unnamed,
     export_features,
+    first_row,
+    header_is_data,
     normalize_columns,
     profile,
     read_results,
@@ -120,6 +122,26 @@ def profile_counts(spark, d):
     return profile(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), distinct=False)
 
 
+@query("first_rows", """
+    WITH f AS (SELECT * FROM customer ORDER BY c_custkey LIMIT 1)
+    SELECT 'plain' AS source, i::INTEGER AS position, n AS "column", v AS value, false AS header FROM (SELECT
+        unnest(range(5)) AS i, unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS n,
+        unnest([c_custkey::VARCHAR, c_name, c_nationkey::VARCHAR, c_acctbal::VARCHAR, c_mktsegment]) AS v FROM f)
+    UNION ALL SELECT 'headless', i::INTEGER, '_c' || i, n, true FROM (SELECT
+        unnest(range(5)) AS i, unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS n)""")
+def first_rows(spark, d):
+    """First row of a source with a header, and of its file read as if it had none: there the row repeats the names."""
+    customer = table(spark, d, "customer")
+    plain, path = customer.orderBy("c_custkey"), scratch_path(spark, "headless")
+    write_table(plain.limit(100).coalesce(1), path, "csv")
+    headless = spark.read.csv(path)
+    parts = []
+    for name, df, order in (("plain", customer, [F.col("c_custkey")]), ("headless", headless, [])):
+        test = header_is_data(headless if name == "headless" else plain, customer.columns)
+        parts.append(first_row(df, order).select(F.lit(name).alias("source"), "position", "column", "value", F.lit(test).alias("header")))
+    return parts[0].unionByName(parts[1])
+
+
 @query("export_engineered", f"""{SURVEY}
     SELECT archetype, count(*) AS n, count(aspect) AS n_aspect, {r('sum(aspect)', 'aspect')}, {r('sum(slender)', 'slender')},
            count(CASE WHEN lower(trim(occupany_u)) IN ('un', 'unknown', 'n/a', 'na') THEN NULL ELSE occupany_u END) AS n_occupied
@@ -148,6 +170,18 @@ def clean_unknowns(spark, d):
     return df.groupBy("occupany_u", "status_u").agg(F.count("*").alias("n"))
 
 
+_READ = """CASE l_linenumber WHEN 1 THEN 'NaN' WHEN 2 THEN '#N/A' WHEN 3 THEN 'null' WHEN 4 THEN 'nan ' WHEN 5 THEN '' WHEN 6 THEN '<NA>'
+    ELSE l_returnflag END"""
+
+
+@query("clean_reader_nulls", f"""SELECT word, count(*) AS n FROM (SELECT CASE WHEN l_linenumber IN (1, 2, 3, 5, 6) THEN NULL
+    ELSE {_READ} END AS word FROM lineitem) GROUP BY word""")
+def clean_reader_nulls(spark, d):
+    """Tokens that a reader takes for null; they are matched as they are, without trimming."""
+    df = clean.clean_reader_nulls(table(spark, d, "lineitem").select(F.expr(_READ).alias("word")))
+    return df.groupBy("word").agg(F.count("*").alias("n"))
+
+
 @query("to_numeric_strip", f"""{SURVEY}, v AS (
         SELECT dataset_source, TRY_CAST(replace(replace(area_text, ',', ''), ' ', '') AS DOUBLE) AS x FROM survey)
     SELECT dataset_source, count(*) AS n, count(x) AS n_numbers, {r('sum(x)', 'total')} FROM v GROUP BY dataset_source""")
@@ -230,6 +264,16 @@ def missingness_report(spark, d):
     return rounded(columns.missingness_report(df, list(_MISS), ["archetype", "occupany_u"]), "Missing_Percent")
 
 
+@query("missingness_order", f"""{SURVEY}
+    SELECT row_number() OVER (ORDER BY Missing_Count DESC, Feature) AS place, Feature, Missing_Count FROM ({_MISS_SQL})""")
+def missingness_order(spark, d):
+    """The report's rows in the order it returns them."""
+    df = clean.clean_unknowns(view(spark, d, "survey"), cols=["archetype", "occupany_u"])
+    report = columns.missingness_report(df, list(_MISS), ["archetype", "occupany_u"]).select("Feature", "Missing_Count")
+    return report.select(F.collect_list(F.struct("Feature", "Missing_Count")).alias("l")).select(
+        F.posexplode("l").alias("at", "r")).select((F.col("at") + 1).cast("long").alias("place"), "r.*")
+
+
 # ---- geometry and ratios ----
 
 _HAVERSINE_SQL = """, foot AS (

@@ -16,8 +16,8 @@ from tabulon.functions.text import parent_of
 from tabulon.operators import encode, evaluate, folds, importance, models, summaries, treeshap
 from tabulon.operators.columns import FeatureSet, feature_set
 from tabulon.plans import ledger, study
-from tabulon.plans.registry import query, rounded
-from tabulon.plans.views import view, with_views
+from tabulon.plans.registry import query, r, rounded
+from tabulon.plans.views import table, view, with_views
 from tabulon.session import scratch_path
 
 CASES = with_views("cases")
@@ -252,6 +252,52 @@ def beeswarm_topk(spark, d):
     return rounded(treeshap.beeswarm(shap, prep.features, prep.classes, "Significant", 20), "value", "x")
 
 
+# A stored table of explanations: three features, two classes, a row per line of an order.
+_STORED = """SELECT l_orderkey * 10 + l_linenumber AS key, l_quantity AS x0, l_extendedprice AS x1, l_discount AS x2,
+    l_tax - 0.04 AS a0, (l_quantity - 25) / 100 AS a1, 0.05 - l_discount AS a2,
+    0.04 - l_tax AS b0, l_discount - 0.02 AS b1, (l_quantity - 10) / 50 AS b2 FROM {}"""
+_STORED_FEATURES = ["tax", "size", "discount"]
+
+
+def _stored_shap(spark, d):
+    rows = spark.sql(_STORED.format("{t}"), t=table(spark, d, "lineitem"))
+    return rows.select("key", F.array("x0", "x1", "x2").alias("x"), F.array(F.array("a0", "a1", "a2"), F.array("b0", "b1", "b2")).alias("phi"))
+
+
+_STORED_MEANS = f"""WITH s AS ({_STORED.format("lineitem")}),
+    m AS (SELECT c, f, avg(abs(v)) AS mean FROM (SELECT unnest(['A', 'A', 'A', 'B', 'B', 'B']) AS c,
+        unnest(['tax', 'size', 'discount', 'tax', 'size', 'discount']) AS f, unnest([a0, a1, a2, b0, b1, b2]) AS v FROM s) GROUP BY ALL)"""
+
+
+@query("shap_means_stored", f"""{_STORED_MEANS} SELECT c AS class, f AS feature, {r('mean', 'mean_abs_shap')} FROM m""")
+def shap_means_stored(spark, d):
+    return rounded(treeshap.mean_abs_shap(_stored_shap(spark, d), _STORED_FEATURES, ["A", "B"]), "mean_abs_shap")
+
+
+@query("dependence_stored", f"""{_STORED_MEANS} SELECT key, x1 AS value, {r('b1', 'shap')}, x0 AS colour, x1 > 30000 AS above_threshold FROM s""")
+def dependence_stored(spark, d):
+    """Feature value, SHAP value, colour and threshold of every explained row."""
+    return rounded(treeshap.dependence(_stored_shap(spark, d), _STORED_FEATURES, ["A", "B"], "size", "B", "tax", 30000), "shap")
+
+
+@query("beeswarm_stored", f"""{_STORED_MEANS}, k AS (SELECT f FROM m WHERE c = 'B' ORDER BY mean DESC, f LIMIT 2),
+    l AS (SELECT key, unnest(['tax', 'size', 'discount']) AS feature, unnest([x0, x1, x2]) AS x, unnest([b0, b1, b2]) AS value FROM s)
+    SELECT key, feature, {r('x', 'x')}, {r('value', 'value')} FROM l WHERE feature IN (SELECT f FROM k)""")
+def beeswarm_stored(spark, d):
+    return rounded(treeshap.beeswarm(_stored_shap(spark, d), _STORED_FEATURES, ["A", "B"], "B", 2), "x", "value")
+
+
+@query("shap_comparison_stored", f"""{_STORED_MEANS},
+    w AS (SELECT f, max(mean) FILTER (c = 'A') AS a, max(mean) FILTER (c = 'B') AS b FROM m GROUP BY f)
+    SELECT f AS feature, {r('a', 'a_score')}, {r('b', 'b_score')}, (rank() OVER (ORDER BY a DESC))::DOUBLE AS a_rank,
+        (rank() OVER (ORDER BY b DESC))::DOUBLE AS b_rank,
+        abs((rank() OVER (ORDER BY a DESC))::DOUBLE - (rank() OVER (ORDER BY b DESC))::DOUBLE) AS rank_difference FROM w""")
+def shap_comparison_stored(spark, d):
+    """Ranks of two models' mean absolute SHAP values; here the two classes stand for the models."""
+    means = treeshap.mean_abs_shap(_stored_shap(spark, d), _STORED_FEATURES, ["A", "B"])
+    return rounded(treeshap.compare_shap(*[means.filter(F.col("class") == c) for c in "AB"]), "a_score", "b_score")
+
+
 @query("ridge_scores")
 def ridge_scores(spark, d):
     """Confusion of the ridge classifier fitted on the full table."""

@@ -6,6 +6,7 @@ from tabulon.sources.tables import (
     common_columns,
     drop_unnamed,
     export_features,
+    first_row,
     header_is_data,
     normalize_columns,
     normalized_name,

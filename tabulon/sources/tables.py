@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,6 +139,18 @@ def profile(df: DataFrame, distinct: bool = True) -> DataFrame:
     return out.select("column", type_of[F.col("column")].alias("type"), "rows", "non_null", "distinct", "min_value")
 
 
+def first_row(df: DataFrame, order: Sequence[Column] = ()) -> DataFrame:
+    """(position, column, value): the first row as text, a row per column.
+
+    Without ``order`` that is the first row read, which is the first line of a
+    single file; with it, the least row, of which each task keeps one.
+    """
+    one = df.orderBy(*order).limit(1) if order else df.limit(1)
+    cells = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+                      for i, c in enumerate(df.columns)])
+    return one.select(F.explode(cells).alias("c")).select("c.*")
+
+
 def header_is_data(df: DataFrame, expected: Sequence[str]) -> bool:
     """True when the first row repeats the expected column names.
 
