@@ -196,3 +196,10 @@ def test_elimination_keeps_the_signal(data):
     out = {r.Feature: r for r in importance.rfecv(df, "id", ["a", "d", "e"], models.random_forest(5, max_depth=4), 2).collect()}
     assert out["a"].Support and min(r.Ranking for r in out.values()) == 1
     assert all(r.Support == (r.Ranking == 1) for r in out.values())
+
+
+def test_few_training_rows_give_the_same_forest_whatever_their_partitions(data):
+    _, df = data
+    rows = assemble(df, FEATS).withColumn("rid", F.xxhash64("id")).select("label", "features", "rid")
+    one, other = (models.random_forest(4, max_depth=5)(rows.repartition(n)) for n in (3, 7))
+    assert one.toDebugString.split("\n", 1)[1] == other.toDebugString.split("\n", 1)[1]
