@@ -198,6 +198,15 @@ def test_cross_entropy_by_the_book(spark, monkeypatch):
         assert g[2:] == pytest.approx(w[2:], abs=1e-5) if w[2] is not None else g[2:] == (None, None, None)
 
 
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_cross_entropy_reads_every_target_document(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(ce, "BROADCAST_KEYS", broadcast)
+    words = F.concat_ws(" ", *[F.concat(F.lit("w"), F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(9))) for i in range(6)])
+    df = spark.range(20_400).withColumnRenamed("id", "doc_id").withColumn("text", words)
+    got = ce.score_cross_entropy(df, df.select("doc_id"))  # the target is the whole table, so both models are one
+    assert got.where((F.col("target_loss") == F.col("background_loss")) & (F.col("score") == 0)).count() == 20_400
+
+
 def test_cross_entropy_without_target_or_rows(spark):
     df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert ce.score_cross_entropy(df.limit(0), df.select("doc_id")).count() == 0
