@@ -113,6 +113,32 @@ def test_document_losses(spark, texts):
         assert got[i]["loss"] == pytest.approx(-sum(brute.logp(*d[k - 2:k + 1]) for k in range(2, len(d))), rel=1e-4)
 
 
+@pytest.mark.parametrize("blocks", [1 << 22, 300])
+def test_shards_score_as_the_whole_model(spark, texts, monkeypatch, blocks):
+    monkeypatch.setattr(kn, "BLOCK_TOKENS", blocks)
+    taught = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = [*enumerate(texts), (100, "w3 strange w0 w0"), (101, "w1 " * 3000), (None, "w1"), (None, "w1"), (102, " "), (103, "w2 x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    got = kn.score_by_shards(df, kn.train_tables(taught), shard_bytes=500).collect()
+    want = kn.score_documents(df, ship(spark, kn.train(taught))).collect()
+    assert sorted([tuple(r)[:3] for r in got], key=repr) == sorted([tuple(r)[:3] for r in want], key=repr)
+    for g, w in zip(*(sorted(x, key=lambda r: (str(r[0]), r["loss"])) for x in (got, want)), strict=True):
+        assert g["loss"] == pytest.approx(w["loss"], abs=1e-6 * (1 + w["n_tokens"]))
+
+
+def test_quality_learns_from_every_trusted_document(spark):
+    words = F.concat_ws(" ", *[F.concat(F.lit("w"), F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(3000))) for i in range(4)])
+    df = spark.range(9_400).select(F.col("id").alias("doc_id"), words.alias("text"), F.lit("en").alias("lang"))
+    got = kn.classify_quality(df, df.select("doc_id", F.lit(1).alias("quality")))
+    half = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(2))
+    taught = df.where(half == 0)
+    assert taught.count() > 4_400
+    scored = kn.score_documents(df, ship(spark, kn.train(taught)))
+    mean = scored.where(half == 1).agg(F.sum("loss") / F.sum("n_tokens")).first()[0]
+    want = F.exp((F.col("loss") + kn.SHRINK * mean) / (F.col("n_tokens") + kn.SHRINK))
+    assert got.join(scored.select("doc_id", want.alias("want")), "doc_id").where(F.abs(F.col("perplexity") / F.col("want") - 1) < 1e-6).count() == 9_400
+
+
 def test_quality_keeps_clean_and_rejects_junk(spark):
     got = kn.op9(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").groupBy("quality").agg(
         F.avg(F.col("keep").cast("int")).alias("kept"), F.count("*").alias("n")).collect()
