@@ -111,6 +111,43 @@ def test_batches_of_trees_and_tasks_do_not_matter(spark, data, forest, monkeypat
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
 
 
+def test_integrals_are_taken_per_leaf_and_set_not_per_row(monkeypatch):
+    """Rows that meet the same tests share the work, so it does not grow with rows times nodes."""
+    tree = (-1, np.array([0, 1, -1, -1, 0, -1, -1]), np.array([0.0, 1, 0, 0, 2, 0, 0]), np.array([1, 2, -1, -1, 5, -1, -1]),
+            np.array([4, 3, -1, -1, 6, -1, -1]), np.array([10.0, 6, 4, 2, 4, 3, 1]), np.arange(7.0))
+    done, integrals = [], treeshap.Walk._integrals
+    monkeypatch.setattr(treeshap.Walk, "_integrals", staticmethod(lambda share, met: done.append(len(share)) or integrals(share, met)))
+    x = np.random.default_rng(0).normal(1, 2, size=(2, 50_000))
+    x[0, :9], x[1, 5:20] = np.nan, np.nan
+    walk, phi = treeshap.Walk(tree, 1, 2), np.zeros((2, 1, 50_000))
+    walk.shap(x, phi)
+    assert sum(done) <= 2 * 2 + 2 * 4  # two leaves with one feature, two with both
+    leaf = np.where(x[0] <= 0, np.where(x[1] <= 1, 2.0, 3.0), np.where(x[0] <= 2, 5.0, 6.0))
+    assert np.allclose(phi[:, 0].sum(axis=0) + walk.mean[0], leaf)
+
+
+@pytest.mark.parametrize("n", [12, 18, 70])
+def test_paths_of_many_features(n):
+    """A chain that tests every feature once; beyond 62 features a set is no machine word."""
+    node = np.arange(2 * n + 1)
+    inner = node % 2 == 0
+    inner[-1] = False
+    tree = (-1, np.where(inner, node // 2, -1), np.zeros(2 * n + 1), np.where(inner, node + 1, -1), np.where(inner, node + 2, -1),
+            np.where(node % 2 == 1, 1.0, n - node // 2 + 1.0), np.where(node % 2 == 1, node, -3.0))
+    x = np.random.default_rng(1).normal(-1.5, 1, size=(n, 40)) * -1
+    x[:, 0] = 1.0
+    walk, phi, pairs = treeshap.Walk(tree, 1, n), np.zeros((n, 1, 40)), np.zeros((n, n, 1, 40))
+    walk.shap(x, phi)
+    walk.interactions(x, pairs, [0])
+    every = walk.expected(x, np.ones((1, n), bool))[0, 0]
+    first = (x <= 0).argmax(axis=0)
+    assert np.allclose(every, np.where((x <= 0).any(axis=0), 2 * first + 1, -3.0))
+    assert np.allclose(phi[:, 0].sum(axis=0) + walk.mean[0], every)
+    alone = np.eye(n, dtype=bool)
+    gap = every - walk.expected(x, alone)[:, 0] - walk.expected(x, ~alone)[:, 0] + walk.mean[0]
+    assert np.allclose(2 * (pairs + pairs.transpose(1, 0, 2, 3)).sum(axis=1)[:, 0], gap)
+
+
 def test_trees_of_a_single_leaf(spark):
     df = assemble(spark.createDataFrame([(1, 1.0, 2.0)] * 6, "id int, label double, a double"), ["a"])
     model = models.random_forest(2)(df)
