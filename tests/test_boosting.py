@@ -103,6 +103,33 @@ def test_both_paths_give_the_same_trees(data, monkeypatch):
             assert all((got[n] == want[n]).all() for n in ["cls", *FIELDS])
 
 
+def test_only_the_lesser_child_is_added_up(monkeypatch):
+    """A level costs at most half the drawn rows; sums, nodes and values are those of the whole rows."""
+    rng = np.random.default_rng(5)
+    bins, rid, s = rng.integers(0, 16, (4000, 4)).astype(np.uint8), np.arange(4000), Settings(depth=4)
+    grid, label = boosting.Grid([np.arange(15.0)] * 4), (bins[:, 1] + bins[:, 2] > 15).astype(int)
+    g, h = boosting.gradients(np.zeros((4000, 2)), label, rid, 0, s)
+    allowed, seen, real = np.array([False, True, True, True]), [], boosting.histogram
+    monkeypatch.setattr(boosting, "histogram", lambda b, *rest: seen.append(len(b)) or real(b, *rest))
+    tree, node = boosting.grow(bins, g[:, 0], h[:, 0], grid, allowed, s)
+    drawn = int((g[:, 0] != 0).sum())
+    assert seen[0] == drawn and len(seen) == 4 and all(n <= drawn / 2 for n in seen[1:])
+    assert (node == tree.route(bins, s.depth)).all() and not (tree.feature == 0).any()
+    path = {0: np.ones(4000, bool)}
+    for n in range(15):
+        if tree.feature[n] >= 0:
+            left = bins[:, tree.feature[n]] <= tree.bin[n]
+            path[2 * n + 1], path[2 * n + 2] = path[n] & left, path[n] & ~left
+    for n, rows in path.items():
+        assert tree.cover[n] == h[rows, 0].sum() / 2.0 ** 30
+
+
+def test_many_rows_need_no_pass_per_level(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "_fit_by_passes", None)
+    rows = assemble(spark.range(60_000).select((F.col("id") % 2).cast("double").alias("label"), (F.col("id") % 7).cast("double").alias("a")), ["a"])
+    assert len(SoftmaxBoosting(Settings(rounds=1, depth=2))(rows).arrays()["cls"]) == 2
+
+
 def test_draws_leave_out_a_share_of_rows_and_columns():
     s = Settings()
     rid = np.arange(20_000)
