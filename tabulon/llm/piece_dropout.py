@@ -16,6 +16,7 @@ space mark itself when it stands in a text, are written as byte pieces.
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections.abc import Callable, Iterator, Sequence
@@ -119,19 +120,25 @@ class _Units(dict):
 
 
 class _Draws:
-    """Ids of one occurrence of a unit, given its 64-bit draw."""
+    """Ids of the occurrences of units, each given its 64-bit draw."""
 
     def __init__(self, model: PieceModel, dropout: float):
-        self.model, self.log_keep = model, np.log1p(-dropout) if dropout else 0.0
+        self.model, self.log_keep = model, math.log1p(-dropout) if dropout else 0.0
+        self.ranks = {piece: rank for piece, (rank, _) in model.pieces.items()}
         self.pass_ = [int((1 - dropout) ** k * (1 << 64)) for k in range(256)]  # draws below: no skip in k candidates
         self.known: dict = {}  # unit, or (unit, skipped candidates...): (ids, first draw that skips once more)
 
     def _gap(self, draw: int) -> int:
-        return int(np.log((draw + 1) / (1 << 64)) / self.log_keep)
+        return int(math.log((draw + 1) / (1 << 64)) / self.log_keep)
 
-    def _merge(self, unit: str, skip: Callable[[int, str], bool] | None) -> bytes:
-        pieces, byte_ids, none, ids = self.model.pieces, self.model.byte_ids, (NEVER, -1), []
-        for symbol in merge_agenda(unit, lambda a, b, get=pieces.get: get(a + b, none)[0], skip):
+    def _gaps(self, draws: np.ndarray) -> np.ndarray:
+        if not self.log_keep:
+            return np.zeros(len(draws), np.int64)
+        return np.minimum(np.log((draws.astype(float) + 1) / float(1 << 64)) / self.log_keep, float(1 << 62)).astype(np.int64)
+
+    def _ids(self, symbols: Sequence[str]) -> bytes:
+        pieces, byte_ids, ids = self.model.pieces, self.model.byte_ids, []
+        for symbol in symbols:
             hit = pieces.get(symbol)
             if hit is not None:
                 ids.append(hit[1])
@@ -139,21 +146,41 @@ class _Draws:
                 ids.extend(byte_ids[b] for b in symbol.encode("utf-8", "surrogatepass"))
         return array("H", ids).tobytes()
 
-    def _node(self, unit: str, skipped: tuple[int, ...]) -> tuple[bytes, int]:
-        seen = 0
-
-        def skip(i: int, joined: str) -> bool:
-            nonlocal seen
+    def _merge(self, unit: str, skip: Callable[[int, str], bool] | None) -> bytes:
+        return self._ids(merge_agenda(unit, lambda a, b, get=self.ranks.get: get(a + b, NEVER), skip))
+
+    def _drawn(self, unit: str, first: int, second: int, draw: int) -> bytes:
+        """One pass of the agenda, as ``merge_agenda`` takes it; its end is remembered.
+
+        ``first`` and ``second`` are the candidates up to the next skip and to the one after, ``draw`` says the others.
+        """
+        rank, parts, seen, skipped = self.ranks.get, list(unit), 0, ()
+        ranks = [rank(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        least = first if self.log_keep else -1
+        while ranks:
+            best = min(ranks)
+            if best == NEVER:
+                break
+            i = ranks.index(best)
+            if seen == least:
+                seen, ranks[i] = seen + 1, NEVER
+                if skipped:
+                    second, draw = self._gap(draw), _next(draw)
+                skipped, least = (*skipped, least), seen + second
+                continue
             seen += 1
-            return seen - 1 in skipped
-
-        ids = self._merge(unit, skip)
+            joined = parts[i] = parts[i] + parts.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] + joined, NEVER)
+            if i < len(ranks):
+                ranks[i] = rank(joined + parts[i + 1], NEVER)
         left = seen - (skipped[-1] + 1 if skipped else 0)
-        node = ids, self.pass_[left] if left < 256 else 0
+        ids = self._ids(parts)
         if len(self.known) >= _KEPT_UNITS:
             self.known.clear()
-        self.known[(unit, *skipped) if skipped else unit] = node
-        return node
+        self.known[(unit, *skipped) if skipped else unit] = ids, self.pass_[left] if left < 256 else 0
+        return ids
 
     def long(self, unit: str, draw: int) -> bytes:
         """A unit that is not remembered: one pass of the agenda, drawing as it goes."""
@@ -172,24 +199,36 @@ class _Draws:
 
         return self._merge(unit, skip)
 
-    def skipping(self, unit: str, draw: int) -> bytes:
-        """A unit in which at least one candidate is skipped."""
-        skipped, at = (), 0
+    def skipping(self, unit: str, first: int, second: int, draw: int) -> bytes:
+        """A unit in which at least two candidates are skipped."""
+        skipped, at, last = (first, first + 1 + second), first + 1 + second, draw
         while True:
-            at += self._gap(draw)
-            skipped, at, draw = (*skipped, at), at + 1, _next(draw)
-            node = self.known.get((unit, *skipped)) or self._node(unit, skipped)
-            if draw < node[1]:
+            node = self.known.get((unit, *skipped))
+            if node is None:
+                return self._drawn(unit, first, second, draw)
+            if last < node[1]:
                 return node[0]
+            at += 1 + self._gap(last)
+            skipped, last = (*skipped, at), _next(last)
 
     def join(self, units: Sequence[str], draws: Sequence[int]) -> bytes:
-        out, get = [], self.known.get
-        for unit, draw in zip(units, draws, strict=True):
-            if len(unit) > _KEPT_UNIT:
+        out, get, draws = [], self.known.get, np.asarray(draws, U64)
+        after = _after(draws)
+        third = _after(after)
+        for unit, draw, gap, again, gap2, last in zip(
+                units, *(x.tolist() for x in (draws, self._gaps(draws), after, self._gaps(after), third)), strict=True):
+            node = get(unit)
+            if node is not None and draw >= node[1]:
+                node = get((unit, gap))
+                if node is not None and again >= node[1]:
+                    out.append(self.skipping(unit, gap, gap2, last))
+                    continue
+            if node is not None:
+                out.append(node[0])
+            elif len(unit) > _KEPT_UNIT:
                 out.append(self.long(unit, draw))
-                continue
-            ids, limit = get(unit) or self._node(unit, ())
-            out.append(ids if draw < limit else self.skipping(unit, draw))
+            else:
+                out.append(self._drawn(unit, gap, gap2, last))
         return b"".join(out)
 
 
@@ -200,6 +239,13 @@ def _next(draw: int) -> int:
     return x ^ x >> 31
 
 
+def _after(draws: np.ndarray) -> np.ndarray:
+    """``_next`` of an array."""
+    x = (draws ^ draws >> U64(30)) * U64(0xBF58476D1CE4E5B9) + U64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> U64(27)) * U64(0x94D049BB133111EB)
+    return x ^ x >> U64(31)
+
+
 _RUNS = re.compile(f"\n|{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+")
 
 
@@ -251,7 +297,7 @@ class PieceEncoder:
         parts[0] = SPACE_MARK + parts[0]
         units = [_RUNS.findall(p) for p in parts]
         base = U64(xxhash.xxh64_intdigest(key, self.seed & _MASK))
-        draws = mix(base + np.arange(1, sum(map(len, units)) + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)).tolist()
+        draws = mix(base + np.arange(1, sum(map(len, units)) + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
         out, at = [], 0
         for u in units:
             out.append(self.draws.join(u, draws[at:at + len(u)]))

@@ -90,6 +90,25 @@ def test_remembered_draws_equal_one_pass(model):
         assert draws.join([u], [draw]) == draws.long(u, draw)
 
 
+def test_a_new_unit_takes_one_pass(model, monkeypatch):
+    """However many candidates are skipped; a unit met again in the same way takes none."""
+    calls, real = [], pd_._Draws._ids
+    monkeypatch.setattr(pd_._Draws, "_ids", lambda self, symbols: calls.append(1) or real(self, symbols))
+    units = ["▁international", "▁considerations", "▁a", "ψ▁"] * 50
+    many = [pd_._next(i) for i in range(len(units))]
+    for unit, draw in zip(units, many):
+        draws = pd_._Draws(model, 0.4)
+        calls.clear()
+        once = draws.join([unit], [draw])
+        assert len(calls) == 1 and once == draws.long(unit, draw)
+    draws = pd_._Draws(model, 0.4)
+    whole = draws.join(units, many)
+    calls.clear()
+    assert draws.join(units, many) == whole == b"".join(draws.join([u], [d]) for u, d in zip(units, many))
+    assert draws._gaps(np.array(many, np.uint64)).tolist() == [draws._gap(d) for d in many]
+    assert pd_._after(np.array(many, np.uint64)).tolist() == [pd_._next(d) for d in many]
+
+
 @given(st.text(alphabet="abc", max_size=30), st.dictionaries(st.text(alphabet="abc", min_size=2, max_size=4), st.integers(0, 9)))
 @settings(max_examples=200, deadline=None)
 def test_list_and_heap_agenda_agree(text, ranks):
