@@ -95,3 +95,28 @@ def test_survey_query_scores_the_whole_survey(spark, monkeypatch):
     with pytest.raises(InterruptedError):
         queries_models.survey_cross_validation(spark, sf)
     assert sizes[0] > 1000
+
+
+def test_survey_query_fits_to_every_training_row(spark, monkeypatch, tmp_path):
+    """Four fifths of the labelled rows, with no bound on their number."""
+    n = 6_000
+    spark.range(n).select(
+        F.col("id").alias("l_orderkey"), (F.col("id") % 50).alias("l_partkey"), (F.col("id") % 7).alias("l_suppkey"),
+        F.lit(1).alias("l_linenumber"), F.expr("id % 50 + 1").cast("double").alias("l_quantity"),
+        F.expr("id % 997 + 900").cast("double").alias("l_extendedprice"), F.expr("(id % 11) / 100").cast("double").alias("l_discount"),
+        F.expr("(id % 9) / 100").cast("double").alias("l_tax"), F.lit("O").alias("l_linestatus")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(50).select(F.col("id").alias("p_partkey"), (F.col("id") % 40 + 1).cast("int").alias("p_size"),
+                           F.lit("tin").alias("p_type"), F.lit("b1").alias("p_brand")).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(n).select(F.col("id").alias("o_orderkey"), F.lit("5-LOW").alias("o_orderpriority")).write.parquet(f"{tmp_path}/orders.parquet")
+    labelled, seen = [], []
+
+    def training_rows(train, *args):
+        seen.append(train.count())
+        raise InterruptedError
+
+    real = study.cross_validate
+    monkeypatch.setattr(study, "cross_validate", lambda prep, *args, **kw: (labelled.append(prep.table.count()), real(prep, *args, **kw))[1])
+    monkeypatch.setattr(models, "training_rows", training_rows)
+    with pytest.raises(InterruptedError):
+        queries_models.survey_cross_validation(spark, str(tmp_path))
+    assert labelled[0] > 5_500 and min(seen) >= labelled[0] * 4 // 5 - 1
