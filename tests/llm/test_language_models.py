@@ -224,6 +224,41 @@ def test_cross_entropy_by_the_book(spark, monkeypatch):
         assert g[2:] == pytest.approx(w[2:], abs=1e-5) if w[2] is not None else g[2:] == (None, None, None)
 
 
+@pytest.mark.parametrize("buffer", [1 << 22, 700])
+def test_cross_entropy_gives_every_word_its_own_counts(spark, monkeypatch, buffer):
+    """More words than any fixed list; the two models differ in the rare ones only."""
+    monkeypatch.setattr(ce, "_BUFFER", buffer)
+    rng = np.random.default_rng(5)
+    rare = [f"r{i}" for i in range(6000)]
+    docs = [(i, " ".join(w for _ in range(20) for w in ("the", str(rng.choice(rare[:3000] if i < 100 else rare[3000:]))))) for i in range(300)]
+    docs += [(300, None), (301, "the"), (302, "the r1 unheard"), (302, "the r1 unheard"), (None, "r1 the")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    coded = [(i, words_of(t, True)) for i, t in docs]
+    vocabulary = {w for _, d in coded for w in d}
+    assert len(vocabulary) > 2_500
+
+    def model(chosen):
+        pairs = Counter(p for d in chosen for p in zip([None, *d], d))
+        ones, after, kinds = Counter(), Counter(), Counter()
+        for (v, w), c in pairs.items():
+            ones[w] += c
+            after[v] += c
+            kinds[v] += 1
+        total = sum(ones.values()) + 0.5 * len(vocabulary)
+        return lambda v, w: -math.log((pairs[v, w] + (kinds[v] if after[v] else 1) * (ones[w] + 0.5) / total) / (after[v] + kinds[v] if after[v] else 1))
+
+    models = model([d for i, d in coded if i is not None and i < 100]), model([d for _, d in coded])
+    got = sorted((tuple(r) for r in ce.score_cross_entropy(df, df.where("doc_id < 100").select("doc_id")).collect()), key=repr)
+    want = []
+    for i, d in coded:
+        t = [sum(m(v, w) for v, w in zip([None, *d], d)) / len(d) if d else None for m in models]
+        want.append((i, len(d), *t, t[0] - t[1] if d else None))
+    for g, w in zip(got, sorted(want, key=repr), strict=True):
+        assert g[:2] == w[:2] and g[2:] == (pytest.approx(w[2:], abs=1e-9) if w[1] else (None,) * 3)
+    by_part = [[g[4] for g in got if g[0] is not None and g[0] in part] for part in (range(100), range(100, 300))]
+    assert max(by_part[0]) < min(by_part[1])
+
+
 @pytest.mark.parametrize("broadcast", [500_000, 0])
 def test_cross_entropy_reads_every_target_document(spark, monkeypatch, broadcast):
     monkeypatch.setattr(ce, "BROADCAST_KEYS", broadcast)
