@@ -174,6 +174,27 @@ def test_vectors_in_many_blocks(spark, monkeypatch):
     assert got == brute_vectors(rows)
 
 
+def test_vectors_in_tiles_and_rounds(spark, monkeypatch):
+    """Unrelated vectors meet in every pair of blocks; a round sends each point to few tasks."""
+    for name, value in (("BLOCK", 8), ("SAMPLE", 50), ("TILE", 2), ("COPIES", 3)):
+        monkeypatch.setattr(ct, name, value)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(120)]
+    sent = []
+
+    def materialize(df, name):
+        out = real(df, name)
+        if name == "ct-round":
+            sent.append(out.count())
+        return out
+
+    real = ct.materialize
+    monkeypatch.setattr(ct, "materialize", materialize)
+    got = ct.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_vectors(rows)
+    assert len(sent) >= 3 and all(sent)
+
+
 def test_vectors_odd_rows(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, []),
             (8, [1.0, 0.0, 0.0]), (9, [float("inf"), 1.0]), (None, [1.0, 0.0]), (1, [1.0, 0.0]), (10, [1e-300, 0.0])]
